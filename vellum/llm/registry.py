@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from vellum.llm import (
+    mixing,
     simhash,
+    tokenfiles,
 )
 
-MODULES = (simhash,)
+MODULES = (mixing, simhash, tokenfiles)
 
 
 def queries() -> dict:
