@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from vellum.llm import (
+    fingerprints,
     mixing,
     simhash,
     tokenfiles,
 )
 
-MODULES = (mixing, simhash, tokenfiles)
+MODULES = (fingerprints, mixing, simhash, tokenfiles)
 
 
 def queries() -> dict:
