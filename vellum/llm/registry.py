@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from vellum.llm import (
+    decontamination,
     fingerprints,
     mixing,
     simhash,
     tokenfiles,
 )
 
-MODULES = (fingerprints, mixing, simhash, tokenfiles)
+MODULES = (decontamination, fingerprints, mixing, simhash, tokenfiles)
 
 
 def queries() -> dict:
