@@ -6,11 +6,12 @@ from vellum.llm import (
     decontamination,
     fingerprints,
     mixing,
+    pii,
     simhash,
     tokenfiles,
 )
 
-MODULES = (decontamination, fingerprints, mixing, simhash, tokenfiles)
+MODULES = (decontamination, fingerprints, mixing, pii, simhash, tokenfiles)
 
 
 def queries() -> dict:
