@@ -9,9 +9,10 @@ from vellum.llm import (
     pii,
     simhash,
     tokenfiles,
+    toxicity,
 )
 
-MODULES = (decontamination, fingerprints, mixing, pii, simhash, tokenfiles)
+MODULES = (decontamination, fingerprints, mixing, pii, simhash, tokenfiles, toxicity)
 
 
 def queries() -> dict:
