@@ -6,9 +6,9 @@ k + 1 and the stripes of a file prune by their minimum and maximum and by the Bl
 take stripes in parallel. The place of a document among all ids isn't stored: it is a prefix sum of
 n_tokens over the files' order, taken when reading, from one sum per file.
 
-Encoding goes by space-separated pieces, which the byte-level pattern never joins: a piece is encoded
-once per worker by the tokenizer and then looked up. Texts with white space that touches a space (or
-ends a piece) are encoded whole.
+Encoding goes by pieces between single spaces and line feeds, which the byte-level pattern never joins:
+a piece is encoded once per worker by the tokenizer and then looked up. Texts in which white space
+touches other white space, or ends the text, are encoded whole.
 
 Edge cases: null or empty text holds the end id alone; a null doc_id sorts first; rows of equal doc_id
 are ordered by a hash of their text; an empty table gives no files' rows; extra columns are not stored.
@@ -16,7 +16,7 @@ are ordered by a hash of their text; an empty table gives no files' rows; extra
 
 from __future__ import annotations
 
-import itertools
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,85 +25,107 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from vellum.llm.common import chunks, default_parallelism, new_path, table
 
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that a worker keeps; beyond them it starts anew.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 1_000_000
 STRIPE_BYTES = 16 << 20
 BLOOM_FPP = 0.01
 
 
 class PieceEncoder:
-    """Encodes texts to ids with a byte-level tokenizer, by pieces that it has met before."""
+    """Encodes texts to ids with a byte-level tokenizer, by pieces that it has met before.
 
-    def __init__(self, vocabulary: str) -> None:
-        import os
+    A piece is what stands between single spaces or line feeds, with the one before it; it is numbered,
+    and all pieces' ids lie in one array, from which a batch's ids are gathered at once. Keys of
+    `known`: a piece after a space is its own text, one after a line feed starts with it, a text's first piece starts
+    with a space (which no other piece holds).
+    """
 
+    def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        #: Whether an id's text starts with a space, as the first id of a piece does and no other.
-        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        #: Whether an id's text starts with a space or line feed, as the first id of a piece does and no other.
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, k in self.tokenizer.get_vocab().items():
-            self.spaced[k] = token.startswith("\u0120")
+            self.opens[k] = token[0] in "\u0120\u010a"
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.uint16)
-        self.starts = np.zeros(1 << 14, dtype=np.int64)
-        self.n = self.used = 0
-
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.ids = np.zeros(1 << 20, dtype=np.uint16)
+        self.starts = np.zeros(1 << 18, dtype=np.int64)
+        self.n = 0
+
+    def whole(self, text: str) -> list[int]:
+        """The ids that the tokenizer gives for a whole text."""
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _add(self, ids: list[int] | np.ndarray, firsts: np.ndarray) -> None:
+        """Numbers the next len(firsts) pieces, whose ids start at `firsts` in ids."""
+        used = int(self.starts[self.n])
+        need, pieces = used + len(ids), self.n + len(firsts)
+        if need > len(self.ids):
+            self.ids = np.resize(self.ids, max(need, 2 * len(self.ids)))
+        if pieces >= len(self.starts):
+            self.starts = np.resize(self.starts, max(pieces + 1, 2 * len(self.starts)))
+        self.ids[used:need] = ids
+        self.starts[self.n : pieces] = used + firsts
+        self.starts[pieces] = need
+        self.n = pieces
+
+    def _one(self, text: str) -> int:
+        self._add(self.whole(text), np.zeros(1, np.int64))
+        return self.n - 1
 
     def _learn(self, pieces: list[str]) -> None:
-        # a piece that ends in white space, or is empty, may join what follows it: -1 sends its text the whole way
-        self.known.update((x, -1) for x in pieces if not x or x[-1].isspace())
-        pieces = [x for x in pieces if x and not x[-1].isspace()]
+        known = self.known
+        # a piece that is empty or ends in white space may join what follows it: -1 sends its text the whole way
+        known.update((x, -1) for x in pieces if not x or x[-1].isspace())
+        known.update((x, self._one(x[1:])) for x in pieces if x and x[0] == " " and not x[-1].isspace())
+        pieces = [x for x in pieces if x and x[0] != " " and not x[-1].isspace()]
         for at in range(0, len(pieces), 4_000):
             some = pieces[at : at + 4_000]
-            found = np.array(self._whole([" " + " ".join(some)])[0], dtype=np.int64)
-            need = self.used + len(found)
-            if need > len(self.ids):
-                self.ids = np.resize(self.ids, max(need, 2 * len(self.ids)))
-            if self.n + len(some) + 1 > len(self.starts):
-                self.starts = np.resize(self.starts, max(self.n + len(some) + 1, 2 * len(self.starts)))
-            self.ids[self.used : need] = found
-            first = np.flatnonzero(self.spaced[found])
-            if len(first) != len(some):
+            found = np.array(self.whole("".join(x if x[0] == "\n" else " " + x for x in some)))
+            firsts = np.flatnonzero(self.opens[found])
+            if len(firsts) != len(some):
                 raise ValueError("the vocabulary joins pieces over a space")
-            self.starts[self.n : self.n + len(some)] = self.used + first
-            self.starts[self.n + len(some)] = need
-            self.known.update(zip(some, range(self.n, self.n + len(some)), strict=True))
-            self.n, self.used = self.n + len(some), need
+            known.update(zip(some, range(self.n, self.n + len(some)), strict=True))
+            self._add(found, firsts)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as the tokenizer gives them for the whole text."""
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, an end id after each, and where each text's ids end."""
         if len(self.known) > CACHE_PIECES:
             self._clear()
-        split = [x.split(" ") for x in texts]
-        heads = self._whole([x[0] for x in split])
+        split = [x.replace("\n", " \n").split(" ") for x in texts]
         get = self.known.get
-        missing = list({p for pieces in split for p in pieces[1:] if p not in self.known})
+        for pieces in split:
+            pieces[0] = " " + pieces[0] if pieces[0] else "\n"
+        numbers = [list(map(get, pieces)) for pieces in split]
+        missing = {p for pieces, found in zip(split, numbers, strict=True) if None in found for p, k in zip(pieces, found, strict=True) if k is None}
         if missing:
-            self._learn(missing)
-        out = []
-        for text, pieces, head in zip(texts, split, heads, strict=True):
-            at = np.fromiter(map(get, pieces[1:]), np.int64, len(pieces) - 1)
-            if len(at) and (at.min() < 0 or not pieces[0] or pieces[0][-1].isspace()):
-                out.append(np.array(self._whole([text])[0], dtype=np.uint32))
-                continue
-            starts, ends = self.starts[at], self.starts[at + 1]
-            lengths = ends - starts
-            total = int(lengths.sum())
-            gather = np.arange(total) + np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(at) else starts, lengths)
-            out.append(np.concatenate((np.array(head, dtype=np.uint32), self.ids[gather].astype(np.uint32))))
-        return out
+            self._learn(list(missing))
+            numbers = [list(map(get, pieces)) if None in found else found for pieces, found in zip(split, numbers, strict=True)]
+        end = self.n
+        self._add([end_id], np.zeros(1, np.int64))
+        flat: list[int] = []
+        ends = []
+        for text, found in zip(texts, numbers, strict=True):
+            if " \n" in text or -1 in found:
+                found = [self._one(text)]
+            flat += found
+            flat.append(end)
+            ends.append(len(flat))
+        at = np.array(flat, dtype=np.int64)
+        starts = self.starts[at]
+        lengths = self.starts[at + 1] - starts
+        upto = np.cumsum(lengths)
+        gather = np.arange(upto[-1]) + np.repeat(starts - (upto - lengths), lengths)
+        return self.ids[gather], upto[np.array(ends) - 1]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -120,11 +142,10 @@ def _encode(vocabulary: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
         for part in chunks(batches, "text"):
-            ids = [np.append(x, np.uint32(end_id)) for x in encode([x or "" for x in part.column("text").to_pylist()])]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lengths), lists], ["doc_id", "n_tokens", "ids"])
+            ids, ends = encode([x or "" for x in part.column("text").to_pylist()], end_id)
+            offsets = np.concatenate(([0], ends)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends, prepend=0)), lists], ["doc_id", "n_tokens", "ids"])
 
     return run
 
