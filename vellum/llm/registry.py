@@ -6,13 +6,14 @@ from vellum.llm import (
     decontamination,
     fingerprints,
     mixing,
+    pages,
     pii,
     simhash,
     tokenfiles,
     toxicity,
 )
 
-MODULES = (decontamination, fingerprints, mixing, pii, simhash, tokenfiles, toxicity)
+MODULES = (decontamination, fingerprints, mixing, pages, pii, simhash, tokenfiles, toxicity)
 
 
 def queries() -> dict:
