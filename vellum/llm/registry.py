@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from vellum.llm import (
     decontamination,
     fingerprints,
@@ -20,6 +21,7 @@ def queries() -> dict:
     found: dict = {}
     for module in MODULES:
         found.update(module.QUERIES)
+    found["pipeline"] = corpus_pipeline.run
     return found
 
 
@@ -27,4 +29,6 @@ def oracle_sql() -> dict[str, str]:
     found: dict[str, str] = {}
     for module in MODULES:
         found.update(getattr(module, "ORACLE_SQL", {}))
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
