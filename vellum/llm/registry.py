@@ -6,6 +6,7 @@ import corpus_pipeline
 from vellum.llm import (
     decontamination,
     fingerprints,
+    language,
     mixing,
     pages,
     pii,
@@ -14,7 +15,7 @@ from vellum.llm import (
     toxicity,
 )
 
-MODULES = (decontamination, fingerprints, mixing, pages, pii, simhash, tokenfiles, toxicity)
+MODULES = (decontamination, fingerprints, language, mixing, pages, pii, simhash, tokenfiles, toxicity)
 
 
 def queries() -> dict:
