@@ -55,17 +55,17 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B^0 .. B^n and their inverses modulo 2^64."""
     if len(_POWERS.get("up", ())) <= n:
-        size = 1 << max(n, 1 << 16).bit_length()
+        size = max(n, 1 << 16) * 5 // 4
         for name, base in (("up", _B), ("down", pow(_B, -1, 1 << 64))):
             _POWERS[name] = np.concatenate((np.ones(1, _U), np.multiply.accumulate(np.full(size, base, dtype=_U))))
     return _POWERS["up"][: n + 1], _POWERS["down"][: n + 1]
 
 
-def shingle_hashes(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
-    """The 64-bit hashes of every text's shingles, in order, repeats included."""
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all texts' words, and where each text's words start, with the end."""
     data = b" ".join(texts)
     if not data:
-        return [np.zeros(0, _U) for _ in texts]
+        return np.zeros(0, _U), np.zeros(len(texts) + 1, np.int64)
     raw = np.frombuffer(data, np.uint8)
     up, down = _powers(len(raw))
     sums = np.concatenate((np.zeros(1, _U), np.cumsum(_BYTES[raw] * up[: len(raw)])))
@@ -74,7 +74,12 @@ def shingle_hashes(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarra
     starts, ends = turns[::2], turns[1::2]
     words = _mixed((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(_U))
     text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
-    bounds = np.concatenate(([0], np.searchsorted(starts, text_ends)))
+    return words, np.concatenate(([0], np.searchsorted(starts, text_ends)))
+
+
+def shingle_hashes(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
+    """The 64-bit hashes of every text's shingles, in order, repeats included."""
+    words, bounds = word_hashes(texts)
     width = max(len(words) - shingle + 1, 0)
     total = np.zeros(width, dtype=_U)
     for j in range(shingle):

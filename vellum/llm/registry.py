@@ -6,6 +6,7 @@ import corpus_pipeline
 from vellum.llm import (
     decontamination,
     fingerprints,
+    katz,
     language,
     mixing,
     pages,
@@ -15,7 +16,7 @@ from vellum.llm import (
     toxicity,
 )
 
-MODULES = (decontamination, fingerprints, language, mixing, pages, pii, simhash, tokenfiles, toxicity)
+MODULES = (decontamination, fingerprints, katz, language, mixing, pages, pii, simhash, tokenfiles, toxicity)
 
 
 def queries() -> dict:
