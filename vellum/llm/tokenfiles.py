@@ -32,11 +32,23 @@ from vellum.llm.common import chunks, default_parallelism, new_path, table
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that a worker keeps; beyond them it starts anew.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 1_500_000
 STRIPE_BYTES = 16 << 20
 BLOOM_FPP = 0.01
 
 
+class _Numbers(dict):
+    """Numbers keys in the order in which they are first looked up, and lists the new ones."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 class PieceEncoder:
     """Encodes texts to ids with a byte-level tokenizer, by pieces that it has met before.
 
@@ -56,76 +68,86 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.ids = np.zeros(1 << 20, dtype=np.uint16)
+        self.used = 0
+        #: Where a piece's ids lie; -1: the piece may join what follows it.
         self.starts = np.zeros(1 << 18, dtype=np.int64)
-        self.n = 0
+        self.ends = np.zeros(1 << 18, dtype=np.int64)
 
     def whole(self, text: str) -> list[int]:
         """The ids that the tokenizer gives for a whole text."""
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _add(self, ids: list[int] | np.ndarray, firsts: np.ndarray) -> None:
-        """Numbers the next len(firsts) pieces, whose ids start at `firsts` in ids."""
-        used = int(self.starts[self.n])
-        need, pieces = used + len(ids), self.n + len(firsts)
-        if need > len(self.ids):
-            self.ids = np.resize(self.ids, max(need, 2 * len(self.ids)))
-        if pieces >= len(self.starts):
-            self.starts = np.resize(self.starts, max(pieces + 1, 2 * len(self.starts)))
-        self.ids[used:need] = ids
-        self.starts[self.n : pieces] = used + firsts
-        self.starts[pieces] = need
-        self.n = pieces
-
-    def _one(self, text: str) -> int:
-        self._add(self.whole(text), np.zeros(1, np.int64))
-        return self.n - 1
-
-    def _learn(self, pieces: list[str]) -> None:
-        known = self.known
-        # a piece that is empty or ends in white space may join what follows it: -1 sends its text the whole way
-        known.update((x, -1) for x in pieces if not x or x[-1].isspace())
-        known.update((x, self._one(x[1:])) for x in pieces if x and x[0] == " " and not x[-1].isspace())
-        pieces = [x for x in pieces if x and x[0] != " " and not x[-1].isspace()]
-        for at in range(0, len(pieces), 4_000):
-            some = pieces[at : at + 4_000]
-            found = np.array(self.whole("".join(x if x[0] == "\n" else " " + x for x in some)))
+    def _append(self, ids: list[int] | np.ndarray) -> int:
+        """Where in self.ids the new ids start."""
+        start, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.ids):
+            self.ids = np.resize(self.ids, max(self.used, 2 * len(self.ids)))
+        self.ids[start : self.used] = ids
+        return start
+
+    def _learn(self) -> None:
+        """Encodes the pieces that were numbered since the last call."""
+        new, first = self.known.new, len(self.known) - len(self.known.new)
+        self.known.new = []
+        if len(self.known) > len(self.starts):
+            size = max(len(self.known), 2 * len(self.starts))
+            self.starts, self.ends = np.resize(self.starts, size), np.resize(self.ends, size)
+        joined = []
+        for n, x in enumerate(new, first):
+            if not x or x[-1].isspace():
+                self.starts[n] = self.ends[n] = -1
+            elif x[0] == " ":
+                self.starts[n] = self._append(self.whole(x[1:]))
+                self.ends[n] = self.used
+            else:
+                joined.append(n)
+        for at in range(0, len(joined), 400):
+            some = joined[at : at + 400]
+            pieces = [new[n - first] for n in some]
+            found = np.array(self.whole("".join(x if x[0] == "\n" else " " + x for x in pieces)))
             firsts = np.flatnonzero(self.opens[found])
             if len(firsts) != len(some):
                 raise ValueError("the vocabulary joins pieces over a space")
-            known.update(zip(some, range(self.n, self.n + len(some)), strict=True))
-            self._add(found, firsts)
+            firsts += self._append(found)
+            self.starts[some] = firsts
+            self.ends[some] = np.append(firsts[1:], self.used)
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, an end id after each, and where each text's ids end."""
         if len(self.known) > CACHE_PIECES:
             self._clear()
-        split = [x.replace("\n", " \n").split(" ") for x in texts]
-        get = self.known.get
-        for pieces in split:
-            pieces[0] = " " + pieces[0] if pieces[0] else "\n"
-        numbers = [list(map(get, pieces)) for pieces in split]
-        missing = {p for pieces, found in zip(split, numbers, strict=True) if None in found for p, k in zip(pieces, found, strict=True) if k is None}
-        if missing:
-            self._learn(list(missing))
-            numbers = [list(map(get, pieces)) if None in found else found for pieces, found in zip(split, numbers, strict=True)]
-        end = self.n
-        self._add([end_id], np.zeros(1, np.int64))
         flat: list[int] = []
         ends = []
-        for text, found in zip(texts, numbers, strict=True):
-            if " \n" in text or -1 in found:
-                found = [self._one(text)]
-            flat += found
-            flat.append(end)
+        number = self.known.__getitem__
+        for text in texts:
+            pieces = text.replace("\n", " \n").split(" ")
+            pieces[0] = " " + pieces[0] if pieces[0] else "\n"
+            flat += map(number, pieces)
             ends.append(len(flat))
+        self._learn()
         at = np.array(flat, dtype=np.int64)
-        starts = self.starts[at]
-        lengths = self.starts[at + 1] - starts
+        starts, stops = self.starts[at], self.ends[at]
+        # white space that touches other white space sends its text the whole way
+        whole = set(np.searchsorted(ends, np.flatnonzero(starts < 0), side="right").tolist())
+        whole.update(i for i, text in enumerate(texts) if " \n" in text)
+        lengths = stops - starts
+        firsts = [0, *ends[:-1]]
+        used = self.used
+        for i in whole:
+            lengths[firsts[i] : ends[i]] = 0
+            k = firsts[i]
+            starts[k] = self._append(self.whole(texts[i]))
+            lengths[k] = self.used - starts[k]
+        # the end id follows each text: one more entry of length 1
+        end = self._append([end_id])
+        starts, lengths = np.insert(starts, ends, end), np.insert(lengths, ends, 1)
         upto = np.cumsum(lengths)
         gather = np.arange(upto[-1]) + np.repeat(starts - (upto - lengths), lengths)
-        return self.ids[gather], upto[np.array(ends) - 1]
+        out = self.ids[gather]
+        self.used = used
+        return out, upto[np.array(ends) + np.arange(len(ends))]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
