@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "a_chat_daily_stats"
-MODULES: tuple[str, ...] = ()
+from vellum.plans import relational
+
+FLAGSHIP = "g8_chat_daily"
+MODULES = (relational,)
 
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
