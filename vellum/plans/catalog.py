@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.plans import relational
+from vellum.plans import relational, textual
 
 FLAGSHIP = "g8_chat_daily"
-MODULES = (relational,)
+MODULES = (relational, textual)
 
 
 def queries() -> dict:
