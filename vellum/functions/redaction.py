@@ -46,9 +46,9 @@ def patterns(language: str) -> list[tuple[str, str, str, str]]:
 
 
 def redact_text(text: Column, language: str) -> Column:
-    for _, search, pattern, placeholder in patterns(language):
-        text = F.when(text.rlike(search), F.regexp_replace(text, pattern, placeholder)).otherwise(text)
-    return text
+    """The text after all passes; folded, as chained replacements would repeat the text's expression."""
+    passes = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(p).alias("p"), F.lit(r).alias("r")) for _, s, p, r in patterns(language)])
+    return F.aggregate(passes, text, lambda acc, x: F.when(F.rlike(acc, x.s), F.regexp_replace(acc, x.p, x.r)).otherwise(acc))
 
 
 def redacted(df: DataFrame, language: str = "de", column: str = "text") -> DataFrame:

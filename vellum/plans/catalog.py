@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.plans import relational, textual
+from vellum.plans import flows, relational, textual
 
 FLAGSHIP = "g8_chat_daily"
-MODULES = (relational, textual)
+MODULES = (relational, textual, flows)
 
 
 def queries() -> dict:
