@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,3 +73,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             stop = max(int(np.searchsorted(ends, base + limit, side="right")), start + 1)
             yield batch.slice(start, stop - start)
             start = stop
+    # the worker lives on, beside the next stage's: what Arrow and the allocator keep for reuse goes back
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -36,7 +36,7 @@ FOLDS = 3
 THRESHOLD = 0.4
 REGULARISATION = 0.0005
 LEAST_ROWS = 3
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 #: Characters that are taken off a word's ends.
 OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: The chain over the `labels` table: name, label expression.
@@ -73,7 +73,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """A worker's scorer: remembers which kept features a word has."""
+    """A task's scorer: remembers which kept features a word has, and goes with the task."""
 
     def __init__(self, index: dict[str, int]) -> None:
         self.index, self.known = index, {}
@@ -90,18 +90,6 @@ class Scorer:
         return found
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
-def _scorer(index: dict[str, int]) -> Scorer:
-    """One scorer per worker and feature table, kept between the worker's tasks."""
-    key = hash(frozenset(index.items()))
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(index)
-    return _SCORERS[key]
-
-
 def _probabilities(chain: Chain, scorer: Scorer, texts: list[str | None]) -> np.ndarray:
     out = np.zeros((len(texts), len(chain.names)))
     for i, text in enumerate(texts):
@@ -124,7 +112,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, st
 
 def _counts(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "text", 8 << 20):
+        for part in chunks(batches, "text", 1 << 20):
             counts: dict[str, list[int]] = {}
             values = list(zip(*[part.column(n).to_pylist() for n in names], strict=True))
             for text, labels in zip(part.column("text").to_pylist(), values, strict=True):
@@ -162,7 +150,7 @@ def select_features(rows: DataFrame, names: list[str], keep: int = FEATURES) ->
 
 def _presence(index: dict[str, int], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(index)
+        scorer = Scorer(index)
         for part in chunks(batches, "text"):
             at = [sorted(scorer.present(t)) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(at, pa.list_(pa.int32())), *[part.column(n) for n in names]], ["doc_id", "at", *names])
@@ -231,7 +219,7 @@ def _out_of_fold(fitted: list[tuple[np.ndarray, float]], width: int) -> Callable
 
 def _scores(chain: Chain) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(chain.index)
+        scorer = Scorer(chain.index)
         for part in chunks(batches, "text"):
             p = np.round(_probabilities(chain, scorer, part.column("text").to_pylist()), 6)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(p[:, c]) for c in range(len(chain.names))]], ["doc_id", *[f"p_{n}" for n in chain.names]])
@@ -250,10 +238,10 @@ def keep_clean(docs: DataFrame, chain: Chain, category: str = "toxic", threshold
     which, at = chain.names.index(category), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(chain.index)
-        for batch in batches:
-            p = _probabilities(chain, scorer, batch.column(at).to_pylist())[:, which]
-            yield batch.filter(pa.array(np.round(p, 6) < threshold))
+        scorer = Scorer(chain.index)
+        for part in chunks(batches, "text"):
+            p = _probabilities(chain, scorer, part.column(at).to_pylist())[:, which]
+            yield part.filter(pa.array(np.round(p, 6) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
