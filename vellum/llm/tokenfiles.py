@@ -31,7 +31,7 @@ from vellum.llm.common import chunks, default_parallelism, new_path, table
 
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces that a worker keeps; beyond them it starts anew.
+#: Pieces that a worker keeps; beyond them it forgets those that it met once, down to half at least.
 CACHE_PIECES = 300_000
 STRIPE_BYTES = 16 << 20
 BLOOM_FPP = 0.01
@@ -74,6 +74,23 @@ class PieceEncoder:
         #: Where a piece's ids lie; -1: the piece may join what follows it.
         self.starts = np.zeros(1 << 18, dtype=np.int64)
         self.ends = np.zeros(1 << 18, dtype=np.int64)
+        #: How often a piece was met, halved whenever pieces are forgotten.
+        self.uses = np.zeros(1 << 18, dtype=np.int64)
+
+    def _forget(self) -> None:
+        """Keeps the pieces that were met more than once, the most frequent half of the bound at most."""
+        names, n = list(self.known), len(self.known)
+        keep = np.argsort(-self.uses[:n], kind="stable")[: CACHE_PIECES // 2]
+        keep = np.sort(keep[self.uses[keep] > 1])
+        ids, starts, lengths, uses = self.ids, self.starts[keep], self.ends[keep] - self.starts[keep], self.uses[keep]
+        self._clear()
+        self.known.update(zip(map(names.__getitem__, keep.tolist()), range(len(keep)), strict=True))
+        upto = np.cumsum(lengths)
+        if len(keep):
+            self._append(ids[np.arange(upto[-1]) + np.repeat(starts - (upto - lengths), lengths)])
+        self.starts[: len(keep)] = np.where(starts < 0, -1, upto - lengths)
+        self.ends[: len(keep)] = np.where(starts < 0, -1, upto)
+        self.uses[: len(keep)] = uses // 2
 
     def whole(self, text: str) -> list[int]:
         """The ids that the tokenizer gives for a whole text."""
@@ -94,6 +111,7 @@ class PieceEncoder:
         if len(self.known) > len(self.starts):
             size = max(len(self.known), 2 * len(self.starts))
             self.starts, self.ends = np.resize(self.starts, size), np.resize(self.ends, size)
+            self.uses = np.concatenate((self.uses, np.zeros(size - len(self.uses), np.int64)))
         joined = []
         for n, x in enumerate(new, first):
             if not x or x[-1].isspace():
@@ -117,7 +135,7 @@ class PieceEncoder:
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, an end id after each, and where each text's ids end."""
         if len(self.known) > CACHE_PIECES:
-            self._clear()
+            self._forget()
         flat: list[int] = []
         ends = []
         number = self.known.__getitem__
@@ -128,6 +146,8 @@ class PieceEncoder:
             ends.append(len(flat))
         self._learn()
         at = np.array(flat, dtype=np.int64)
+        met = np.bincount(at, minlength=len(self.known))
+        self.uses[: len(met)] += met
         starts, stops = self.starts[at], self.ends[at]
         # white space that touches other white space sends its text the whole way
         whole = set(np.searchsorted(ends, np.flatnonzero(starts < 0), side="right").tolist())
