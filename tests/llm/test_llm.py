@@ -298,6 +298,16 @@ def test_token_files(spark, docs, rows):
     assert tokenfiles.read_tokens(spark, path).where("doc_id = 10").first().ids[-1] == 0
 
 
+def test_encoder_forgets(rows, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "CACHE_PIECES", 500)
+    encoder = tokenfiles.PieceEncoder(tokenfiles.public_tokenizers.path(tokenfiles.VOCABULARY))
+    texts = [t or "" for t in rows.values()]
+    for at in range(0, len(texts), 10):
+        ids, ends = encoder.encode(texts[at : at + 10], 0)
+        for text, got in zip(texts[at : at + 10], np.split(ids, ends[:-1]), strict=True):
+            assert got.tolist() == [*encoder.whole(text), 0]
+
+
 # 10
 def test_decontamination(spark, sf):
     con = duckdb.connect()
