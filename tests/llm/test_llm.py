@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vellum.llm import common, components, decontamination, fingerprints, katz, language, mixing, pages, pii, registry, simhash, tokenfiles, toxicity
+from vellum.llm import common, components, decontamination, fingerprints, katz, language, mixing, pages, pii, registry, simhash, similar, tokenfiles, toxicity
 
 LONG = "wort " * 30_000
 EDGE = [(None, None, None, None), (1, "", "de", "a"), (2, None, "en", None), (3, "One two three four five six seven", "en", "a"), (3, "One two three four five six seven", "en", "a"), (4, LONG, "de", "b"), (5, "12 :: 34", None, "b"), (6, " \t\n ", "fr", "é")]
@@ -376,3 +376,29 @@ def test_deduplicate_edges(edge):
     kept = simhash.deduplicate(edge)
     assert kept.columns == edge.columns
     assert kept.where("doc_id = 3").count() == 1
+
+
+# near copies of the pipeline
+@pytest.mark.parametrize("hot", [16, 1])
+def test_near_duplicate_stage_is_exact_jaccard(spark, rows, hot):
+    base = [f"w{i}" for i in range(300)]
+    texts = {k: " ".join(w if i % 97 != k or not k else f"x{k}" for i, w in enumerate(base)) for k in range(0, 40)}
+    texts |= {100: "a b c", 101: "A  b\nC", 102: "a b d", 103: "", 104: None, 105: " ", 106: " ".join(base[:245]), 107: " ".join(base[:236])}
+    texts |= {1000 + i: t for i, t in list(rows.items())[:60]} | {2000 + i: (t or "") + " one more" for i, t in list(rows.items())[:20]}
+    sets = {k: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4)) if w} for k, t in texts.items()}
+    near = lambda a, b: a == b or (a | b and 5 * len(a & b) >= 4 * len(a | b))
+    root = {k: k for k in sets}
+    for _ in root:
+        new = {k: min(root[j] for j in sets if near(sets[k], sets[j])) for k in sets}
+        if new == root:
+            break
+        root = new
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = common.materialize(similar.near_copies(df, hot), "found")
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r.root, []).append(r.doc_id)
+    assert {i: min(g) for g in groups.values() for i in g} == root
+    if hot == 16:
+        got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, None).collect())
+        assert got == sorted(set(root.values())) and len(simhash.deduplicate(df).collect()) != len(got)
