@@ -402,3 +402,14 @@ def test_near_duplicate_stage_is_exact_jaccard(spark, rows, hot):
     if hot == 16:
         got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, None).collect())
         assert got == sorted(set(root.values())) and len(simhash.deduplicate(df).collect()) != len(got)
+
+
+# pages without article or main
+def test_pages_of_several_containers():
+    p = lambda k: f"<p>Paragraph {k} is a sentence of some length, as {k} texts have it.</p>"
+    page = f"<body><h1>A title that is long enough to weigh</h1><div>{p(1)}{p(2)}{p(3)}</div><div>{p(4)}{p(5)}</div><div><a href=x>menu</a><a href=y>more</a></div></body>"
+    lines = pages.extract(page).split("\n")
+    assert lines == ["A title that is long enough to weigh", *[f"Paragraph {k} is a sentence of some length, as {k} texts have it." for k in range(1, 6)]]
+    assert pages.extract(f"<body>{p(1)}<article>{''.join(map(p, range(2, 10)))}</article>{p(10)}</body>").count("\n") == 7
+    deep = "<div>" * 3000 + p(1) + "</div>" * 3000
+    assert "Paragraph 1" in pages.extract(deep)

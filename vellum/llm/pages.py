@@ -5,8 +5,8 @@ nodes. With C characters, T tags, LC characters in links and LT link tags below
 1 as a divisor) and the same for the body, a node's composite density is
 C / T * log_b(C / LC * T / LT) with b = ln(C / (C - LC) * LC + LC_body / C_body * C + e); a node's density sum adds
 its children's densities. The node of greatest sum leads to the content: the threshold is the least density on its path to
-the body, and from the body down the first nodes at or above it hold the content, in the subtree of
-their greatest sum. Where that lies in an article, the article is the content.
+the body, and from the body down every node at or above it, siblings included, gives content: the subtree of greatest
+sum in it. Where that lies in an article or main, the article is the content, and nothing beside it.
 
 Before that, parts that are no content by their tag or their class, id or role are left out with all below them: menus,
 headers outside articles, footers, sidebars, notices, adverts, forms, scripts, styles, comments.
@@ -23,6 +23,7 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -214,23 +215,25 @@ def content_nodes(page: _Page) -> list[tuple[int, int]]:
     while i >= 0:
         threshold = min(threshold, density[i])
         i = page.parent[i]
+    # of each node: the one of greatest sum in its subtree, and the article or main around it
+    top, around = list(range(n)), [-1] * n
+    for i in range(n - 1, 0, -1):
+        top[page.parent[i]] = max(top[page.parent[i]], top[i], key=lambda k: (sums[k], -k))
+    for i in range(1, n):
+        outer = around[page.parent[i]]
+        around[i] = outer if outer >= 0 and page.tag[i] not in ("article", "main") else i if page.tag[i] in ("article", "main") else -1
     ranges: list[tuple[int, int]] = []
-
-    def descend(i: int) -> None:
-        todo = [i]
-        while todo:
-            i = todo.pop()
-            if density[i] >= threshold and density[i] > 0:
-                top = max(range(i, page.end[i]), key=lambda k: (sums[k], -k))
-                up = top
-                while up >= 0 and page.tag[up] not in ("article", "main"):
-                    up = page.parent[up]
-                top = up if up >= i else top
-                ranges.append((top, page.end[top]))
-            else:
-                todo.extend(k for k in range(page.end[i] - 1, i, -1) if page.parent[k] == i)
-
-    descend(0)
+    i = 0
+    while i < n:
+        if density[i] >= threshold and density[i] > 0:
+            up = around[top[i]]
+            if up >= i:
+                # the article is the content by its tag, whatever the densities beside it
+                ranges.append((up, page.end[up]))
+                i = page.end[i]
+                continue
+            ranges.append((top[i], page.end[top[i]]))
+        i += 1
     return ranges
 
 
@@ -239,10 +242,14 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     parsed = parse(page)
-    ranges = content_nodes(parsed)
+    turns = [0] * (len(parsed.parent) + 1)
+    for a, b in content_nodes(parsed):
+        turns[a] += 1
+        turns[b] -= 1
+    kept = list(itertools.accumulate(turns))
     blocks: dict[int, list[str]] = {}
     for node, block, piece in parsed.pieces:
-        if any(a <= node < b for a, b in ranges):
+        if kept[node]:
             blocks.setdefault(block, []).append(piece)
     lines = (" ".join("".join(pieces).split()) for _, pieces in sorted(blocks.items()))
     return "\n".join(x for x in lines if x)
