@@ -319,10 +319,26 @@ def test_decontamination(spark, sf):
 
 
 def test_proximity(spark):
-    d = spark.createDataFrame([(1, "a b x c d"), (2, "a b c"), (3, "c b a"), (4, None)], "doc_id long, text string")
+    d = spark.createDataFrame([(1, "a b x c d"), (2, "a b c"), (3, "c b a"), (4, None), (5, "a " * 50 + "b c")], "doc_id long, text string")
     phrase = spark.createDataFrame([(1, "A b c")], "item_id long, text string")
-    assert [r.doc_id for r in decontamination.find_near(d, phrase, 0).collect()] == [2]
-    assert sorted(r.doc_id for r in decontamination.find_near(d, phrase, 1).collect()) == [1, 2]
+    near = lambda span: sorted((r.doc_id, r.end) for r in decontamination.find_near(d, phrase, span).collect())
+    assert near(2) == [] and near(3) == [(2, 3), (3, 3), (5, 52)] and near(4) == [(1, 4), (2, 3), (3, 3), (5, 52)]
+    long = spark.createDataFrame([(1, "a b c " + "d e f g h i j k l " * 3)], "item_id long, text string")
+    assert decontamination.find_near(d, long).count() == 0
+
+
+def test_repeated_words_do_not_multiply(spark, tmp_path):
+    d = [(1, "wort " * 30_000), (2, "x " + "a b " * 3_000 + "y"), (3, "wort " * 9), (4, "wort " * 12 + "z " + "wort " * 10), (5, "one two three")]
+    b = [(1, "wort " * 5_000), (2, "a b " * 2_000), (3, "b a " * 8), (4, "Three"), (5, "wort wort")]
+    docs, items = spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame(b, "item_id long, text string")
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    items.toPandas().to_parquet(tmp_path / "benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = con.execute(decontamination.ORACLE_SQL["op10_decontamination"]).fetchall()
+    got = sorted(tuple(r) for r in decontamination.contamination(docs, items).collect())
+    assert got == sorted(want) and [r[2] for r in got] == [30_000, 6_000, 9, 22, 1]
 
 
 def test_short_items_and_overlaps(spark):
@@ -363,8 +379,7 @@ def test_pipeline_stages(spark, sf, docs):
         after = common.materialize(stage(spark, kept, sf), name)
         assert after.columns == docs.columns
         if name == "near_duplicates":
-            want = {r.component_id for r in simhash.near_duplicates(kept).collect()}
-            assert sorted(r.doc_id for r in after.collect()) == sorted(want)
+            assert sorted(r.doc_id for r in after.collect()) == sorted(set(jaccard_roots({r.doc_id: r.text for r in kept.collect()}).values()))
         if name == "decontamination":
             clean = decontamination.contamination(kept, common.table(spark, sf, "benchmark")).where("not contaminated")
             assert sorted(r.doc_id for r in after.collect()) == sorted(r.doc_id for r in clean.collect())
@@ -372,19 +387,27 @@ def test_pipeline_stages(spark, sf, docs):
     assert corpus_pipeline.STAGES[-1][1](spark, kept, sf).count() == kept.count()
 
 
-def test_deduplicate_edges(edge):
-    kept = simhash.deduplicate(edge)
+def test_pipeline_stages_on_edges(spark, sf, edge, nothing):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert common.materialize(stage(spark, nothing, sf), name).count() == 0
+        after = stage(spark, edge, sf)
+        assert after.columns == edge.columns and (name == "mixing" or after.count() == (5 if name == "near_duplicates" else len(EDGE)))
+    assert corpus_pipeline.STAGES[-1][1](spark, nothing, sf).count() == 0
+
+
+@pytest.mark.parametrize("dedup", [simhash.deduplicate, similar.deduplicate])
+def test_deduplicate_edges(spark, edge, dedup):
+    """No text, no words and blanks are one group whose row without an id stays; of equal rows one stays."""
+    kept = dedup(edge)
     assert kept.columns == edge.columns
-    assert kept.where("doc_id = 3").count() == 1
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, None), (1, ""), (3, EDGE[3][1]), (4, LONG), (5, "12 :: 34")])
+    a, b = "some words of the text A, long enough", "quite another text, B, that nobody has copied"
+    twice = spark.createDataFrame([(1, a), (2, b), (2, a), (3, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in dedup(twice).collect()) == [(1, a), (2, b)]
 
 
-# near copies of the pipeline
-@pytest.mark.parametrize("hot", [16, 1])
-def test_near_duplicate_stage_is_exact_jaccard(spark, rows, hot):
-    base = [f"w{i}" for i in range(300)]
-    texts = {k: " ".join(w if i % 97 != k or not k else f"x{k}" for i, w in enumerate(base)) for k in range(0, 40)}
-    texts |= {100: "a b c", 101: "A  b\nC", 102: "a b d", 103: "", 104: None, 105: " ", 106: " ".join(base[:245]), 107: " ".join(base[:236])}
-    texts |= {1000 + i: t for i, t in list(rows.items())[:60]} | {2000 + i: (t or "") + " one more" for i, t in list(rows.items())[:20]}
+def jaccard_roots(texts):
+    """Per id the least one that links of a five-word Jaccard similarity of 0.8 reach."""
     sets = {k: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4)) if w} for k, t in texts.items()}
     near = lambda a, b: a == b or (a | b and 5 * len(a & b) >= 4 * len(a | b))
     root = {k: k for k in sets}
@@ -393,6 +416,17 @@ def test_near_duplicate_stage_is_exact_jaccard(spark, rows, hot):
         if new == root:
             break
         root = new
+    return root
+
+
+# near copies of the pipeline
+@pytest.mark.parametrize("hot", [16, 1])
+def test_near_duplicate_stage_is_exact_jaccard(spark, rows, hot):
+    base = [f"w{i}" for i in range(300)]
+    texts = {k: " ".join(w if i % 97 != k or not k else f"x{k}" for i, w in enumerate(base)) for k in range(0, 40)}
+    texts |= {100: "a b c", 101: "A  b\nC", 102: "a b d", 103: "", 104: None, 105: " ", 106: " ".join(base[:245]), 107: " ".join(base[:236])}
+    texts |= {1000 + i: t for i, t in list(rows.items())[:60]} | {2000 + i: (t or "") + " one more" for i, t in list(rows.items())[:20]}
+    root = jaccard_roots(texts)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     found = common.materialize(similar.near_copies(df, hot), "found")
     groups = {}

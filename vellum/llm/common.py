@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 #: Rows up to which a side of longs (doc ids, fingerprints) may be broadcast: 8 MB of keys.
 BROADCAST_ROWS = 1_000_000
+#: Measured bytes up to which a stored side may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set (tests)."""
+    """The folder that driver and executors share, as the cluster names it; only a local master gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='vellum-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -56,6 +60,24 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+def broadcast_within(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcasts a stored side whose measured bytes are within the limit; beyond it Spark shuffles both sides."""
+    size = F.lit(16)
+    for field in df.schema.fields:
+        c = F.col(f"`{field.name}`")
+        kind = field.dataType.typeName()
+        size = size + F.coalesce(F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 32 if kind == "array" else F.lit(8), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= limit else df
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, salts: int = 64) -> DataFrame:
+    """left joined with right, which has one row per key. Where a key holds very many rows of left, they go to up to
+    `salts` tasks by a hash of the column `by`; right is repeated for the salts that occur."""
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    used = salted.select(F.col(key), "__salt").distinct().join(right, key)
+    return salted.join(used, [key, "__salt"]).drop("__salt")
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 

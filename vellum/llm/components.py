@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star rounds.
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Every round is two joins on
-node keys; a node with very many links is a skewed join key, which AQE splits, not a group.
+node keys. Links of one node are spread over tasks by their other end, and minima are taken per task first, so that
+a node with very many links is neither one task nor one group.
 """
 
 from __future__ import annotations
@@ -9,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialize, new_path, remove
+from vellum.llm.common import materialize, new_path, remove, spread_join
+
+
+#: Rounds are logarithmic in the longest path; more than these mean a fault.
+ROUNDS = 200
 
 
 def _minimum(links: DataFrame) -> DataFrame:
@@ -19,13 +24,13 @@ def _minimum(links: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_minimum(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return spread_join(both, _minimum(both), "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    linked = spread_join(down, least, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.union(least.select("u", F.col("m").alias("v")))
 
 
@@ -37,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     old, seen = "", None
     edges = edges.where("u <> v").select("u", "v")
-    for _ in range(200):
+    for _ in range(ROUNDS):
         path = new_path(spark, "links")
         stars = _small_star(_large_star(edges)).where("u <> v").distinct()
         edges = materialize(stars, "links", path)
@@ -47,5 +52,7 @@ def components(edges: DataFrame) -> DataFrame:
         if (now.n, now.h) == seen:
             break
         old, seen = path, (now.n, now.h)
+    else:
+        raise RuntimeError(f"components are not final after {ROUNDS} rounds")
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").union(roots.select(F.col("root").alias("node"), "root").distinct())

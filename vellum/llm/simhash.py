@@ -31,8 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import broadcast_if_small, chunks, materialize, table
+from vellum.llm.common import broadcast_if_small, chunks, materialize, spread_join, table
 from vellum.llm.components import components
+from vellum.llm.groups import keep_least, text_key
 
 SEED = 42
 SHINGLE = 4
@@ -69,15 +70,15 @@ def _fingerprints(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
         for part in chunks(batches, "text"):
             texts = part.column("text").cast(pa.binary())
             out = pa.array([fingerprint_of(x.as_py(), shingle) for x in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), out], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), out], ["doc_id", "text_key", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row of docs(doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    """(doc_id, text_key, fp) of every row of docs(doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("text_key"))
+    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, text_key long, fp long")
 
 
 @dataclass(frozen=True)
@@ -189,36 +190,26 @@ def _meeting(fps: DataFrame, limit: int) -> DataFrame:
     ball = F.array(*[F.lit(x) for x in _flips(-1, limit // 2)])
     points = fps.select("fp", F.explode(F.transform(ball, lambda x: F.col("fp").bitwiseXOR(x))).alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
-    return points.join(least, "point").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
+    return spread_join(points, least, "point", "fp").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, limit: int = LIMIT, shingle: int = SHINGLE, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: the least doc_id that its fingerprint reaches."""
+    """(doc_id, text_key, fp, root, component_id) of every row: its component's least fingerprint as a signed number,
+    and the least doc_id that its fingerprint reaches."""
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(materialize(links(distinct.select("fp"), limit, hot_bucket=hot_bucket), "pairs"))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialize(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = spread_join(rooted.select("fp", "root"), least, "root", "fp").select("fp", "root", "component_id")
+    return spread_join(prints, named, "fp", "doc_id").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, limit: int = LIMIT, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs that hold the least doc_id of their group; of equal ids in a group, one row.
-
-    Rows without a doc_id stay, as nothing tells which of a group they are.
-    """
-    found = near_duplicates(docs, limit, shingle)
-    dropped = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    kept = docs.join(broadcast_if_small(dropped, dropped.count()), "doc_id", "left_anti")
-    twice = materialize(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return kept
-    side = broadcast_if_small(twice, twice.count())
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    again = kept.join(side, "doc_id", "left_semi").withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).withColumn("_order", row)
-    one = again.groupBy("doc_id").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
-    return kept.join(side, "doc_id", "left_anti").select(*docs.columns).union(one)
+    """One row of docs for each component of fingerprints, that of the least doc_id and text."""
+    # not by component_id: rows of one doc_id with different texts may lie in several components
+    return keep_least(docs, near_duplicates(docs, limit, shingle).select("doc_id", "text_key", "root"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
