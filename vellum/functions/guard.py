@@ -29,7 +29,7 @@ INJECTIONS = [
 # Categories that make a text at least of medium severity.
 SEVERE = ("data_exfiltration", "format_string_attack")
 # Code points that don't show.
-INVISIBLE = "​‌‍‎‏⁠⁡⁢⁣⁤﻿­͏؜ᅟᅠ឴឵᠎ﾠ"
+INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\uffa0"
 FLAGS = "(?im)"
 
 
@@ -71,23 +71,30 @@ def sanitized(df: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumn("clean", clean).withColumn("was_modified", ~F.col("clean").eqNullSafe(F.col(column)))
 
 
-def shingles(text: Column, n: int = 4) -> Column:
-    """The distinct runs of n white-space separated words in lower case; none of shorter texts."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
-    return F.when(F.size(words) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+def word_list(text: Column) -> Column:
+    """The white-space separated words in lower case."""
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
 
 
-def leaks(prompts: DataFrame, outputs: DataFrame, prompt_key: str, output_key: str, n: int = 4, least_words: int = 5, broadcast_grams: int = 1_000_000) -> DataFrame:
+def grams(df: DataFrame, key: str, n: int = 4, least_words: int = 0) -> DataFrame:
+    """(key, gram): the runs of n words of every text of df(key, text) with n and `least_words` words.
+
+    The words are a column below the explosion, so a text is split once, not once per run.
+    """
+    words = df.select(F.col(key), word_list(F.col("text")).alias("_words"))
+    starts = F.when(F.size("_words") >= max(n, least_words), F.sequence(F.lit(1), F.size("_words") - n + 1))
+    return words.select(key, "_words", F.explode(starts).alias("_at")).select(key, F.array_join(F.slice("_words", F.col("_at"), n), " ").alias("gram"))
+
+
+def leaks(prompts: DataFrame, outputs: DataFrame, prompt_key: str, output_key: str, n: int = 4, least_words: int = 5, broadcast_chars: int = 50_000_000) -> DataFrame:
     """Pairs of keys where an output holds n consecutive words of a prompt of at least `least_words` words.
 
-    Both sides are exploded to distinct runs and joined on them; the prompts' side is broadcast while
-    it is counted small, so that outputs aren't shuffled.
+    Both sides are exploded to runs of words and joined on them; the prompts' side is broadcast while
+    their texts are measured small (a text has fewer runs than characters), so that outputs aren't shuffled.
     """
-    words = F.size(F.filter(F.split(F.col("text"), r"\s+"), lambda x: x != ""))
-    left = prompts.where(words >= least_words).select(F.col(prompt_key), F.explode(shingles(F.col("text"), n)).alias("gram"))
-    right = outputs.select(F.col(output_key), F.explode(shingles(F.col("text"), n)).alias("gram"))
-    small = left.limit(broadcast_grams + 1).count() <= broadcast_grams
-    return right.join(F.broadcast(left) if small else left, "gram").select(output_key, prompt_key).distinct()
+    left = grams(prompts, prompt_key, n, least_words).distinct()
+    small = (prompts.agg(F.sum(F.length("text"))).first()[0] or 0) <= broadcast_chars
+    return grams(outputs, output_key, n).join(F.broadcast(left) if small else left, "gram").select(output_key, prompt_key).distinct()
 
 
 def validated(output: Column, expected: list[str] | None = None) -> Column:
