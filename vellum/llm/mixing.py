@@ -1,20 +1,21 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source has a target in words. A source takes floor(target / size) whole copies of every document
-for certain; the rest, a share f below 1, is a sample in Pareto order (Rosén 1997): document i with
-inclusion probability p_i has rank (u / (1 - u)) / (p_i / (1 - p_i)) for a uniform u, and the lowest
-ranks are taken until the words reach the rest of the target. p_i is f times the document's weight
-over the source's mean weight, at most 1; without weights all of a source's documents have p_i = f, which differs
-between sources. u hashes the row and a seed, so reruns agree.
+for certain; the rest, a share f of its words below 1, is an unequal-probability sample in Pareto order (Rosén
+1997): document i with inclusion probability p_i has rank (u / (1 - u)) / (p_i / (1 - p_i)) for a uniform u, and
+the lowest ranks are taken until the words reach the rest of the target. p_i = min(1, level * weight_i), the level such
+that the expected words, the sum of p_i * size_i, are the rest; a document of p_i = 1 is taken for certain. The weight
+is the square root of the size unless a column gives it, so that long documents are likelier, but less than in
+proportion; it is rounded down to classes of 1 / `CLASSES` octave, from whose sums each source's level
+is found. u hashes the row and a seed, so reruns agree.
 
 The words below a rank are a prefix sum without a window over a whole source: ranks fall into
-quantile buckets (r / (1 + r) is between 0 and 1), buckets are summed, and only documents of the one
-bucket per source where the sum passes the rest are ordered exactly. Buckets are set by count, so that
-one holds about `BUCKET_ROWS` documents whatever the source's size.
+buckets of about `BUCKET_ROWS` documents (more where many documents are far less likely than the mean), buckets are
+summed, and only documents of the one bucket per source where the sum passes the rest are ordered exactly.
 
 Edge cases: null text has size 0 and takes 0 words; null sources form one source, last in order;
 rows of equal id and text share their rank, so they are taken alike but for a tie at the cut; a source of
-size 0 takes nothing; empty tables give no rows.
+size 0 takes nothing; a null or non-positive weight counts as the least class; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SHARE = 1.5
 MOST = 2.0
 SEED = 17
 BUCKET_ROWS = 1000
+#: Weight classes to an octave, and the classes' range.
+CLASSES, RANGE = 16, 1024
 #: Sources up to which their table of totals is broadcast (some 100 bytes each).
 BROADCAST_SOURCES = 50_000
 
@@ -77,22 +80,32 @@ def _uniform(seed: int, *columns: str):
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, weight: str | None = None) -> DataFrame:
-    """sized(doc_id, source, size, row_hash[, weight][, row]) -> with source_size, target, copies and taken words.
+def _levels(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, level, certain): the factor from weights to probabilities, and the words of documents of probability 1.
 
-    A struct column `row` is carried through; it is read again, not stored.
+    Classes are capped from the heaviest down; the first that stays below 1 with all above it capped names the level.
+    The windows run over a source's classes, 2 * `RANGE` rows at most.
     """
-    rows = sized.withColumn("_w", F.col(weight).cast("double") if weight else F.lit(1.0))
-    if "row" not in sized.columns:
-        rows = materialize(rows, "sized")
-    stats = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"), F.avg("_w").alias("_mean"))
-    stats = materialize(stats, "sources")
+    classes = rows.groupBy("source", "_class").agg(F.sum("size").alias("_words")).join(plan.select("_s", "_rest"), F.col("source").eqNullSafe(F.col("_s")))
+    weight = F.pow(F.lit(2.0), F.col("_class") / CLASSES)
+    down = Window.partitionBy("_s").orderBy(F.desc("_class"))
+    above = F.coalesce(F.sum("_words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = F.sum(weight * F.col("_words")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    tried = classes.withColumn("_above", above).withColumn("_level", F.when(below > 0, (F.col("_rest") - F.col("_above")) / below))
+    is_open = F.col("_level") * weight <= 1
+    best = tried.groupBy("_s").agg(F.max(F.when(is_open, F.struct("_class", "_level", "_above"))).alias("_b"))
+    return best.select(F.col("_s").alias("_ls"), F.greatest(F.coalesce("_b._level", F.lit(0.0)), F.lit(0.0)).alias("_level"), F.coalesce("_b._above", F.lit(0)).alias("_certain"))
+
+
+def probabilities(rows: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """rows(source, size, _class, ...) -> with source_size, target, whole copies and the probability `_p` of one more."""
+    stats = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n")), "sources")
     n = stats.count()
     side = (lambda df: F.broadcast(df)) if n <= BROADCAST_SOURCES else (lambda df: df)
     plan = (
         allocate(stats.select("source", "source_size"), weights, share, most)
         .withColumnRenamed("source", "_s")
-        .join(stats.select(F.col("source").alias("_s2"), "_n", "_mean"), F.col("_s").eqNullSafe(F.col("_s2")))
+        .join(stats.select(F.col("source").alias("_s2"), "_n"), F.col("_s").eqNullSafe(F.col("_s2")))
         .withColumn("_ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
         .withColumn("_whole", F.floor(F.col("_ratio") + 1e-12).cast("long"))
         .withColumn("_rest", F.greatest(F.col("target") - F.col("_whole") * F.col("source_size"), F.lit(0.0)))
@@ -101,36 +114,56 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
         .drop("_s2")
     )
     plan = materialize(plan, "targets")
-    p = F.least(F.col("_f") * F.col("_w") / F.col("_mean"), F.lit(1.0))
-    u = F.col("_u")
+    plan = materialize(plan.join(_levels(rows, plan), F.col("_s").eqNullSafe(F.col("_ls"))).drop("_ls"), "levels")
+    p = F.when(F.col("_f") > 0, F.least(F.col("_level") * F.pow(F.lit(2.0), F.col("_class") / CLASSES), F.lit(1.0))).otherwise(0.0)
+    return rows.join(side(plan), F.col("source").eqNullSafe(F.col("_s"))).withColumn("_p", p)
+
+
+def classed(sized: DataFrame, weight: str | None = None) -> DataFrame:
+    """Adds the weight's class."""
+    w = F.col(weight).cast("double") if weight else F.sqrt(F.greatest(F.col("size"), F.lit(1)).cast("double"))
+    octaves = F.floor(F.log2(F.when(w > 0, w)) * CLASSES)
+    return sized.withColumn("_class", F.greatest(F.least(F.coalesce(octaves, F.lit(-RANGE)), F.lit(RANGE)), F.lit(-RANGE)).cast("int"))
+
+
+def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, weight: str | None = None) -> DataFrame:
+    """sized(doc_id, source, size, row_hash[, weight][, row]) -> with source_size, target, copies and taken words.
+
+    A struct column `row` is carried through; it is read again, not stored.
+    """
+    rows = classed(sized, weight)
+    if "row" not in sized.columns:
+        rows = materialize(rows, "sized")
+    drawn = probabilities(rows, weights, share, most).withColumn("_u", _uniform(seed, "doc_id", "row_hash"))
+    u, p, f = F.col("_u"), F.col("_p"), F.least(F.col("_f"), F.lit(1 - 1e-9))
     rank = F.when(p >= 1, F.lit(0.0)).when(p <= 0, F.lit(1e300)).otherwise(u / (1 - u) * (1 - p) / p)
+    # beside the odds of f, ranks of documents as likely as the mean are as even as u
+    even = F.col("_rank") * f / (1 - f)
     ranked = (
-        rows.join(side(plan), F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("_u", _uniform(seed, "doc_id", "row_hash"))
-        .withColumn("_rank", rank)
-        # equal weights: the rank orders as u does, and u is spread evenly; else r / (1 + r)
-        .withColumn("_key", F.col("_rank") / (1 + F.col("_rank")) if weight else F.when(p <= 0, F.lit(1.0)).otherwise(u))
+        drawn.withColumn("_rank", rank)
+        .withColumn("_key", F.when(p <= 0, F.lit(1.0)).otherwise(even / (1 + even)))
         .withColumn("_bucket", F.least(F.floor(F.col("_key") * F.col("_buckets")), F.col("_buckets") - 1))
+        .withColumn("_sure", p >= 1)
     )
-    sums = ranked.groupBy("_s", "_bucket").agg(F.sum("size").alias("_words"), F.first("_rest").alias("_rest"), F.first("_f").alias("_f"))
-    sums = sums.where("_f > 0")
+    sums = ranked.where("_f > 0 and not _sure").groupBy("_s", "_bucket").agg(F.sum("size").alias("_words"), F.first(F.col("_rest") - F.col("_certain")).alias("_left"))
     # one row per bucket; the window over a source holds its documents / BUCKET_ROWS rows
     running = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     cut = (
         sums.withColumn("_before", F.coalesce(F.sum("_words").over(running), F.lit(0)))
-        .where("_before < _rest and _before + _words >= _rest")
-        .select(F.col("_s").alias("_cs"), F.col("_bucket").alias("_cut"), "_before")
-        .groupBy("_cs")
-        .agg(F.min(F.struct("_cut", "_before")).alias("_c"))
+        .where("_before < _left and _before + _words >= _left")
+        .groupBy(F.col("_s").alias("_cs"))
+        .agg(F.min(F.struct(F.col("_bucket").alias("_cut"), "_before")).alias("_c"))
         .select("_cs", "_c.*")
     )
     cut = materialize(cut, "cuts")
+    side = (lambda df: F.broadcast(df)) if cut.count() <= BROADCAST_SOURCES else (lambda df: df)
     joined = ranked.join(side(cut), F.col("_s").eqNullSafe(F.col("_cs")), "left")
     exact = Window.partitionBy("_s", "_bucket").orderBy("_rank", "doc_id", "row_hash").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = joined.where("_bucket = _cut").withColumn("_words", F.col("_before") + F.coalesce(F.sum("size").over(exact), F.lit(0)))
+    at_cut = joined.where("_bucket = _cut and not _sure").withColumn("_words", F.col("_before") + F.coalesce(F.sum("size").over(exact), F.lit(0)))
     # a document goes in if more than half of it lies below the rest: the sum ends within half a document
-    at_cut = at_cut.withColumn("_extra", F.col("_words") + F.col("size") / 2 <= F.col("_rest")).drop("_words")
-    others = joined.where("_cut is null or _bucket <> _cut").withColumn("_extra", (F.col("_f") > 0) & (F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut"))))
+    at_cut = at_cut.withColumn("_extra", F.col("_words") + F.col("size") / 2 <= F.col("_rest") - F.col("_certain")).drop("_words")
+    others = joined.where("_cut is null or _bucket <> _cut or _sure")
+    others = others.withColumn("_extra", (F.col("_f") > 0) & (F.col("_sure") | ((F.col("_rest") > F.col("_certain")) & (F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut"))))))
     return others.unionByName(at_cut).withColumn("copies", F.col("_whole") + F.col("_extra").cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
