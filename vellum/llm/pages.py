@@ -6,11 +6,12 @@ nodes. With C characters, T tags, LC characters in links and LT link tags below
 C / T * log_b(C / LC * T / LT) with b = ln(C / (C - LC) * LC + LC_body / C_body * C + e); a node's density sum adds
 its children's densities. The node of greatest sum leads to the content: the threshold is the least density on its path to
 the body, and from the body down every node at or above it, siblings included, gives content: the subtree of greatest
-sum in it. Where that lies in an article or main, the article is the content, and nothing beside it.
+sum in it.
 
-Before that, parts that are no content by their tag or their class, id or role are left out with all below them: menus,
-headers outside articles, footers, sidebars, notices, adverts, forms, scripts, styles, comments.
-Formatting tags are neither nodes nor counted.
+Before that, parts that are no content by their tag, or by a class, id or role made of nothing but words for such
+parts, are left out with all below them: menus, headers outside articles, footers, sidebars, notices, adverts, forms,
+scripts, styles, reader comments. `comments-open` or `share-price` name no such part. Formatting tags are neither
+nodes nor counted.
 
 Text: character references are decoded, white space in a block becomes one space, empty blocks are
 left out, blocks are joined by a line feed in page order. Nothing else is dropped.
@@ -26,6 +27,7 @@ import html
 import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import chunks, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+|[^>]*+)>", re.S)
 NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -52,11 +54,20 @@ CLOSES_P = frozenset(
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
 # Words in a class, id or role that mark what is no content.
 BOILERPLATE = frozenset(
-    """ad ads adbox advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo consent cookie cookies
-    disclaimer disqus dropdown footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination paywall popup promo promoted
-    recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget""".split()
-)
-#: The same, but for an article's own header.
+    [
+        "ad", "ads", "advert", "adverts", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "complementary", "contentinfo", "consent", "cookie", "cookies",
+        "disqus", "dropdown", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay", "pagination", "paywall", "popup", "promo",
+        "related", "search", "share", "sharing", "sidebar", "signup", "social", "sponsored", "subscribe", "toolbar", "widget",
+    ]
+)
+# Words that may stand beside those.
+NEUTRAL = frozenset(
+    [
+        "and", "area", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "form", "global", "group", "header", "inner", "item", "items", "js", "left",
+        "link", "links", "list", "main", "nested", "outer", "page", "panel", "posts", "primary", "reader", "right", "secondary", "section", "site", "slot", "thread", "top", "user", "wrap", "wrapper",
+    ]
+)
+#: The same as the first, but for an article's own header.
 HEADERS = frozenset(["header", "banner"])
 
 
@@ -64,7 +75,7 @@ class _Page:
     """A page's block nodes in page order, and its pieces of text."""
 
     def __init__(self) -> None:
-        self.parent, self.tag, self.end = [-1], ["body"], [0]
+        self.parent, self.tag, self.end = [-1], ["body"], [1]
         self.chars, self.linked, self.tags, self.links = [0], [0], [0], [0]
         self.pieces: list[tuple[int, int, str]] = []
 
@@ -74,10 +85,15 @@ def _is_left_out(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if not attributes:
         return False
-    words = {w for m in NAMES.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())}
-    if tag in ("body", "html", "article", "main") and not words & {"comment", "comments"}:
-        return False
-    return bool(words & BOILERPLATE) or (not in_article and bool(words & HEADERS))
+    for m in NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = set(WORD.findall(name))
+            marks = words & (BOILERPLATE if in_article else BOILERPLATE | HEADERS)
+            if tag in ("body", "html", "article", "main"):
+                marks &= {"comment", "comments"}
+            if marks and words <= BOILERPLATE | HEADERS | NEUTRAL:
+                return True
+    return False
 
 
 def parse(page: str) -> _Page:
@@ -85,18 +101,19 @@ def parse(page: str) -> _Page:
     out = _Page()
     #: Open elements: tag, node (or the parent's for formatting), whether left out.
     stack: list[tuple[str, int, bool]] = [("body", 0, False)]
-    block, at, link, articles = 0, 0, 0, 0
+    block, at, link, articles, last = 0, 0, 0, 0, page.rfind(">")
+    #: How many elements of a tag are open: no stack is searched for one that is not.
+    opened: Counter[str] = Counter()
 
     def close(depth: int) -> None:
         nonlocal link, articles
         while len(stack) > depth:
-            tag, node, _ = stack.pop()
+            tag, _, _ = stack.pop()
+            opened[tag] -= 1
             if tag == "a":
                 link -= 1
             elif tag in ("article", "main"):
                 articles -= 1
-            if tag not in INLINE:
-                out.end[node] = len(out.tag)
 
     def text(piece: str) -> None:
         tag, node, hidden = stack[-1]
@@ -110,7 +127,7 @@ def parse(page: str) -> _Page:
             out.linked[node] += size
 
     while at < len(page):
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last else None
         if not m:
             text(page[at:])
             break
@@ -120,7 +137,7 @@ def parse(page: str) -> _Page:
             continue
         tag = m[2].lower()
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                 if stack[depth][0] == tag:
                     close(depth)
                     break
@@ -138,7 +155,7 @@ def parse(page: str) -> _Page:
             ends, bounds = ({"p"}, {"td", "th", "button"}) if tag in CLOSES_P else (set(), set())
             if tag in ENDS:
                 ends, bounds = ends | ENDS[tag][0], bounds | ENDS[tag][1]
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(opened[x] > 0 for x in ends) else ():
                 if stack[depth][0] in bounds:
                     break
                 if stack[depth][0] in ends:
@@ -157,6 +174,7 @@ def parse(page: str) -> _Page:
                     out.tags[node] += 1
                     out.links[node] += 1
             stack.append((tag, node, hidden))
+            opened[tag] += 1
             continue
         hidden = hidden or _is_left_out(tag, m[3], articles > 0)
         if tag in ("article", "main"):
@@ -164,12 +182,11 @@ def parse(page: str) -> _Page:
         if not hidden:
             out.parent.append(node)
             out.tag.append(tag)
-            for counts in (out.end, out.chars, out.linked, out.tags, out.links):
+            for counts in (out.chars, out.linked, out.tags, out.links):
                 counts.append(0)
             node = len(out.tag) - 1
-        stack.append((tag if not hidden else tag, node, hidden))
-    # a left out element has its parent's node, whose end is set when the parent itself closes
-    close(1)
+        stack.append((tag, node, hidden))
+        opened[tag] += 1
     out.end = _ends(out.parent)
     return out
 
@@ -215,26 +232,11 @@ def content_nodes(page: _Page) -> list[tuple[int, int]]:
     while i >= 0:
         threshold = min(threshold, density[i])
         i = page.parent[i]
-    # of each node: the one of greatest sum in its subtree, and the article or main around it
-    top, around = list(range(n)), [-1] * n
+    # of each node: the one of greatest sum in its subtree
+    top = list(range(n))
     for i in range(n - 1, 0, -1):
         top[page.parent[i]] = max(top[page.parent[i]], top[i], key=lambda k: (sums[k], -k))
-    for i in range(1, n):
-        outer = around[page.parent[i]]
-        around[i] = outer if outer >= 0 and page.tag[i] not in ("article", "main") else i if page.tag[i] in ("article", "main") else -1
-    ranges: list[tuple[int, int]] = []
-    i = 0
-    while i < n:
-        if density[i] >= threshold and density[i] > 0:
-            up = around[top[i]]
-            if up >= i:
-                # the article is the content by its tag, whatever the densities beside it
-                ranges.append((up, page.end[up]))
-                i = page.end[i]
-                continue
-            ranges.append((top[i], page.end[top[i]]))
-        i += 1
-    return ranges
+    return [(top[i], page.end[top[i]]) for i in range(n) if density[i] >= threshold and density[i] > 0]
 
 
 def extract(page: str | None) -> str:
