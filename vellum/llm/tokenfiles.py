@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vellum.llm.common import chunks, default_parallelism, new_path, table
+from vellum.llm.common import broadcast_within, chunks, default_parallelism, materialize, new_path, table
 
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces that a worker keeps; beyond them it forgets those that it met once, down to half at least.
-CACHE_PIECES = 300_000
+#: Pieces that a worker keeps, and their characters; beyond either it forgets those that it met once, down to half at least.
+CACHE_PIECES, CACHE_CHARS = 300_000, 16 << 20
 STRIPE_BYTES = 16 << 20
 BLOOM_FPP = 0.01
 
@@ -61,6 +61,7 @@ class PieceEncoder:
     def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         #: Whether an id's text starts with a space or line feed, as the first id of a piece does and no other.
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, k in self.tokenizer.get_vocab().items():
@@ -69,7 +70,8 @@ class PieceEncoder:
 
     def _clear(self) -> None:
         self.known = _Numbers()
-        self.ids = np.zeros(1 << 20, dtype=np.uint16)
+        self.ids = np.zeros(1 << 20, dtype=self.dtype)
+        self.chars = 0
         self.used = 0
         #: Where a piece's ids lie; -1: the piece may join what follows it.
         self.starts = np.zeros(1 << 18, dtype=np.int64)
@@ -81,9 +83,12 @@ class PieceEncoder:
         """Keeps the pieces that were met more than once, the most frequent half of the bound at most."""
         names, n = list(self.known), len(self.known)
         keep = np.argsort(-self.uses[:n], kind="stable")[: CACHE_PIECES // 2]
+        sizes = np.fromiter(map(len, names), np.int64, n)
+        keep = keep[np.cumsum(sizes[keep]) <= CACHE_CHARS // 2]
         keep = np.sort(keep[self.uses[keep] > 1])
         ids, starts, lengths, uses = self.ids, self.starts[keep], self.ends[keep] - self.starts[keep], self.uses[keep]
         self._clear()
+        self.chars = int(sizes[keep].sum())
         self.known.update(zip(map(names.__getitem__, keep.tolist()), range(len(keep)), strict=True))
         upto = np.cumsum(lengths)
         if len(keep):
@@ -108,6 +113,7 @@ class PieceEncoder:
         """Encodes the pieces that were numbered since the last call."""
         new, first = self.known.new, len(self.known) - len(self.known.new)
         self.known.new = []
+        self.chars += sum(map(len, new))
         if len(self.known) > len(self.starts):
             size = max(len(self.known), 2 * len(self.starts))
             self.starts, self.ends = np.resize(self.starts, size), np.resize(self.ends, size)
@@ -134,7 +140,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, an end id after each, and where each text's ids end."""
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > CACHE_PIECES or self.chars > CACHE_CHARS:
             self._forget()
         flat: list[int] = []
         ends = []
@@ -227,8 +233,8 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_back(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every row of token files.
 
-    `start` sums n_tokens over the files before, in name order, and the rows before in the file. The
-    windows run over one row per file, and over a file's rows without their ids.
+    `start` sums n_tokens over the files before, in the order of their part numbers, and the rows before in the file.
+    The windows run over one row per file, and over a file's rows without their ids.
     """
     place = F.col("_metadata")
     rows = read_tokens(spark, path).select(
@@ -236,10 +242,13 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     )
     read = rows.mapInArrow(_checksums, "file string, block long, row long, doc_id long, n_tokens long, ids_crc32 long")
     sums = read_tokens(spark, path).select("n_tokens", place["file_name"].alias("_file")).groupBy("_file").agg(F.sum("n_tokens").alias("_sum"))
-    files = sums.select("_file", (F.sum("_sum").over(Window.orderBy("_file")) - F.col("_sum")).alias("_before"))
+    # names sort by text, where part-100000 precedes part-99999
+    number = F.regexp_extract("_file", r"part-(\d+)", 1).cast("long")
+    files = sums.select("_file", (F.sum("_sum").over(Window.orderBy(number, "_file")) - F.col("_sum")).alias("_before"))
+    files = materialize(files, "files")
     before = Window.partitionBy("file").orderBy("block", "row").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        read.join(F.broadcast(files), F.col("file") == F.col("_file"))
+        read.join(broadcast_within(files), F.col("file") == F.col("_file"))
         .withColumn("start", F.col("_before") + F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
         .select("doc_id", "start", "n_tokens", "ids_crc32")
     )
