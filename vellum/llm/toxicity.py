@@ -18,12 +18,14 @@ results; extra columns are carried through by `keep_clean`; an empty table gives
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ from vellum.llm.common import chunks, materialize, table
 
 #: Labelled rows that training reads at most.
 TRAIN_ROWS = 20_000
+#: Tasks over which those rows are fitted: some thousands in each.
+FIT_TASKS = 4
 FEATURES = 1_000
 FOLDS = 3
 THRESHOLD = 0.4
@@ -91,10 +95,13 @@ class Scorer:
 
 
 def _probabilities(chain: Chain, scorer: Scorer, texts: list[str | None]) -> np.ndarray:
+    present = [sorted(scorer.present(text)) for text in texts]
+    ends = np.cumsum([len(x) for x in present], dtype=np.int64)
+    some = np.flatnonzero(np.diff(ends, prepend=0))
     out = np.zeros((len(texts), len(chain.names)))
-    for i, text in enumerate(texts):
-        at = list(scorer.present(text))
-        out[i] = chain.weights[:, at].sum(axis=1)
+    if len(some):
+        weights = chain.weights[:, np.fromiter(itertools.chain.from_iterable(present), np.int64, int(ends[-1]))]
+        out[some] = np.add.reduceat(weights, np.concatenate(([0], ends[:-1]))[some], axis=1).T
     for c in range(len(chain.names)):
         out[:, c] = _sigmoid(out[:, c] + chain.intercepts[c] + out[:, :c] @ np.array(chain.earlier[c][:c], dtype=float))
     return out
@@ -167,15 +174,14 @@ def _fit(rows: DataFrame, name: str, width: int) -> tuple[np.ndarray, float]:
     return np.array(model.coefficients.toArray()), float(model.intercept)
 
 
-def _sparse(width: int):
-    from pyspark.ml.linalg import Vectors, VectorUDT
-
-    @F.udf(VectorUDT())
-    def made(at, earlier):
-        pairs = [(i, 1.0) for i in at] + [(width + k, float(p)) for k, p in enumerate(earlier)]
-        return Vectors.sparse(width + len(earlier), pairs)
-
-    return made
+def _with_vectors(rows: DataFrame, width: int, earlier: int) -> DataFrame:
+    """Adds `x`: the presence of each kept feature, then the earlier categories' probabilities, as sparse vectors."""
+    present = CountVectorizerModel.from_vocabulary([str(i) for i in range(max(width, 1))], "_features", "_presence")
+    counted = present.setBinary(True).transform(rows.withColumn("_features", F.transform("at", lambda i: i.cast("string"))))
+    # the vocabulary may not be empty: its one feature then occurs nowhere
+    for k in range(earlier):
+        counted = counted.withColumn(f"_p{k}", F.col("earlier")[k])
+    return VectorAssembler(inputCols=["_presence", *[f"_p{k}" for k in range(earlier)]], outputCol="x").transform(counted).drop("_features")
 
 
 def train(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, str], ...] = CHAIN, rows: int = TRAIN_ROWS, keep: int = FEATURES, folds: int = FOLDS) -> Chain:
@@ -184,16 +190,16 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, str], ...]
     some = materialize(training_rows(docs, labels, chain, rows), "labelled")
     index = select_features(some, names, keep)
     width = len(index)
-    present = materialize(some.mapInArrow(_presence(index, names), "doc_id long, at array<int>, " + ", ".join(f"{n} int" for n in names)).coalesce(4), "presence")
+    present = materialize(some.mapInArrow(_presence(index, names), "doc_id long, at array<int>, " + ", ".join(f"{n} int" for n in names)).coalesce(FIT_TASKS), "presence")
     present = present.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)))
     weights, intercepts, earlier = [], [], []
     passed = present.withColumn("earlier", F.expr("cast(array() as array<double>)"))
     for c, name in enumerate(names):
-        width_now = width + c
-        rows_now = passed.withColumn("x", _sparse(width)("at", "earlier")).cache()
+        width_now = max(width, 1) + c
+        rows_now = _with_vectors(passed, width, c).cache()
         w, b = _fit(rows_now, name, width_now)
         weights.append(w[:width])
-        earlier.append(tuple(float(x) for x in w[width:]))
+        earlier.append(tuple(float(x) for x in w[max(width, 1) :]))
         intercepts.append(b)
         if c + 1 < len(names):
             fitted = [_fit(rows_now.where(F.col("fold") != k), name, width_now) for k in range(folds)]
@@ -210,7 +216,7 @@ def _out_of_fold(fitted: list[tuple[np.ndarray, float]], width: int) -> Callable
             out = []
             for at, before, fold in zip(*[batch.column(c).to_pylist() for c in ("at", "earlier", "fold")], strict=True):
                 w, b = fitted[fold]
-                out.append([*before, float(_sigmoid(w[at].sum() + b + float(np.dot(w[width:], before) if before else 0.0)))])
+                out.append([*before, float(_sigmoid(w[at].sum() + b + float(np.dot(w[max(width, 1) :], before) if before else 0.0)))])
             k = batch.schema.get_field_index("earlier")
             yield batch.set_column(k, batch.schema.field(k), pa.array(out, batch.schema.field(k).type))
 
