@@ -35,24 +35,32 @@ VOCABULARY = "piece_bpe_32k.model"
 #: Labelled documents that fitting reads at most.
 TRAIN_ROWS = 12_000
 ROUNDS = 3
-#: Pieces are letters in lower case of at most so many characters, the word start included.
-LONGEST = 8
 SMOOTHING = 0.01
 UNKNOWN = 1e-7
 CACHE_WORDS = 700_000
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters. The pattern also takes numbers that are no digits, such as superscripts."""
+    found = WORD.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 _U = np.uint64
 _B = _U(0x9E3779B97F4A7C15)
 _BITS = 20
 
 
 def pieces_of(path: str) -> list[str]:
-    """The vocabulary's pieces of lower-case letters, short enough."""
+    """The vocabulary's pieces of lower-case letters."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return sorted({p for p in found if len(p) <= LONGEST and (p == START or p.removeprefix(START).isalpha()) and p == p.lower()})
+    return sorted({p for p in found if (p == START or p.removeprefix(START).isalpha()) and p == p.lower()})
 
 
 class Lattice:
@@ -64,7 +72,7 @@ class Lattice:
         self.hashes, self.numbers = hashes[order], order
         self.maybe = np.zeros(1 << _BITS, dtype=bool)
         self.maybe[hashes >> _U(64 - _BITS)] = True
-        self.n = len(pieces)
+        self.n, self.longest = len(pieces), max(map(len, pieces), default=1)
 
     @staticmethod
     def _hashes(codes: np.ndarray, width: int) -> np.ndarray:
@@ -81,7 +89,7 @@ class Lattice:
         number after the last for a single character outside the vocabulary."""
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1)
         out = []
-        for width in range(1, min(LONGEST, codes.shape[1]) + 1):
+        for width in range(1, min(self.longest, codes.shape[1]) + 1):
             h = self._hashes(codes, width)
             found = np.full(h.shape, self.n if width == 1 else -1, dtype=np.int64)
             hit = np.nonzero(self.maybe[h >> _U(64 - _BITS)])
@@ -159,7 +167,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches, "text", 8 << 20):
         counts: dict[str, Counter] = {}
         for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
-            counts.setdefault(lang, Counter()).update(WORD.findall((text or "").lower()))
+            counts.setdefault(lang, Counter()).update(words_of((text or "").lower()))
         for lang, found in counts.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(list(found)), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
@@ -239,7 +247,7 @@ class Scorer:
             self.log, self.letters = np.resize(self.log, (size, self.log.shape[1])), np.resize(self.letters, size)
         words, owners = [], []
         for i, token in enumerate(tokens, first):
-            for word in WORD.findall(token):
+            for word in words_of(token):
                 words.append(START + word)
                 owners.append(i)
         self.log[first : first + len(tokens)] = 0
@@ -264,11 +272,15 @@ class Scorer:
             flat += map(self.known.__getitem__, tokens)
             ends.append(len(flat))
         at = np.array(flat, dtype=np.int64)
-        sums = np.vstack([np.zeros((1, self.log.shape[1])), np.cumsum(self.log[at], axis=0)]) if len(at) else np.zeros((1, self.log.shape[1]))
-        some = np.concatenate(([0], np.cumsum(self.letters[at]))) if len(at) else np.zeros(1)
-        stops = np.array(ends)
-        starts = np.concatenate(([0], stops[:-1]))
-        return sums[stops] - sums[starts], some[stops] > some[starts]
+        # each text is summed on its own: equal texts have equal sums
+        stops = np.array(ends, dtype=np.int64)
+        starts = np.concatenate(([0], stops[:-1])).astype(np.int64)
+        some = np.flatnonzero(stops > starts)
+        sums, letters = np.zeros((len(texts), self.log.shape[1])), np.zeros(len(texts), dtype=bool)
+        if len(some):
+            sums[some] = np.add.reduceat(self.log[at], starts[some], axis=0)
+            letters[some] = np.logical_or.reduceat(self.letters[at], starts[some])
+        return sums, letters
 
 
 _SCORERS: dict[int, Scorer] = {}
