@@ -198,6 +198,53 @@ def test_mix(spark, docs):
     assert mixed.columns == docs.columns and mixed.count() > docs.count() * 0.9
 
 
+def test_pareto_inclusion(spark):
+    """Probabilities against brute force, and how often documents are taken over many seeds."""
+    sizes = {("a", i): 1 + 7 * i * i % 400 for i in range(120)} | {("b", i): 50 for i in range(40)} | {("c", 0): 9}
+    df = spark.createDataFrame([(i, s, n, 10 * i) for (s, i), n in sizes.items()], "doc_id long, source string, size long, row_hash long").cache()
+    got = {(r.source, r.doc_id): r for r in mixing.probabilities(mixing.classed(df), mixing.WEIGHTS, mixing.SHARE, mixing.MOST).collect()}
+    for s in "abc":
+        ids = [k for k in sizes if k[0] == s]
+        rest = got[ids[0]]._rest
+        w = {k: 2 ** (math.floor(math.log2(math.sqrt(sizes[k])) * mixing.CLASSES) / mixing.CLASSES) for k in ids}
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(sizes[k] * min(1, mid * w[k]) for k in ids) < rest else (low, mid)
+        want = {k: min(1, high * w[k]) if got[k]._f > 0 else 0.0 for k in ids}
+        assert all(math.isclose(got[k]._p, want[k], rel_tol=1e-6, abs_tol=1e-9) for k in ids)
+    assert len({round(r._p, 3) for r in got.values()}) > 10
+    trials, taken = 25, Counter()
+    for seed in range(trials):
+        rows = mixing.mix(df, seed=seed).collect()
+        for s in "ab":
+            assert abs(sum(r.taken for r in rows if r.source == s) - got[(s, 0)].target) <= 201
+        taken.update((r.source, r.doc_id) for r in rows if r.copies > r._whole)
+    # groups of like probability are taken as often as it says
+    free = sorted((r._p, k) for k, r in got.items() if 0 < r._p < 1)
+    for at in range(0, len(free), 40):
+        some = free[at : at + 40]
+        p, n = sum(x for x, _ in some) / len(some), len(some) * trials
+        assert abs(sum(taken[k] for _, k in some) / n - p) < 4 * math.sqrt(p * (1 - p) / n) + 0.02
+    assert all(taken[k] == trials for k, r in got.items() if r._p >= 1)
+
+
+def test_mix_against_brute_force(spark, docs):
+    rows = {r.doc_id: r for r in mixing.mix(mixing.sized(docs)).collect()}
+    for s in {r.source for r in rows.values()}:
+        ids = [i for i, r in rows.items() if r.source == s]
+        left, running, extra = rows[ids[0]]._rest, 0, set()
+        if rows[ids[0]]._f > 0:
+            sure = {i for i in ids if rows[i]._p >= 1}
+            left -= sum(rows[i].size for i in sure)
+            for i in sorted(set(ids) - sure, key=lambda i: (rows[i]._u / (1 - rows[i]._u) * (1 - rows[i]._p) / rows[i]._p, i)):
+                if running + rows[i].size / 2 <= left:
+                    extra.add(i)
+                running += rows[i].size
+            extra |= sure
+        assert {i for i in ids if rows[i].copies > rows[i]._whole} == extra
+
+
 # 6
 def test_toxicity(spark):
     d = "/root/testdata/sf0.1"

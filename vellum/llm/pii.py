@@ -1,7 +1,7 @@
 """Personal data by patterns, checksums and context. DataFrame functions only.
 
 Regular expressions propose spans, checksums confirm them (Luhn for cards, mod 97 for IBANs, ranges
-for addresses and numbers), words near a span adjust its score. Base kinds (email, ip, card, phone)
+for addresses and numbers), words near a span raise or lower its score. Base kinds (email, ip, card, phone)
 are kept whatever their score; added kinds (iban, ssn, tel) are kept from `THRESHOLD` on, where they
 overlap no base span. A kind's expressions run only on texts that a plain search lets through.
 
@@ -60,7 +60,17 @@ CONTEXT = {
     "ssn": "ssn|social security|insurance",
     "tel": "phone|tel|call|mobile|fax|anruf|mobil",
 }
-BOOST = 0.35
+# Words that speak against a kind.
+AGAINST = {
+    "email": "example\\.|noreply",
+    "ip": "version|release|chapter|section",
+    "card": "isbn|order|invoice|serial|tracking",
+    "phone": "serial|version",
+    "iban": "example|sample",
+    "ssn": "isbn|serial|version|part no",
+    "tel": "isbn|serial|version|order|part no",
+}
+BOOST, LESS = 0.35, 0.3
 SPAN = "array<struct<start:int,end:int,match:string>>"
 
 
@@ -131,10 +141,11 @@ def _spans(kind: str, order: int, text: Column) -> Column:
     search, pattern, score = PATTERNS[kind]
     found = _matches(text, pattern)
     found = F.filter(found, lambda x: _confirmed(kind, x))
-    near = lambda x: F.lower(_sub(text, F.greatest(x.start - REACH, F.lit(0)) + 1, x.end - x.start + 2 * REACH)).rlike(CONTEXT[kind])
+    around = lambda x: F.lower(_sub(text, F.greatest(x.start - REACH, F.lit(0)) + 1, x.end - x.start + 2 * REACH))
+    total = lambda x: F.lit(score) + F.when(around(x).rlike(CONTEXT[kind]), BOOST).otherwise(0.0) - F.when(around(x).rlike(AGAINST[kind]), LESS).otherwise(0.0)
     scored = F.transform(
         found,
-        lambda x: F.struct(x.start.alias("start"), F.lit(order).alias("order"), x.end.alias("end"), F.lit(kind).alias("kind"), F.least(F.lit(score) + F.when(near(x), BOOST).otherwise(0.0), F.lit(1.0)).alias("score")),
+        lambda x: F.struct(x.start.alias("start"), F.lit(order).alias("order"), x.end.alias("end"), F.lit(kind).alias("kind"), F.round(F.greatest(F.least(total(x), F.lit(1.0)), F.lit(0.0)), 2).alias("score")),
     )
     none = F.expr("cast(array() as array<struct<start:int,order:int,end:int,kind:string,score:double>>)")
     passes = F.instr(text, "@") > 0 if kind == "email" else text.rlike(search)
@@ -179,8 +190,9 @@ def redact(docs: DataFrame, column: str = "text") -> DataFrame:
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    spans = _listed(F.array_sort(F.concat("base", "added")))
-    return found.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"))
+    every = F.array_sort(F.concat("base", "added"))
+    scores = F.array_join(F.transform(every, lambda x: F.format_number(x.score, 2)), ",")
+    return found.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(every).alias("spans"), scores.alias("scores"))
 
 
 def _is(kind: str):
