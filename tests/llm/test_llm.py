@@ -70,6 +70,22 @@ def test_pii_added(spark):
     assert out.startswith("[IBAN] THE END [IBAN] DE00") and "[SSN]" in out
 
 
+def test_pii_query_digests(spark, tmp_path):
+    """The query's counts, digest and spans against the expressions of its contract."""
+    texts = [(1, "mail a@b.co or a@b.c@d.e, host 10.0.0.1 and 300.1.1.1"), (2, "card 4111 1111 1111 1111, call +1 (212) 555-0100"), (3, None), (4, "é😀 x@y.z ssn 123-45-6789"), (4, "é😀 x@y.z ssn 123-45-6789")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in pii.op1_pii(spark, str(tmp_path)).collect():
+        text = dict(texts)[r.doc_id] or ""
+        want = sorted((m.start(), k, m.end(), name) for k, (name, p) in enumerate(BASE.items()) for m in re.finditer(p, text) if confirmed(name, m.group()))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w[3] == k for w in want) for k in BASE]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in want).encode()).hexdigest()
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        assert [x for x in spans if x[0] in BASE] == [[k, str(a), str(b)] for a, _, b, k in want]
+        assert len(spans) == len([x for x in r.scores.split(",") if x])
+    lowered = pii.find(spark.createDataFrame([(1, "ssn 123-45-6789"), (2, "isbn or serial 123-45-6789")], "doc_id long, text string")).collect()
+    assert [len(r.added) for r in lowered] == [1, 0]
+
+
 # 2
 def test_language(spark, docs):
     got = registry.queries()["op2_language"](spark, "/root/testdata/sf0.01")
@@ -77,6 +93,34 @@ def test_language(spark, docs):
     assert got.join(truth, "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
 
 
+def test_expectations_sum_all_segmentations():
+    """Expected piece counts of forward-backward against the listing of all segmentations."""
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "▁ab", "bab"]
+    p = np.vstack([np.random.default_rng(2).random((len(pieces), 1)), np.full((1, 1), 1e-7), np.zeros((1, 1))])
+
+    def listed(word):
+        if not word:
+            yield []
+        for k in range(1, len(word) + 1):
+            if word[:k] in pieces or k == 1:
+                for rest in listed(word[k:]):
+                    yield [pieces.index(word[:k]) if word[:k] in pieces else len(pieces), *rest]
+
+    for word, count in (("▁abab", 3.0), ("▁bab", 1.0), ("▁acab", 2.0)):
+        every = [(np.prod(p[s, 0]), s) for s in listed(word)]
+        want = np.zeros(len(p))
+        for mass, s in every:
+            np.add.at(want, s, count * mass / sum(m for m, _ in every))
+        assert np.allclose(language.expected(language.Lattice(pieces).arcs([word]), p, np.array([[count]]))[:-1, 0], want[:-1])
+
+
+def test_letters_only(spark):
+    assert language.words_of("ab² ½ Ⅷ x1y é") == ["ab", "x", "y", "é"]
+    docs = spark.createDataFrame([(i, "der die das und", "de") for i in range(9)] + [(9 + i, "the of and to", "en") for i in range(9)], "doc_id long, text string, lang string")
+    got = language.predict(spark.createDataFrame([(1, "²"), (2, "und das"), (3, None), (4, "the und"), (4, "the und")], "doc_id long, text string"), language.train(docs)).collect()
+    assert [r.lang_pred for r in got][:3] == ["und", "de", "und"] and got[3] == got[4] and got[0].score == got[2].score == 0
+
+
 def test_forward_sums_all_segmentations():
     pieces = ["▁", "a", "b", "ab", "▁a", "ba", "▁ab", "bab"]
     p = np.vstack([np.random.default_rng(1).random((len(pieces), 2)), np.full((1, 2), 1e-7), np.zeros((1, 2))])
@@ -255,6 +299,43 @@ def test_toxicity(spark):
     assert r.tp / r.p > 0.85 and r.tp / (r.tp + r.fp) > 0.9
 
 
+def test_chain_against_brute_force(spark):
+    """Two linked categories on a tiny table: out-of-fold probabilities and models by Newton's method."""
+    rng = np.random.default_rng(3)
+    words = ["alpha", "beta", "gamma", "delta"]
+    data = []
+    for i in range(240):
+        has = rng.random(4) < 0.5
+        bad = int(rng.random() < 0.15 + 0.6 * has[0])
+        data.append((i, " ".join(w for w, h in zip(words, has, strict=True) if h), 1 - bad, int(rng.random() < 0.1 + 0.5 * has[1] + 0.3 * bad)))
+    df = spark.createDataFrame(data, "doc_id long, text string, quality int, toxic int")
+    chain = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "quality", "toxic"))
+    fold = {r[0]: r[1] for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(toxicity.FOLDS))).collect()}
+    x = np.zeros((len(data), len(chain.index)))
+    for i, r in enumerate(data):
+        for f in {f for w in r[1].split() for f in toxicity.features_of(w)} & set(chain.index):
+            x[i, chain.index[f]] = 1
+    y = np.array([[1 - r[2], r[3]] for r in data], float)
+
+    def fit(x, y):
+        z, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(x.shape[1] + 1)
+        ridge = np.diag([toxicity.REGULARISATION] * x.shape[1] + [1e-12])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-z @ w))
+            w -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) / len(z) + ridge, z.T @ (p - y) / len(z) + ridge @ w)
+        return lambda a: 1 / (1 + np.exp(-np.hstack([a, np.ones((len(a), 1))]) @ w))
+
+    folds = np.array([fold[r[0]] for r in data])
+    out = np.zeros(len(data))
+    for k in range(toxicity.FOLDS):
+        out[folds == k] = fit(x[folds != k], y[folds != k, 0])(x[folds == k])
+    first = fit(x, y[:, 0])(x)
+    second = fit(np.hstack([x, out[:, None]]), y[:, 1])(np.hstack([x, first[:, None]]))
+    got = {r.doc_id: r for r in toxicity.score(df, chain).collect()}
+    assert max(abs(got[r[0]].p_low_quality - first[i]) for i, r in enumerate(data)) < 0.01
+    assert max(abs(got[r[0]].p_toxic - second[i]) for i, r in enumerate(data)) < 0.01
+
+
 def test_toxicity_without_labels(spark, edge):
     chain = toxicity.train(edge, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert toxicity.keep_clean(edge, chain).count() == len(EDGE)
@@ -467,30 +548,55 @@ def jaccard_roots(texts):
 
 
 # near copies of the pipeline
-@pytest.mark.parametrize("hot", [16, 1])
-def test_near_duplicate_stage_is_exact_jaccard(spark, rows, hot):
+@pytest.mark.parametrize("rounds", [3, 0])
+def test_near_duplicate_stage_is_exact_jaccard(spark, rows, rounds):
     base = [f"w{i}" for i in range(300)]
     texts = {k: " ".join(w if i % 97 != k or not k else f"x{k}" for i, w in enumerate(base)) for k in range(0, 40)}
     texts |= {100: "a b c", 101: "A  b\nC", 102: "a b d", 103: "", 104: None, 105: " ", 106: " ".join(base[:245]), 107: " ".join(base[:236])}
     texts |= {1000 + i: t for i, t in list(rows.items())[:60]} | {2000 + i: (t or "") + " one more" for i, t in list(rows.items())[:20]}
     root = jaccard_roots(texts)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    found = common.materialize(similar.near_copies(df, hot), "found")
+    found = common.materialize(similar.near_copies(df, rounds), "found")
     groups = {}
     for r in found.collect():
         groups.setdefault(r.root, []).append(r.doc_id)
     assert {i: min(g) for g in groups.values() for i in g} == root
-    if hot == 16:
+    if rounds:
         got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, None).collect())
         assert got == sorted(set(root.values())) and len(simhash.deduplicate(df).collect()) != len(got)
 
 
 # pages without article or main
+def test_densities_are_the_formula(spark, sf):
+    """Composite density and sums by recursion over the tree, on real pages."""
+    for r in common.table(spark, sf, "pages").limit(40).collect():
+        page = pages.parse(r.html or "")
+        below = {i: [j for j in range(len(page.parent)) if page.parent[j] == i] for i in range(len(page.parent))}
+
+        def totals(i, page=page, below=below):
+            parts = [totals(j, page, below) for j in below[i]]
+            return tuple(own + sum(p[k] for p in parts) + (len(parts) if k == 2 else 0) for k, own in enumerate((page.chars[i], page.linked[i], page.tags[i], page.links[i])))
+
+        body, density, sums = totals(0), *pages.densities(page)
+        for i in below:
+            c, lc, t, lt = totals(i)
+            want = 0.0
+            if c:
+                base = max(math.log(c / max(c - lc, 1) * lc + body[1] / max(body[0], 1) * c + math.e), 1 + 1e-9)
+                want = c / max(t, 1) * max(math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1), base) if base > 1 + 1e-9 else math.log(c * max(t, 1)), 0)
+            assert math.isclose(density[i], want, rel_tol=1e-6, abs_tol=1e-9)
+            assert math.isclose(sums[i], sum(density[j] for j in below[i]), rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_pages_of_several_containers():
     p = lambda k: f"<p>Paragraph {k} is a sentence of some length, as {k} texts have it.</p>"
     page = f"<body><h1>A title that is long enough to weigh</h1><div>{p(1)}{p(2)}{p(3)}</div><div>{p(4)}{p(5)}</div><div><a href=x>menu</a><a href=y>more</a></div></body>"
     lines = pages.extract(page).split("\n")
     assert lines == ["A title that is long enough to weigh", *[f"Paragraph {k} is a sentence of some length, as {k} texts have it." for k in range(1, 6)]]
-    assert pages.extract(f"<body>{p(1)}<article>{''.join(map(p, range(2, 10)))}</article>{p(10)}</body>").count("\n") == 7
+    for article in ("<article>", "<article class='post comments-open'>", "<div class='content share-price'>"):
+        close = article[1:8] if article[1] == "a" else "div"
+        found = pages.extract(f"<body><div><a href=x>one</a> <a href=y>two</a></div>{article}{''.join(map(p, range(2, 10)))}</{close}><div class='comments'>{p(11)}</div></body>")
+        assert found.count("\n") == 7 and "one" not in found and "11" not in found
+    assert pages.extract('<div><p title="abc>Hello world text here.</p></div>') == "Hello world text here."
     deep = "<div>" * 3000 + p(1) + "</div>" * 3000
     assert "Paragraph 1" in pages.extract(deep)
