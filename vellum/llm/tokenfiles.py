@@ -32,7 +32,7 @@ from vellum.llm.common import broadcast_within, chunks, default_parallelism, mat
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that a worker keeps, and their characters; beyond either it forgets those that it met once, down to half at least.
-CACHE_PIECES, CACHE_CHARS = 300_000, 16 << 20
+CACHE_PIECES, CACHE_CHARS = 700_000, 16 << 20
 STRIPE_BYTES = 16 << 20
 BLOOM_FPP = 0.01
 
@@ -74,10 +74,10 @@ class PieceEncoder:
         self.chars = 0
         self.used = 0
         #: Where a piece's ids lie; -1: the piece may join what follows it.
-        self.starts = np.zeros(1 << 18, dtype=np.int64)
-        self.ends = np.zeros(1 << 18, dtype=np.int64)
+        self.starts = np.zeros(CACHE_PIECES, dtype=np.int64)
+        self.ends = np.zeros(CACHE_PIECES, dtype=np.int64)
         #: How often a piece was met, halved whenever pieces are forgotten.
-        self.uses = np.zeros(1 << 18, dtype=np.int64)
+        self.uses = np.zeros(CACHE_PIECES, dtype=np.int64)
 
     def _forget(self) -> None:
         """Keeps the pieces that were met more than once, the most frequent half of the bound at most."""
@@ -99,7 +99,11 @@ class PieceEncoder:
 
     def whole(self, text: str) -> list[int]:
         """The ids that the tokenizer gives for a whole text."""
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return self.each([text])[0]
+
+    def each(self, texts: list[str]) -> list[list[int]]:
+        """The ids that the tokenizer gives for each text, in one call."""
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _append(self, ids: list[int] | np.ndarray) -> int:
         """Where in self.ids the new ids start."""
@@ -118,15 +122,17 @@ class PieceEncoder:
             size = max(len(self.known), 2 * len(self.starts))
             self.starts, self.ends = np.resize(self.starts, size), np.resize(self.ends, size)
             self.uses = np.concatenate((self.uses, np.zeros(size - len(self.uses), np.int64)))
-        joined = []
+        joined, alone = [], []
         for n, x in enumerate(new, first):
             if not x or x[-1].isspace():
                 self.starts[n] = self.ends[n] = -1
             elif x[0] == " ":
-                self.starts[n] = self._append(self.whole(x[1:]))
-                self.ends[n] = self.used
+                alone.append(n)
             else:
                 joined.append(n)
+        for n, ids in zip(alone, self.each([new[n - first][1:] for n in alone]), strict=True):
+            self.starts[n] = self._append(ids)
+            self.ends[n] = self.used
         for at in range(0, len(joined), 400):
             some = joined[at : at + 400]
             pieces = [new[n - first] for n in some]
@@ -161,10 +167,11 @@ class PieceEncoder:
         lengths = stops - starts
         firsts = [0, *ends[:-1]]
         used = self.used
-        for i in whole:
+        several = sorted(whole)
+        for i, ids in zip(several, self.each([texts[i] for i in several]), strict=True):
             lengths[firsts[i] : ends[i]] = 0
             k = firsts[i]
-            starts[k] = self._append(self.whole(texts[i]))
+            starts[k] = self._append(ids)
             lengths[k] = self.used - starts[k]
         # the end id follows each text: one more entry of length 1
         end = self._append([end_id])
