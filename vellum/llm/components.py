@@ -1,8 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star rounds.
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Every round is two joins on
-node keys. Links of one node are spread over tasks by their other end, and minima are taken per task first, so that
-a node with very many links is neither one task nor one group.
+node keys. The nodes' minima are broadcast while the links are counted few; beyond that, links of one node are spread over
+tasks by their other end. Either way a node with very many links is neither one task nor one group.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialize, new_path, remove, spread_join
+from vellum.llm.common import BROADCAST_ROWS, materialize, new_path, remove, spread_join
 
 
 #: Rounds are logarithmic in the longest path; more than these mean a fault.
@@ -22,15 +22,20 @@ def _minimum(links: DataFrame) -> DataFrame:
     return links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _met(edges: DataFrame, least: DataFrame, rows: int) -> DataFrame:
+    """The links with `m` of their `u`; there are at most 2 * rows nodes."""
+    return edges.join(F.broadcast(least), "u") if 2 * rows <= BROADCAST_ROWS else spread_join(edges, least, "u", "v")
+
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return spread_join(both, _minimum(both), "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _met(both, _minimum(both), rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = spread_join(down, least, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    linked = _met(down, least, rows).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.union(least.select("u", F.col("m").alias("v")))
 
 
@@ -42,16 +47,17 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     old, seen = "", None
     edges = edges.where("u <> v").select("u", "v")
+    rows = edges.count()
     for _ in range(ROUNDS):
         path = new_path(spark, "links")
-        stars = _small_star(_large_star(edges)).where("u <> v").distinct()
+        stars = _small_star(_large_star(edges, rows), rows).where("u <> v").distinct()
         edges = materialize(stars, "links", path)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if old:
             remove(spark, old)
         if (now.n, now.h) == seen:
             break
-        old, seen = path, (now.n, now.h)
+        old, seen, rows = path, (now.n, now.h), now.n
     else:
         raise RuntimeError(f"components are not final after {ROUNDS} rounds")
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
