@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.plans import flows, relational, textual
+from vellum.plans import decisions, flows, privacy, programs, relational, textual
 
 FLAGSHIP = "g8_chat_daily"
-MODULES = (relational, textual, flows)
+MODULES = (relational, textual, flows, programs, decisions, privacy)
 
 
 def queries() -> dict:

@@ -78,6 +78,31 @@ _VIEWS = {
         """select c_custkey as id, c_name as name, case c_mktsegment when 'BUILDING' then 'ADMIN' else 'USER' end as role, c_acctbal >= 0 as is_active,
         cast(floor(abs(c_acctbal)) as bigint) % 12 as failed_login_attempts from customer""",
     ),
+    "api_keys": (
+        ("customer",),
+        """select c_custkey as id, c_nationkey as user_id, c_acctbal >= 0 as is_active, c_custkey % 11 = 0 as is_revoked,
+        case when c_custkey % 5 = 0 then null else <<ADDMIN|<<TS|2024-01-01 00:00:00>>|c_custkey * 61 % 90000>> end as expires_at from customer""",
+    ),
+    "members": (
+        ("customer",),
+        """select c_custkey as id, c_custkey % 13 = 0 as banned_for_good,
+        case when c_custkey % 3 = 0 then <<ADDMIN|<<TS|2024-01-01 00:00:00>>|c_custkey * 67 % 90000>> end as banned_until,
+        case when c_custkey % 4 = 1 then <<ADDMIN|<<TS|2024-01-01 00:00:00>>|c_custkey * 71 % 90000>> end as locked_until from customer""",
+    ),
+    "step_defs": (
+        ("part",),
+        """select p_partkey as id, p_name as name, p_size as step_order, p_partkey % 3 <> 0 as enabled, case when p_partkey % 4 = 0 then null else p_partkey % 25 end as class_id,
+        p_partkey % 4 = 0 and p_partkey % 40 = 0 as is_branching, p_partkey % 4 = 0 and p_partkey % 10 = 6 as post_branching,
+        case p_partkey % 5 when 0 then null when 1 then '[]' when 2 then '["target_language"]' when 3 then '["target_language","document_type"]' else '["document_type"]' end as required_variables,
+        concat('Use {input_text} for ', case when p_partkey % 2 = 0 then '{target_language}' else p_brand end) as prompt_template from part""",
+    ),
+    "classes": (
+        ("nation",),
+        """select n_nationkey as id, upper(n_name) as class_key, n_regionkey <> 2 as is_enabled, n_nationkey % 6 = 0 as is_system,
+        case when n_nationkey % 3 = 0 then '[]' when n_nationkey % 3 = 1 then null else '["letter","report"]' end as examples,
+        case when n_nationkey % 4 = 0 then '[]' else concat('["', lower(n_name), '","strong"]') end as strong_indicators,
+        case when n_nationkey % 5 = 0 then null else '["weak"]' end as weak_indicators from nation""",
+    ),
     "settings": (
         ("part",),
         """select concat(case when p_partkey % 5 = 0 then 'enable_' when p_partkey % 5 = 1 then 'enableX' else 'limit.' end, cast(p_partkey as string)) as key,
