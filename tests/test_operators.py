@@ -1,5 +1,6 @@
 """Operators on small inputs: edges, invariants, state."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import documents, guard, redaction, sequence, tables
@@ -97,3 +98,60 @@ def test_breaker(spark):
     rows = [("k", i, i == 0) for i in range(7)] + [("q", i, i % 2 == 0) for i in range(9)]
     got = limits.breaker(spark.createDataFrame(rows, "key string, seq int, ok boolean")).collect()
     assert [(r.key, r.failures, r.first) for r in got] == [("k", 6, 1)]
+
+
+LETTERS = [
+    (1, "Klinikum Nord\nAbteilung für Innere Medizin\n-----\nSehr geehrter Herr Meier, Ihre Patientin Frau Anna Schmidt, geb. 01.02.1960, wurde vom 03.04.2024 bis 05.04.2024 behandelt. Tel.: 0211 / 123456-78 Fax 0211 998877"),
+    (2, "Neuss, 12.03.2024\nDr. med. Weber und Prof. Dr. Krause. Fallnummer: 1234567890, Status M, AOK Nr. A123456789. CT vom 01.01.2023, Kontrolle am 2. März 2023."),
+    (3, "Name: Müller, Anna\nMusterstraße 12a, 41460 Neuss, IBAN DE89 3704 0044 0532 0130 00, HRB 12345, a.b@praxis-meier.de www.dr-huber.de"),
+    (4, "J. Chahem sah Vitamin D. Mangel. Hämoglobin 13,5 g/dl (12-16). Zeichen: AB/2024/0815 * 3.4.1955"),
+    (5, "Mr John Smith, dob 01/02/1960, SSN: 123-45-6789, phone: 555-123-4567, lives at 12 Main Street, 12345. Patient ID: AB-12345. March 5, 2024"),
+    (6, "  "),
+    (7, None),
+]
+
+
+def plain_removal(text, language):
+    """The same passes with the re module: text, removals, dates kept, kinds."""
+    import re
+
+    from vellum.functions import privacy
+
+    text, n, kept, kinds = text or "", 0, 0, []
+    if len(text) >= 100 and any(re.search(h, text[:800].lower()) for h in privacy.HOSPITALS):
+        end = next((m.start() for e in privacy.LETTERHEAD_ENDS if (m := re.search(e, text[:1000], re.I))), 0)
+        if end and any(re.search(h, text[:end].lower()) for h in privacy.HOSPITALS):
+            text = "[HOSPITAL_LETTERHEAD]\n" + text[end:].lstrip()
+    for kind, ignore_case, expression in privacy.passes(language):
+        found = list(re.finditer(expression, text, re.I if ignore_case else 0))
+        if kind in privacy.DATED:
+            out, gone, at = "", 0, 0
+            for m in found:
+                before = text[max(0, m.start() - 80) : m.start()].lower()
+                hit = lambda xs, before=before: any(re.search(x, before) for x in xs)
+                stays = not hit(privacy.BIRTH) and (hit(privacy.TREATMENT) or not (m.start() < 500 and hit(privacy.HEAD)))
+                out, at, gone, kept = out + text[at : m.start()] + (m[0] if stays else "[DATE]"), m.end(), gone + (not stays), kept + stays
+            text, count = out + text[at:], gone
+        else:
+            text, count = re.sub(expression, lambda m, kind=kind: privacy.placeholder(kind), text, flags=re.I if ignore_case else 0), len(found)
+        n += count
+        kinds += [kind] * (count > 0)
+    from vellum.functions.redaction import CLEANUP
+
+    for a, b in CLEANUP:
+        text = re.sub(a, lambda m, b=b: b, text)
+    return text, n, kept, ",".join(kinds)
+
+
+@pytest.mark.parametrize("language", ["de", "en"])
+def test_personal_data_passes(spark, sf, language):
+    from vellum.functions import privacy
+
+    rows = LETTERS + [(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = privacy.removed(spark.createDataFrame(rows, "id long, text string"), language).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.redacted, r.removals, r.dates_kept, r.kinds) == plain_removal(r.text, language)
+        assert r.error == (not (r.text or "").strip(" "))
+    if language == "de":
+        assert got[0].redacted.startswith("[HOSPITAL_LETTERHEAD]\n") and "Schmidt" not in got[0].redacted and "03.04.2024" in got[0].redacted and "12.03.2024" not in got[1].redacted

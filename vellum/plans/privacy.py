@@ -1,2 +1,70 @@
+"""Queries that remove or guard personal data, over whole tables. SQL checks those without look-around; a test holds the
+passes against a plain reading of the same expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vellum.functions import privacy
+from vellum.plans.textual import _q
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+META = ["removals", "dates_kept", "kinds", "letterhead_removed", "fixes", "suspicious", "error"]
+
+
+def _documents(name: str, run, sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, d: run(spark.read.parquet(f"{d}/documents.parquet"))
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def _has(terms: list[str], text: str) -> str:
+    return "(" + " + ".join(f"CAST(contains({text}, {_q(t)}) AS INT)" for t in terms) + ")"
+
+
+def _any(terms: list[str], text: str, before: str = "") -> str:
+    return "(" + " OR ".join(f"starts_with({text}, {_q(before + t)})" for t in terms) + ")"
+
+
+_documents("pi1_remove_german", lambda df: privacy.removed(df, "de").select("doc_id", F.md5("redacted").alias("redacted_md5"), *META))
+_documents("pi1_remove_english", lambda df: privacy.removed(df, "en").select("doc_id", F.md5("redacted").alias("redacted_md5"), *META))
+#: A head that some texts get, so that the rule has something to find.
+_HEAD = "concat(case when doc_id % 3 = 0 then 'Klinikum Nord\nAbteilung eins\n-----\n' when doc_id % 3 = 1 then 'St. Anna Hospital\n\n\n' else '' end, coalesce(text, ''))"
+_H = " OR ".join(f"regexp_matches(lower(left(text, 800)), {_q(h)})" for h in privacy.HOSPITALS)
+_E = [f"(length(split_part(left(text, 1000), regexp_extract(left(text, 1000), {_q('(?i)' + e)}), 1)))" for e in privacy.LETTERHEAD_ENDS]
+_M = [f"regexp_matches(left(text, 1000), {_q('(?i)' + e)})" for e in privacy.LETTERHEAD_ENDS]
+_documents(
+    "pi3_letterhead",
+    lambda df: privacy.without_letterhead(df.select("doc_id", F.expr(_HEAD.replace("\n", "\\n")).alias("text")), "text").select("doc_id", "letterhead_removed", F.md5("text").alias("text_md5")),
+    f"""SELECT doc_id, n AS letterhead_removed, md5(CASE WHEN n > 0 THEN '[HOSPITAL_LETTERHEAD]' || chr(10) || regexp_replace(substr(text, e + 1), '^\\s+', '') ELSE text END) AS text_md5 FROM (
+SELECT doc_id, text, e, CAST(CASE WHEN e > 0 THEN {' + '.join(f"CAST(regexp_matches(lower(left(text, e)), {_q(h)}) AS INT)" for h in privacy.HOSPITALS)} ELSE 0 END AS INT) AS n FROM (
+SELECT doc_id, text, CASE WHEN length(text) >= 100 AND ({_H}) THEN CASE WHEN {_M[0]} THEN {_E[0]} WHEN {_M[1]} THEN {_E[1]} WHEN {_M[2]} THEN {_E[2]} ELSE 0 END ELSE 0 END AS e FROM (
+SELECT doc_id, concat(CASE WHEN doc_id % 3 = 0 THEN 'Klinikum Nord' || chr(10) || 'Abteilung eins' || chr(10) || '-----' || chr(10) WHEN doc_id % 3 = 1 THEN 'St. Anna Hospital' || repeat(chr(10), 3) ELSE '' END, coalesce(text, '')) AS text FROM documents)))""",
+)
+_NUMBER, _DOTTED = r"(?s)([0-9]{2,})([^0-9].{0,14})", r"(?s)(.{0,30}?)\b([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)\b(.{0,30})"
+
+
+def _measures(df):
+    after = F.regexp_extract_all("text", F.lit(_NUMBER), F.lit(2))
+    rows = df.where("text is not null").select("doc_id", F.size(after).alias("n_numbers"), F.explode_outer(after).alias("after"))
+    return rows.groupBy("doc_id").agg(F.max("n_numbers").alias("n_numbers"), F.count_if(F.coalesce(privacy.is_measure(F.col("after")), F.lit(False))).alias("n_measures"))
+
+
+_documents("pi11_measures", _measures, f"""SELECT doc_id, max(n) AS n_numbers, count(*) FILTER (coalesce({_any(privacy.UNITS, 'a')} OR {_any(privacy.UNITS, 'a', '-')}, false)) AS n_measures
+FROM (SELECT doc_id, n, lower(trim(left(a, 15))) AS a FROM (SELECT doc_id, CAST(len(x) AS INT) AS n, unnest(CASE WHEN len(x) = 0 THEN [NULL] ELSE x END) AS a FROM (SELECT doc_id, regexp_extract_all(text, {_q(_NUMBER)}, 2) AS x FROM documents WHERE text IS NOT NULL))) GROUP BY doc_id""")
+
+
+def _ranges(df):
+    found = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(_DOTTED), F.lit(g)).alias(n) for g, n in ((1, "before"), (2, "match"), (3, "after"))])
+    rows = df.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*")
+    return rows.select("doc_id", "match", privacy.is_lab_range(F.col("before"), F.col("after")).alias("is_range")).groupBy("doc_id", "match", "is_range").agg(F.count("*").alias("n"))
+
+
+_documents("pi12_lab_ranges", _ranges, f"""SELECT doc_id, m AS match, (contains(b, '(') AND {_any(privacy.RANGE_UNITS, 'lower(trim(a))')}) OR {_has(privacy.LAB_WORDS, 'lower(b)')} > 0 AS is_range, count(*) AS n
+FROM (SELECT doc_id, {', '.join(f"unnest(regexp_extract_all(text, {_q(_DOTTED)}, {g})) AS {n}" for g, n in ((1, 'b'), (2, 'm'), (3, 'a')))} FROM documents) GROUP BY ALL""")
+_documents("pi25_old_dates", lambda df: df.select("doc_id", F.md5(privacy.without_old_dates(F.col("text"))).alias("text_md5"), F.regexp_count("text", F.lit(privacy.OLD_DATE)).alias("n")), f"SELECT doc_id, md5(regexp_replace(text, {_q(privacy.OLD_DATE)}, '[DATUM ENTFERNT]', 'g')) AS text_md5, CAST(len(regexp_extract_all(text, {_q(privacy.OLD_DATE)})) AS INT) AS n FROM documents")
+_documents("pi28_preserved", lambda df: df.select("doc_id", privacy.preserved(F.coalesce("text", F.lit("")), F.expr("left(coalesce(text, ''), length(coalesce(text, '')) div 2)")).alias("kept")), f"SELECT doc_id, CASE WHEN a > 0 THEN b / a::DOUBLE >= 0.8 ELSE true END AS kept FROM (SELECT doc_id, {_has(privacy.KEYWORDS, 'lower(t)')} AS a, {_has(privacy.KEYWORDS, 'lower(left(t, length(t) // 2))')} AS b FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))")
+_KINDS = [(k, privacy.placeholder(k)) for k, _, _ in privacy.GERMAN]
+QUERIES["pi7_placeholders"] = lambda spark, d: spark.createDataFrame(_KINDS, "kind string, placeholder string")
+ORACLE_SQL["pi7_placeholders"] = "SELECT * FROM (VALUES " + ", ".join(f"({_q(a)}, {_q(b)})" for a, b in _KINDS) + ") v(kind, placeholder)"
