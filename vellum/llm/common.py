@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 #: Rows up to which a side of longs (doc ids, fingerprints) may be broadcast: 8 MB of keys.
 BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1_000
 #: Measured bytes up to which a stored side may be broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -37,7 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python `BATCH_ROWS` at a time at most: Spark's default of 10,000 holds tens of MB in a task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
+    bound_batches(spark)
     return f"{shared_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
 
 

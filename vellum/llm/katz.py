@@ -42,14 +42,15 @@ from vellum.llm.common import chunks, default_parallelism, materialize, table
 from vellum.llm.fingerprints import word_hashes
 from vellum.llm.language import fold
 
-VOCABULARY = 200_000
+VOCABULARY = 1_000_000
 HEAVY = 512
 CUTOFF = 5
 #: Tokens per part of the pair table.
 PART_TOKENS = 1_500_000
 CHUNK = 3 << 20
 _U = np.uint64
-_DOC_BITS, _ID_BITS = _U(16), _U(18)
+_DOC_BITS, _ID_BITS = _U(16), _U(24)
+_ID_MASK = (_U(1) << _ID_BITS) - _U(1)
 #: Documents in a chunk: 2^15, which with the mark of a training document is 16 bits.
 _PLACE_BITS = 15
 #: Sums travel as whole numbers of 1 / UNIT.
@@ -133,6 +134,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_unigrams(rows: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Unigrams, DataFrame]:
     """The unigram table (word, n) of the training rows, and its most frequent words."""
+    if vocabulary > int(_ID_MASK) - 3:
+        raise ValueError("symbols beyond the vocabulary's bits")
     train = rows.where("train").select("text")
     unigrams = materialize(train.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
     total = unigrams.agg(F.sum("n"), F.count("*")).first()
@@ -214,7 +217,7 @@ def _pairs(u: Unigrams, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 key = (h.astype(_U) << (_ID_BITS + _DOC_BITS)) | (w.astype(_U) << _DOC_BITS) | d.astype(_U)
                 del ids, docs, place, inside, h, w, d
                 key.sort()
-                h, w = key >> (_ID_BITS + _DOC_BITS), (key >> _DOC_BITS) & _U((1 << 18) - 1)
+                h, w = key >> (_ID_BITS + _DOC_BITS), (key >> _DOC_BITS) & _ID_MASK
                 heavy = u.is_heavy(h.astype(np.int64))
                 both = heavy & u.is_heavy(w.astype(np.int64))
                 route = h * _U(0x9E3779B1) + np.where(heavy, w * _U(0x85EBCA77), _U(0)) + np.where(both, _U(name & 0xFFFFFFFF), _U(0))
@@ -276,7 +279,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _split_pairs(u: Unigrams, pairs: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Contexts, words, counts, whether the context is heavy, whether both are."""
     key = np.cumsum(_unpacked(pairs, _U), dtype=_U)
-    h, w = (key >> _ID_BITS).astype(np.int64), (key & _U((1 << 18) - 1)).astype(np.int64)
+    h, w = (key >> _ID_BITS).astype(np.int64), (key & _ID_MASK).astype(np.int64)
     heavy = u.is_heavy(h)
     return h, w, _unpacked(counts, np.uint32).astype(np.int64), heavy, heavy & u.is_heavy(w)
 
@@ -451,7 +454,7 @@ def score(docs: DataFrame, held_out, vocabulary: int = VOCABULARY) -> DataFrame:
     model = fit(pairs, u)
     keys = stored.where("part < 0").select("chunk", F.lit(None).cast("binary").alias("places"), F.col("pairs").alias("sums"))
     sums = pairs.mapInArrow(_evaluate(model), "chunk long, places binary, sums binary").union(keys)
-    together = sums.repartition(default_parallelism(spark), "chunk").sortWithinPartitions("chunk", F.col("places").isNotNull())
+    together = sums.repartition(max(default_parallelism(spark), parts), "chunk").sortWithinPartitions("chunk", F.col("places").isNotNull())
     logs = together.mapInArrow(_documents, "key long, log double").groupBy("key").agg(F.sum("log").alias("log"))
     # rows of one key are equal, and each of them added its words to the key's sums
     same = meta.groupBy("key").agg(F.count("*").alias("m"))
