@@ -42,7 +42,7 @@ from vellum.llm.common import chunks, default_parallelism, materialize, table
 from vellum.llm.fingerprints import word_hashes
 from vellum.llm.language import fold
 
-VOCABULARY = 1_000_000
+VOCABULARY = 400_000
 HEAVY = 512
 CUTOFF = 5
 #: Tokens per part of the pair table.
