@@ -73,7 +73,7 @@ def sanitized(df: DataFrame, column: str = "text") -> DataFrame:
 
 def word_list(text: Column) -> Column:
     """The white-space separated words in lower case."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
 
 def grams(df: DataFrame, key: str, n: int = 4, least_words: int = 0) -> DataFrame:
