@@ -1,28 +1,27 @@
 """Katz backoff language model: Good-Turing discounted bigrams over add-one unigrams.
 
-Symbols are the `VOCABULARY` most frequent training words (at most), one class for all rarer words,
-and the text's end; a text's first word follows a start symbol, which is a context only. For a context h:
+Every distinct word and the text's end is a symbol of its own; a text's first word follows a start symbol, which is
+a context only. For a context h:
 
     P(w | h) = d(c) * c(h, w) / c(h)   if c = c(h, w) > 0
              = a(h) * P1(w)            otherwise, and P1(w) if h was never seen
 
 d(c) are Good-Turing discounts for counts to `CUTOFF` (absolute ones where the counts of counts give
-none), a(h) makes the probabilities of h sum to 1 exactly, P1(w) = (c(w) + 1) / (N + symbols). A rare
-word's probability is that of its class times (c + 1) / (rare tokens + rare words + 1), one share
-being all unseen words'. So every distinct word and pair of the corpus counts.
+none), a(h) makes the probabilities of h sum to 1 exactly, P1(w) = (c(w) + 1) / (N + V + 1), one share being all
+unseen words'.
 
-Tables: `unigrams` (word hash, count); `pairs`, partitioned by context: one row per part holds the sorted
-pairs with their training counts and the documents in which they occur, packed and compressed. The
-texts' pairs are shuffled once, packed; documents get back one sum per part. Words are told apart by
-64-bit hashes.
+Tables: `unigrams` (word hash, count); the pairs, stored in two forms that give the same probabilities. Pairs of two
+of the `VOCABULARY` most frequent words are packed, partitioned by context: one row per part holds the sorted pairs with
+their training counts and the documents in which they occur. Pairs with a rarer word are plain rows, met by that word's
+64-bit hash. Either way the texts' pairs are shuffled packed or once per rare word, and documents get back sums.
 
 Skew: the `HEAVY` most frequent contexts are spread over parts by the word that follows, and pairs of two heavy
-symbols by document chunk as well; their counts (HEAVY^2 at most) and context sums (HEAVY) are added up and sent to
-all. Other keys hold a small share of the tokens by their rank.
+symbols by document chunk as well; their counts (HEAVY^2 at most) are added up and sent to all, as are the sums of the
+`VOCABULARY` contexts. A rarer word holds less than one in `VOCABULARY` of the tokens by its rank.
 
 Edge cases: null or empty text is the end alone; repeated rows get equal scores; a null doc_id is not held out and
-not learned from; without training documents every token has the base probability 1 / (V + 1) of an empty
-corpus; extra columns are ignored; an empty table gives no rows.
+not learned from; without training documents every token has the base probability of an empty corpus, 1; extra columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,13 +34,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import chunks, default_parallelism, materialize, table
 from vellum.llm.fingerprints import word_hashes
 from vellum.llm.language import fold
 
+#: Words whose pairs are packed; of no effect on any score.
 VOCABULARY = 400_000
 HEAVY = 512
 CUTOFF = 5
@@ -80,25 +80,25 @@ class Unigrams:
     def start(self) -> int:
         return len(self.counts) + 2
 
-    @property
-    def rare_tokens(self) -> int:
-        return self.tokens - self.documents - int(self.counts.sum())
-
-    @property
-    def rare_words(self) -> int:
-        return self.distinct - len(self.counts) - (self.documents > 0)
-
     def lookup(self, words: np.ndarray) -> np.ndarray:
-        """Words' ids; the class of rare words for all others."""
+        """Words' ids; `rare` for all others."""
         if not len(self.hashes):
             return np.full(len(words), self.rare, dtype=np.int64)
         at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
         return np.where(self.hashes[at] == words, self.ids[at], self.rare)
 
+    @property
+    def share(self) -> int:
+        """What a unigram's count + 1 is divided by."""
+        return self.tokens + self.distinct + 1
+
+    def all_counts(self) -> np.ndarray:
+        """Counts by symbol: frequent words, 0 in the rare ones' place, end."""
+        return np.concatenate((self.counts, [0, self.documents]))
+
     def probabilities(self) -> np.ndarray:
-        """P1 by symbol: frequent words, rare class, end."""
-        counts = np.concatenate((self.counts, [self.rare_tokens, self.documents])).astype(float)
-        return (counts + 1) / (counts.sum() + len(counts))
+        """P1 by symbol."""
+        return (self.all_counts() + 1.0) / self.share
 
     def is_heavy(self, ids: np.ndarray) -> np.ndarray:
         return (ids < HEAVY) | (ids >= self.rare)
@@ -148,9 +148,9 @@ def count_unigrams(rows: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Unigr
         if size + r["count"] > vocabulary:
             break
         size, least = size + r["count"], r.level
-    top = unigrams.where(level >= least).toPandas() if size else None
-    hashes = top.word.to_numpy().view(_U) if size else np.zeros(0, _U)
-    n = top.n.to_numpy() if size else np.zeros(0, np.int64)
+    top = unigrams.where(level >= least).toArrow() if size else None
+    hashes = top.column("word").to_numpy().view(_U) if size else np.zeros(0, _U)
+    n = top.column("n").to_numpy() if size else np.zeros(0, np.int64)
     rank = np.lexsort((hashes, -n))
     ids = np.empty(len(n), dtype=np.int64)
     ids[rank] = np.arange(len(n))
@@ -159,32 +159,74 @@ def count_unigrams(rows: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Unigr
     return found, unigrams
 
 
+META = "key long, doc_id long, held_out boolean, n_tokens long, n_frequent long, base double, rare array<struct<h:long,w:long,hid:int,wn:long>>"
+
+
 def _meta(u: Unigrams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per document: its tokens, the frequent ones' part of the base score, the rare words."""
-    share = math.log10(u.tokens + u.distinct + 1)
-    logs = np.log10(np.concatenate((u.counts, [0, u.documents])) + 1.0) - share
+    """Per document: its tokens, the frequent ones' part of the base score, the pairs with a rare word.
+
+    Of such a pair, h is the context's hash if that is rare (else 0, and hid its id, -1 for a rare one); w is the
+    word's hash if that is rare (else its id, and wn its count, -1 for a rare one)."""
+    logs = np.log10(u.all_counts() + 1.0) - math.log10(u.share)
     logs[u.rare] = 0
+    counts = u.all_counts()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text", CHUNK):
             words, bounds = word_hashes(_texts(part))
             ids = u.lookup(words)
-            sums = np.concatenate(([0.0], np.cumsum(logs[ids])))
-            is_rare = ids == u.rare
-            rare = np.concatenate(([0], np.cumsum(is_rare)))
             n = np.diff(bounds)
-            n_rare = rare[bounds[1:]] - rare[bounds[:-1]]
+            n_rare = np.diff(np.concatenate(([0], np.cumsum(ids == u.rare)))[bounds])
             # each text's sum on its own, so that equal texts have equal scores
             base = np.array([logs[ids[a:b]].sum() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]) if len(words) else np.zeros(len(n))
-            lists = pa.ListArray.from_arrays(pa.array(rare[bounds].astype(np.int32)), pa.array(words[is_rare].view(np.int64)))
+            ends = np.repeat(bounds, 2)[1:-1]
+            line, named = np.insert(ids, ends, np.tile([u.start, u.end], len(n))), np.insert(words.view(np.int64), ends, 0)
+            docs = np.repeat(np.arange(len(n)), n + 2)
+            at = np.flatnonzero((docs[:-1] == docs[1:]) & ((line[:-1] == u.rare) | (line[1:] == u.rare)))
+            h, w = line[at], line[at + 1]
+            first, second = h == u.rare, w == u.rare
+            fields = {
+                "h": pa.array(np.where(first, named[at], 0)),
+                "w": pa.array(np.where(second, named[at + 1], w)),
+                "hid": pa.array(np.where(first, -1, h).astype(np.int32)),
+                "wn": pa.array(np.where(second, -1, counts[np.minimum(w, u.end)])),
+            }
+            offsets = np.searchsorted(docs[at], np.arange(len(n) + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
             columns = [part.column(c) for c in ("key", "doc_id", "held_out")]
             columns += [pa.array(n + 1), pa.array(n - n_rare + (u.documents > 0)), pa.array(base + logs[u.end]), lists]
-            del sums
             yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "held_out", "n_tokens", "n_frequent", "base", "rare"])
 
     return run
 
 
+def rare_pairs(meta: DataFrame, unigrams: DataFrame, u: Unigrams) -> DataFrame:
+    """Every occurrence of a pair with a rare word: (key, hid, wn, rare_w, c, first, total, seen, p, r1 ...): the word's
+    and the pair's training counts, whether it is the pair's first row, and a rare context's sums (0 for others).
+
+    Rows of a frequent context meet by the rare word, those of a rare context by that context: no key is frequent."""
+    pairs = meta.select("key", F.expr("int(doc_id is not null and not held_out)").alias("t"), F.inline("rare"))
+    counts = unigrams.select(F.col("word").alias("w"), "n")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.drop("wn").join(counts, "w", "left").select("key", "t", "h", "w", "hid", F.coalesce("n", F.lit(0)).alias("wn"), F.lit(True).alias("rare_w"))
+
+    def with_counts(rows: DataFrame, *by: str) -> DataFrame:
+        pair = Window.partitionBy(*by)
+        return rows.withColumn("c", F.sum("t").over(pair)).withColumn("first", F.row_number().over(pair.orderBy("key")) == 1)
+
+    after = with_counts(counted(pairs.where("wn < 0 and hid >= 0")), "w", "hid")
+    plain = pairs.where("wn >= 0").select("key", "t", "h", "w", "hid", "wn", F.lit(False).alias("rare_w"))
+    before = with_counts(counted(pairs.where("wn < 0 and hid < 0")).unionByName(plain), "h", "rare_w", "w")
+    context, met = Window.partitionBy("h"), F.col("first") & (F.col("c") > 0)
+    number = lambda condition: F.sum(condition.cast("long")).over(context)
+    sums = {"total": F.sum("t").over(context), "seen": number(met), "p": F.sum(F.when(met, (F.col("wn") + 1) / F.lit(float(u.share))).otherwise(0.0)).over(context)}
+    sums |= {f"r{r}": number(met & (F.col("c") == r)) for r in range(1, CUTOFF + 1)}
+    before, after = before.withColumns(sums), after.withColumns({name: F.lit(0.0 if name == "p" else 0) for name in sums})
+    columns = ["key", "hid", "wn", "rare_w", "c", "first", *sums]
+    return after.select(columns).union(before.select(columns))
+
+
 def _packed(x: np.ndarray) -> bytes:
     """An array's bytes by place, then compressed: high bytes of small or sorted numbers vanish."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
@@ -213,6 +255,7 @@ def _pairs(u: Unigrams, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 name = xxhash.xxh64_intdigest(keys.tobytes()) >> 1
                 place = (docs << 1) | part.column("train").to_numpy(zero_copy_only=False)[docs]
                 inside = docs[:-1] == docs[1:]
+                inside &= (ids[:-1] != u.rare) & (ids[1:] != u.rare)
                 h, w, d = ids[:-1][inside], ids[1:][inside], place[1:][inside]
                 key = (h.astype(_U) << (_ID_BITS + _DOC_BITS)) | (w.astype(_U) << _DOC_BITS) | d.astype(_U)
                 del ids, docs, place, inside, h, w, d
@@ -284,7 +327,7 @@ def _split_pairs(u: Unigrams, pairs: bytes, counts: bytes) -> tuple[np.ndarray,
     return h, w, _unpacked(counts, np.uint32).astype(np.int64), heavy, heavy & u.is_heavy(w)
 
 
-#: kind 0: a count of counts (a = count); 1: a pair of heavy symbols (a, b); 2: a heavy context a's sums over other words.
+#: kind 0: a count of counts (a = count); 1: a pair of heavy symbols (a, b); 2: a context a's sums over other words.
 STATS = "kind int, a long, b long, n long, total long, seen long, p double, r1 long, r2 long, r3 long, r4 long, r5 long"
 
 
@@ -307,8 +350,7 @@ def _statistics(u: Unigrams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 hist = np.bincount(np.minimum(c[~both], CUTOFF + 2), minlength=CUTOFF + 3)
                 rows = [(0, r, 0, int(hist[r]), 0, 0, 0.0, 0, 0, 0, 0, 0) for r in range(1, CUTOFF + 2)]
                 rows += [(1, int(a), int(b), int(n), 0, 0, 0.0, 0, 0, 0, 0, 0) for a, b, n in zip(h[both], w[both], c[both], strict=True) if n]
-                some = heavy & ~both
-                contexts, sums = _context_sums(h[some], w[some], c[some], p1)
+                contexts, sums = _context_sums(h[~both], w[~both], c[~both], p1)
                 rows += [(2, int(a), 0, 0, int(s[0]), int(s[1]), float(s[2]), *map(int, s[3:])) for a, s in zip(contexts, sums, strict=True)]
                 fields = [x.split() for x in STATS.split(", ")]
                 kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
@@ -341,32 +383,47 @@ def context_weights(sums: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.nda
 
 @dataclass(frozen=True)
 class Model:
-    """Unigrams, discounts, heavy contexts' sums by context and heavy pairs' counts by key."""
+    """Unigrams, discounts, frequent contexts' totals, lowering and backoff weights by id, heavy pairs' counts by key."""
 
     unigrams: Unigrams
     discounts: np.ndarray
-    contexts: dict[int, np.ndarray]
+    totals: np.ndarray
+    extra: np.ndarray
+    weights: np.ndarray
     pair_keys: np.ndarray
     pair_counts: np.ndarray
 
 
-def fit(pairs: DataFrame, u: Unigrams) -> Model:
-    """Adds up the pair table's statistics: a few counts, HEAVY^2 pairs and HEAVY contexts at most."""
+def fit(pairs: DataFrame, rare: DataFrame, u: Unigrams) -> Model:
+    """Adds up both forms' statistics: a few counts, HEAVY^2 pairs and `VOCABULARY` contexts at most."""
     stats = pairs.select("pairs", "counts").mapInArrow(_statistics(u), STATS)
     names = [x.split()[0] for x in STATS.split(", ")][3:]
-    found = stats.groupBy("kind", "a", "b").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
-    p1 = u.probabilities()
+    found = stats.groupBy("kind", "a", "b").agg(*[F.sum(c).alias(c) for c in names]).toArrow().to_pandas()
+    met = F.col("c") > 0
+    sums = [F.sum("c"), F.count_if(met), F.sum(F.when(met, (F.col("wn") + 1) / F.lit(float(u.share))).otherwise(0.0))]
+    sums = [x.alias(n) for x, n in zip(sums, names[1:4], strict=True)] + [F.count_if(F.col("c") == r).alias(f"r{r}") for r in range(1, CUTOFF + 1)]
+    distinct = rare.where("first")
+    more = distinct.where("hid >= 0").groupBy(F.col("hid").alias("a")).agg(*sums).toArrow().to_pandas()
+    apart = distinct.agg(*[F.count_if(F.col("c") == r) for r in range(1, CUTOFF + 2)]).first()
     counts = {int(r.a): int(r.n) for r in found[found.kind == 0].itertuples()}
     heavy = found[found.kind == 1].sort_values(["a", "b"])
     h, w, c = heavy.a.to_numpy(np.int64), heavy.b.to_numpy(np.int64), heavy.n.to_numpy(np.int64)
-    n = [0, *[counts.get(r, 0) + int((c == r).sum()) for r in range(1, CUTOFF + 2)]]
-    contexts: dict[int, np.ndarray] = {}
-    for a, s in zip(*_context_sums(h, w, c, p1), strict=True):
-        contexts[int(a)] = s
-    for r in found[found.kind == 2].itertuples():
-        s = np.array([r.total, r.seen, r.p, r.r1, r.r2, r.r3, r.r4, r.r5], dtype=float)
-        contexts[int(r.a)] = contexts.get(int(r.a), 0) + s
-    return Model(u, discounts(n), contexts, (h.astype(_U) << _ID_BITS) | w.astype(_U), c)
+    n = [0, *[counts.get(r, 0) + int((c == r).sum()) + apart[r - 1] for r in range(1, CUTOFF + 2)]]
+    contexts = np.zeros((u.start + 1, 3 + CUTOFF))
+    at, some = _context_sums(h, w, c, u.probabilities())
+    contexts[at] += some
+    for table in (found[found.kind == 2], more):
+        contexts[table.a.to_numpy(np.int64)] += table[names[1:]].to_numpy(float)
+    d = discounts(n)
+    extra, weights = context_weights(contexts, d)
+    return Model(u, d, contexts[:, 0], extra, weights, (h.astype(_U) << _ID_BITS) | w.astype(_U), c)
+
+
+def _logs(d: np.ndarray, c: np.ndarray, p1: np.ndarray, total: np.ndarray, extra: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """log10 P(w | h) from the pair's count, P1(w) and the context's total, lowering and backoff weight."""
+    rate = np.where(c <= CUTOFF, d[np.minimum(c, CUTOFF)], 1.0)
+    seen = np.where(extra > 0, c - extra, rate * c) / np.maximum(total, 1)
+    return np.log10(np.where(c > 0, seen, weight * p1))
 
 
 def _evaluate(m: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -374,20 +431,12 @@ def _evaluate(m: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     u, d, p1 = m.unigrams, m.discounts, m.unigrams.probabilities()
 
     def logs(pairs: bytes, counts: bytes) -> np.ndarray:
-        h, w, c, heavy, both = _split_pairs(u, pairs, counts)
+        h, w, c, _, both = _split_pairs(u, pairs, counts)
         key = (h.astype(_U) << _ID_BITS) | w.astype(_U)
         if both.any():
             at = np.minimum(np.searchsorted(m.pair_keys, key[both]), max(len(m.pair_keys) - 1, 0))
             c[both] = np.where(m.pair_keys[at] == key[both], m.pair_counts[at], 0) if len(m.pair_keys) else 0
-        contexts, sums = _context_sums(h, w, c, p1)
-        for i in np.flatnonzero(u.is_heavy(contexts)):
-            sums[i] = m.contexts.get(int(contexts[i]), np.zeros(3 + CUTOFF))
-        extra, weight = context_weights(sums, d)
-        at = np.searchsorted(contexts, h)
-        total = np.maximum(sums[at, 0], 1)
-        rate = np.where(c <= CUTOFF, d[np.minimum(c, CUTOFF)], 1.0)
-        seen = np.where(extra[at] > 0, c - extra[at], rate * c) / total
-        return np.log10(np.where(c > 0, seen, weight[at] * p1[w]))
+        return _logs(d, c, p1[w], m.totals[h], m.extra[h], m.weights[h])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -409,6 +458,27 @@ def _evaluate(m: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
+def _evaluate_rare(m: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per row of rare_pairs: whether its word is rare and known, a rare word's part of the base score, the pair's log10
+    probability in whole numbers of 1 / UNIT."""
+    share = m.unigrams.share
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            hid, wn, c, rare_w = column("hid"), column("wn"), column("c"), column("rare_w").astype(bool)
+            sums = np.stack([column(x).astype(float) for x in ("total", "seen", "p", *[f"r{r}" for r in range(1, CUTOFF + 1)])], axis=1)
+            extra, weight = context_weights(sums, m.discounts)
+            frequent = hid >= 0
+            pick = lambda known, own: np.where(frequent, known[np.maximum(hid, 0)], own)  # noqa: B023, E731
+            log = _logs(m.discounts, c, (wn + 1) / share, pick(m.totals, sums[:, 0]), pick(m.extra, extra), pick(m.weights, weight))
+            base = np.where(rare_w, np.log10(wn + 1.0) - math.log10(share), 0.0)
+            columns = [batch.column("key"), pa.array((rare_w & (wn > 0)).astype(np.int64)), pa.array(base), pa.array(np.round(log * UNIT).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "known", "base", "log"])
+
+    return run
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds up every chunk's sums, which follow its row of keys (the one without places)."""
     name, keys, total = None, None, None
@@ -435,30 +505,24 @@ def score(docs: DataFrame, held_out, vocabulary: int = VOCABULARY) -> DataFrame:
     spark = docs.sparkSession
     rows = _rows(docs, held_out)
     u, unigrams = count_unigrams(rows, vocabulary)
-    meta = rows.select("key", "doc_id", "held_out", "text").mapInArrow(_meta(u), "key long, doc_id long, held_out boolean, n_tokens long, n_frequent long, base double, rare array<long>")
-    meta = materialize(meta, "meta")
-    share, own = math.log10(u.tokens + u.distinct + 1), math.log10(u.rare_tokens + u.rare_words + 1)
-    occurrences = meta.select("key", F.explode("rare").alias("word"))
-    c = F.coalesce("n", F.lit(0))
-    rare = (
-        occurrences.join(unigrams, "word", "left")
-        .groupBy("key")
-        .agg(F.count_if(c > 0).alias("r_known"), F.sum(F.log10(c + 1) - share).alias("r_base"), F.sum(F.log10(c + 1) - own).alias("r_log"))
-    )
+    meta = materialize(rows.select("key", "doc_id", "held_out", "text").mapInArrow(_meta(u), META), "meta")
+    rare = materialize(rare_pairs(meta, unigrams, u), "rare")
     parts = max(math.ceil(u.tokens / PART_TOKENS), min(default_parallelism(spark), math.ceil(u.tokens / (PART_TOKENS // 8))), 1)
     packed = rows.select("key", "text", "train").mapInArrow(_pairs(u, parts), "part int, chunk long, packed binary")
     # the chunks' rows of keys are spread by chunk, the others meet by part
     by = F.when(F.col("part") < 0, F.col("chunk")).otherwise(F.col("part").cast("long"))
     stored = materialize(packed.repartition(parts, by).sortWithinPartitions("part").mapInArrow(_merge, TABLE), "pairs")
     pairs = stored.where("part >= 0")
-    model = fit(pairs, u)
+    model = fit(pairs, rare, u)
     keys = stored.where("part < 0").select("chunk", F.lit(None).cast("binary").alias("places"), F.col("pairs").alias("sums"))
     sums = pairs.mapInArrow(_evaluate(model), "chunk long, places binary, sums binary").union(keys)
     together = sums.repartition(max(default_parallelism(spark), parts), "chunk").sortWithinPartitions("chunk", F.col("places").isNotNull())
     logs = together.mapInArrow(_documents, "key long, log double").groupBy("key").agg(F.sum("log").alias("log"))
     # rows of one key are equal, and each of them added its words to the key's sums
     same = meta.groupBy("key").agg(F.count("*").alias("m"))
-    sums = same.join(rare, "key", "left").join(logs, "key", "left")
+    others = rare.mapInArrow(_evaluate_rare(model), "key long, known long, base double, log long").groupBy("key")
+    others = others.agg(F.sum("known").alias("r_known"), F.sum("base").alias("r_base"), (F.sum("log") / UNIT).alias("r_log"))
+    sums = same.join(others, "key", "left").join(logs, "key", "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0.0)) / F.col("m")
     return meta.drop("rare").join(sums, "key").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_frequent") + zero("r_known")).cast("long").alias("n_known"), F.lit(u.tokens).cast("long").alias("train_tokens"),
