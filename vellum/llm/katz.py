@@ -17,7 +17,8 @@ their training counts and the documents in which they occur. Pairs with a rarer
 
 Skew: the `HEAVY` most frequent contexts are spread over parts by the word that follows, and pairs of two heavy
 symbols by document chunk as well; their counts (HEAVY^2 at most) are added up and sent to all, as are the sums of the
-`VOCABULARY` contexts. A rarer word holds less than one in `VOCABULARY` of the tokens by its rank.
+`VOCABULARY` contexts. A rarer training word holds about one in `VOCABULARY` of the tokens at most, by its rank. A word that only
+held-out documents have is not ranked: its rows meet in one task however frequent it is there (sorted and spilled, not held).
 
 Edge cases: null or empty text is the end alone; repeated rows get equal scores; a null doc_id is not held out and
 not learned from; without training documents every token has the base probability of an empty corpus, 1; extra columns
