@@ -214,11 +214,13 @@ def rare_pairs(meta: DataFrame, unigrams: DataFrame, u: Unigrams) -> DataFrame:
 
     def with_counts(rows: DataFrame, *by: str) -> DataFrame:
         pair = Window.partitionBy(*by)
-        return rows.withColumn("c", F.sum("t").over(pair)).withColumn("first", F.row_number().over(pair.orderBy("key")) == 1)
+        # the ordered window first: its sort serves the other one too
+        return rows.withColumn("first", F.row_number().over(pair.orderBy("key")) == 1).withColumn("c", F.sum("t").over(pair))
 
     after = with_counts(counted(pairs.where("wn < 0 and hid >= 0")), "w", "hid")
     plain = pairs.where("wn >= 0").select("key", "t", "h", "w", "hid", "wn", F.lit(False).alias("rare_w"))
-    before = with_counts(counted(pairs.where("wn < 0 and hid < 0")).unionByName(plain), "h", "rare_w", "w")
+    # one shuffle by context serves the windows over pairs and those over contexts
+    before = with_counts(counted(pairs.where("wn < 0 and hid < 0")).unionByName(plain).repartition("h"), "h", "rare_w", "w")
     context, met = Window.partitionBy("h"), F.col("first") & (F.col("c") > 0)
     number = lambda condition: F.sum(condition.cast("long")).over(context)
     sums = {"total": F.sum("t").over(context), "seen": number(met), "p": F.sum(F.when(met, (F.col("wn") + 1) / F.lit(float(u.share))).otherwise(0.0)).over(context)}
