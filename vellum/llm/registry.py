@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from vellum.llm import (
+    conversations,
     decontamination,
     fingerprints,
     katz,
@@ -16,7 +17,7 @@ from vellum.llm import (
     toxicity,
 )
 
-MODULES = (decontamination, fingerprints, katz, language, mixing, pages, pii, simhash, tokenfiles, toxicity)
+MODULES = (conversations, decontamination, fingerprints, katz, language, mixing, pages, pii, simhash, tokenfiles, toxicity)
 
 
 def queries() -> dict:
