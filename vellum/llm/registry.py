@@ -12,12 +12,13 @@ from vellum.llm import (
     mixing,
     pages,
     pii,
+    secrets,
     simhash,
     tokenfiles,
     toxicity,
 )
 
-MODULES = (conversations, decontamination, fingerprints, katz, language, mixing, pages, pii, simhash, tokenfiles, toxicity)
+MODULES = (conversations, decontamination, fingerprints, katz, language, mixing, pages, pii, secrets, simhash, tokenfiles, toxicity)
 
 
 def queries() -> dict:
