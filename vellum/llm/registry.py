@@ -11,6 +11,7 @@ from vellum.llm import (
     language,
     mixing,
     pages,
+    phrases,
     pii,
     secrets,
     simhash,
@@ -18,7 +19,7 @@ from vellum.llm import (
     toxicity,
 )
 
-MODULES = (conversations, decontamination, fingerprints, katz, language, mixing, pages, pii, secrets, simhash, tokenfiles, toxicity)
+MODULES = (conversations, decontamination, fingerprints, katz, language, mixing, pages, phrases, pii, secrets, simhash, tokenfiles, toxicity)
 
 
 def queries() -> dict:
