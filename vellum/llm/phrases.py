@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import bound_batches, chunks, materialize, table
+from vellum.llm.common import bound_batches, chunks, materialize, new_path, table
 from vellum.llm.fingerprints import _BYTES, _mixed, _powers
 
 LEAST = 30
@@ -42,7 +42,9 @@ SCALE = 2_000_000
 FILTER_BITS = 26
 SALTS = 64
 #: Bytes of text in a postings row; a task holds back `HELD` times as much of all languages at most.
-ROW_BYTES, HELD = 4 << 20, 6
+ROW_BYTES, HELD = 2 << 20, 4
+#: Bytes of a row group of the stored lists: a scan holds one at a time.
+GROUP_BYTES = 8 << 20
 
 _U = np.uint64
 _BREAK = np.zeros(256, dtype=bool)
@@ -78,6 +80,7 @@ def inverted(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, n
 def _row(lang: str, texts: list[bytes]) -> pa.RecordBatch:
     words, names, counts, at = inverted(texts)
     one = lambda values, kind: pa.array([values], pa.list_(kind))
+    pa.default_memory_pool().release_unused()
     columns = [pa.array([lang]), pa.array([len(at)]), one(words.view(np.int64), pa.int64()), one([n.decode() for n in names], pa.string()), one(counts.astype(np.int32), pa.int32()), one(at.astype(np.int32), pa.int32())]
     return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in POSTINGS.split(", ")])
 
@@ -106,7 +109,9 @@ def postings(docs: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
     """docs(text, lang) -> stored rows of `POSTINGS`."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return materialize(rows.mapInArrow(_invert(row_bytes), POSTINGS), "postings")
+    path = new_path(docs.sparkSession, "postings")
+    rows.mapInArrow(_invert(row_bytes), POSTINGS).write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    return docs.sparkSession.read.schema(POSTINGS).parquet(path)
 
 
 def _bits(lang: str, words: list[np.ndarray], bits: int) -> np.ndarray:
