@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.plans import decisions, flows, privacy, programs, relational, textual
+from vellum.plans import decisions, flows, privacy, programs, relational, terms, textual
 
 FLAGSHIP = "g8_chat_daily"
-MODULES = (relational, textual, flows, programs, decisions, privacy)
+MODULES = (relational, textual, flows, programs, decisions, privacy, terms)
 
 
 def queries() -> dict:
