@@ -188,6 +188,23 @@ def removed(df: DataFrame, language: str = "de", column: str = "text") -> DataFr
     ).drop("_t", "_n", "_kept", "_kinds", "_m", "_d")
 
 
+def with_contexts(df: DataFrame, column: str, expression: str, reach: int, least: int) -> DataFrame:
+    """df with `found`: array<struct<before, match, after>>, the matches with `reach` characters on either side, other matches among them.
+
+    `least` is how many characters a match and the gap behind it have together at least: so many pieces make up a side. Pieces
+    are looked up by place and clipped, so the cost grows with the matches, not with their offsets."""
+    df = df.withColumns({"_gaps": F.split(column, expression, -1), "_found": F.regexp_extract_all(column, F.lit(expression), F.lit(0))})
+    steps = range(-(-reach // least) + 1)
+
+    def sides(match, i):
+        gap = lambda j: F.get("_gaps", j)
+        after = F.concat_ws("", *[x for k in steps for x in (F.left(gap(i + 1 + k), F.lit(reach)), F.get("_found", i + 1 + k))])
+        before = F.concat_ws("", *[x for k in reversed(steps) for x in (F.get("_found", i - 1 - k), F.right(gap(i - k), F.lit(reach)))])
+        return F.struct(F.right(before, F.lit(reach)).alias("before"), match.alias("match"), F.left(after, F.lit(reach)).alias("after"))
+
+    return df.withColumn("found", F.transform("_found", sides)).drop("_gaps", "_found")
+
+
 def is_measure(after: Column) -> Column:
     """Whether the 15 characters behind a number begin with a unit, a hyphen before it allowed."""
     low = F.lower(F.trim(F.substring(after, 1, 15)))

@@ -42,27 +42,35 @@ SELECT doc_id, text, e, CAST(CASE WHEN e > 0 THEN {' + '.join(f"CAST(regexp_matc
 SELECT doc_id, text, CASE WHEN length(text) >= 100 AND ({_H}) THEN CASE WHEN {_M[0]} THEN {_E[0]} WHEN {_M[1]} THEN {_E[1]} WHEN {_M[2]} THEN {_E[2]} ELSE 0 END ELSE 0 END AS e FROM (
 SELECT doc_id, concat(CASE WHEN doc_id % 3 = 0 THEN 'Klinikum Nord' || chr(10) || 'Abteilung eins' || chr(10) || '-----' || chr(10) WHEN doc_id % 3 = 1 THEN 'St. Anna Hospital' || repeat(chr(10), 3) ELSE '' END, coalesce(text, '')) AS text FROM documents)))""",
 )
-_NUMBER, _DOTTED = r"(?s)([0-9]{2,})([^0-9].{0,14})", r"(?s)(.{0,30}?)\b([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)\b(.{0,30})"
+_NUMBER, _DOTTED = "[0-9]+", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
+
+
+def _placed(expression: str, reach: int) -> str:
+    """Every match of an expression in a document with what stands before and behind it, by its offset."""
+    return f"""SELECT doc_id, d, m, substr(text, CAST(greatest(s - {reach}, 0) + 1 AS BIGINT), CAST(least(s, {reach}) AS BIGINT)) AS b, substr(text, CAST(s + length(m) + 1 AS BIGINT), {reach}) AS a
+FROM (SELECT doc_id, d, text, m, sum(length(g) + length(m)) OVER (PARTITION BY d ORDER BY i) - length(m) AS s
+FROM (SELECT doc_id, d, text, unnest(ms) AS m, unnest(gs[: len(ms)]) AS g, unnest(range(len(ms))) AS i
+FROM (SELECT doc_id, row_number() OVER () AS d, text, regexp_extract_all(text, {_q(expression)}) AS ms, regexp_split_to_array(text, {_q(expression)}) AS gs FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))))"""
 
 
 def _measures(df):
-    after = F.regexp_extract_all("text", F.lit(_NUMBER), F.lit(2))
-    rows = df.where("text is not null").select("doc_id", F.size(after).alias("n_numbers"), F.explode_outer(after).alias("after"))
-    return rows.groupBy("doc_id").agg(F.max("n_numbers").alias("n_numbers"), F.count_if(F.coalesce(privacy.is_measure(F.col("after")), F.lit(False))).alias("n_measures"))
+    found = privacy.with_contexts(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", _NUMBER, 15, 2)
+    return found.select("doc_id", F.size("found").cast("long").alias("n_numbers"), F.size(F.filter("found", lambda x: privacy.is_measure(x.after))).cast("long").alias("n_measures"))
 
 
-_documents("pi11_measures", _measures, f"""SELECT doc_id, max(n) AS n_numbers, count(*) FILTER (coalesce({_any(privacy.UNITS, 'a')} OR {_any(privacy.UNITS, 'a', '-')}, false)) AS n_measures
-FROM (SELECT doc_id, n, lower(trim(left(a, 15))) AS a FROM (SELECT doc_id, CAST(len(x) AS INT) AS n, unnest(CASE WHEN len(x) = 0 THEN [NULL] ELSE x END) AS a FROM (SELECT doc_id, regexp_extract_all(text, {_q(_NUMBER)}, 2) AS x FROM documents WHERE text IS NOT NULL))) GROUP BY doc_id""")
+_documents("pi11_measures", _measures, f"""WITH placed AS ({_placed(_NUMBER, 15)})
+SELECT doc_id, coalesce(n, 0) AS n_numbers, coalesce(k, 0) AS n_measures FROM (SELECT row_number() OVER () AS d, doc_id FROM documents)
+LEFT JOIN (SELECT d, count(*) AS n, count(*) FILTER ({_any(privacy.UNITS, 'l')} OR {_any(privacy.UNITS, 'l', '-')}) AS k FROM (SELECT d, lower(trim(a)) AS l FROM placed) GROUP BY d) USING (d)""")
 
 
 def _ranges(df):
-    found = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(_DOTTED), F.lit(g)).alias(n) for g, n in ((1, "before"), (2, "match"), (3, "after"))])
-    rows = df.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*")
+    found = privacy.with_contexts(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", _DOTTED, 30, 7)
+    rows = found.select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.*")
     return rows.select("doc_id", "match", privacy.is_lab_range(F.col("before"), F.col("after")).alias("is_range")).groupBy("doc_id", "match", "is_range").agg(F.count("*").alias("n"))
 
 
-_documents("pi12_lab_ranges", _ranges, f"""SELECT doc_id, m AS match, (contains(b, '(') AND {_any(privacy.RANGE_UNITS, 'lower(trim(a))')}) OR {_has(privacy.LAB_WORDS, 'lower(b)')} > 0 AS is_range, count(*) AS n
-FROM (SELECT doc_id, {', '.join(f"unnest(regexp_extract_all(text, {_q(_DOTTED)}, {g})) AS {n}" for g, n in ((1, 'b'), (2, 'm'), (3, 'a')))} FROM documents) GROUP BY ALL""")
+_documents("pi12_lab_ranges", _ranges, f"""WITH placed AS ({_placed(_DOTTED, 30)})
+SELECT doc_id, m AS match, (contains(b, '(') AND {_any(privacy.RANGE_UNITS, 'lower(trim(a))')}) OR {_has(privacy.LAB_WORDS, 'lower(b)')} > 0 AS is_range, count(*) AS n FROM placed GROUP BY ALL""")
 _documents("pi25_old_dates", lambda df: df.select("doc_id", F.md5(privacy.without_old_dates(F.col("text"))).alias("text_md5"), F.regexp_count("text", F.lit(privacy.OLD_DATE)).alias("n")), f"SELECT doc_id, md5(regexp_replace(text, {_q(privacy.OLD_DATE)}, '[DATUM ENTFERNT]', 'g')) AS text_md5, CAST(len(regexp_extract_all(text, {_q(privacy.OLD_DATE)})) AS INT) AS n FROM documents")
 _documents("pi28_preserved", lambda df: df.select("doc_id", privacy.preserved(F.coalesce("text", F.lit("")), F.expr("left(coalesce(text, ''), length(coalesce(text, '')) div 2)")).alias("kept")), f"SELECT doc_id, CASE WHEN a > 0 THEN b / a::DOUBLE >= 0.8 ELSE true END AS kept FROM (SELECT doc_id, {_has(privacy.KEYWORDS, 'lower(t)')} AS a, {_has(privacy.KEYWORDS, 'lower(left(t, length(t) // 2))')} AS b FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))")
 _KINDS = [(k, privacy.placeholder(k)) for k, _, _ in privacy.GERMAN]
