@@ -4,14 +4,15 @@ Sun, Song and Liao, "DOM Based Content Extraction via Text Density" (2011). A pa
 nodes. With C characters, T tags, LC characters in links and LT link tags below a node (each at least
 1 as a divisor) and the same for the body, a node's composite density is
 C / T * log_b(C / LC * T / LT) with b = ln(C / (C - LC) * LC + LC_body / C_body * C + e); a node's density sum adds
-its children's densities. The node of greatest sum leads to the content: the threshold is the least density on its path to
-the body, and from the body down every node at or above it, siblings included, gives content: the subtree of greatest
-sum in it.
+its children's densities. The subtree of greatest sum is content. The threshold is the least density on its path to
+the body, the body itself left out, as it is dense wherever the page is little else. What branches off that path is content if it is as dense
+as the threshold, if it is an article or in one, or if it is a heading of what follows; so unnamed menus, footers and notices
+fall to their density. In what is left, unless in an article, blocks of mostly links, two at least, are menus.
 
 Before that, parts that are no content by their tag, or by a class, id or role made of nothing but words for such
 parts, are left out with all below them: menus, headers outside articles, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments. `comments-open` or `share-price` name no such part. Formatting tags are neither
-nodes nor counted.
+scripts, styles, reader comments. `comments-open` or `share-price` name no such part. In an article only unambiguous words count, and
+no id of a section, heading or paragraph, which is an anchor. Formatting tags, formulas and drawings are neither nodes nor counted.
 
 Text: character references are decoded, white space in a block becomes one space, empty blocks are
 left out, blocks are joined by a line feed in page order. Nothing else is dropped.
@@ -37,19 +38,22 @@ from pyspark.sql import functions as F
 from vellum.llm.common import chunks, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+|[^>]*+)>", re.S)
-NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAMES = re.compile(r"(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 
 # Tags by what they do to the tree.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object title".split())
+RAW = frozenset("script style noscript template textarea iframe title".split())
 LEFT_OUT = frozenset("head nav footer aside form button select dialog menu fieldset canvas audio video".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math semantics annotation mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mphantom menclose mmultiscripts"
+    " object svg g defs use path text tspan rect circle ellipse line polyline polygon".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: A tag ends an open one of these, not above the boundary.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
 # Words in a class, id or role that mark what is no content.
@@ -67,6 +71,9 @@ NEUTRAL = frozenset(
         "link", "links", "list", "main", "nested", "outer", "page", "panel", "posts", "primary", "reader", "right", "secondary", "section", "site", "slot", "thread", "top", "user", "wrap", "wrapper",
     ]
 )
+# Those of the first that are ambiguous in an article, and tags whose id is an anchor there.
+AMBIGUOUS = frozenset(["dropdown", "menu", "modal", "nav", "overlay", "related", "search", "share", "sharing", "social", "toolbar", "widget"])
+ANCHORED = frozenset("section h1 h2 h3 h4 h5 h6 p".split())
 #: The same as the first, but for an article's own header.
 HEADERS = frozenset(["header", "banner"])
 
@@ -77,6 +84,7 @@ class _Page:
     def __init__(self) -> None:
         self.parent, self.tag, self.end = [-1], ["body"], [1]
         self.chars, self.linked, self.tags, self.links = [0], [0], [0], [0]
+        self.article = [False]
         self.pieces: list[tuple[int, int, str]] = []
 
 
@@ -86,9 +94,11 @@ def _is_left_out(tag: str, attributes: str, in_article: bool) -> bool:
     if not attributes:
         return False
     for m in NAMES.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
+        if in_article and m[1].lower() == "id" and tag in ANCHORED:
+            continue
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
             words = set(WORD.findall(name))
-            marks = words & (BOILERPLATE if in_article else BOILERPLATE | HEADERS)
+            marks = words & (BOILERPLATE - AMBIGUOUS if in_article else BOILERPLATE | HEADERS)
             if tag in ("body", "html", "article", "main"):
                 marks &= {"comment", "comments"}
             if marks and words <= BOILERPLATE | HEADERS | NEUTRAL:
@@ -182,6 +192,7 @@ def parse(page: str) -> _Page:
         if not hidden:
             out.parent.append(node)
             out.tag.append(tag)
+            out.article.append(articles > 0)
             for counts in (out.chars, out.linked, out.tags, out.links):
                 counts.append(0)
             node = len(out.tag) - 1
@@ -199,44 +210,76 @@ def _ends(parent: list[int]) -> list[int]:
     return ends
 
 
-def densities(page: _Page) -> tuple[list[float], list[float]]:
-    """Composite density and density sum of every node."""
-    n = len(page.parent)
+def _totals(page: _Page) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Characters, those in links, tags and link tags of every node with all below it."""
     chars, linked, tags, links = list(page.chars), list(page.linked), list(page.tags), list(page.links)
-    for i in range(n - 1, 0, -1):
+    for i in range(len(page.parent) - 1, 0, -1):
         p = page.parent[i]
         chars[p] += chars[i]
         linked[p] += linked[i]
         tags[p] += tags[i] + 1
         links[p] += links[i]
+    return chars, linked, tags, links
+
+
+def composite(c: int, t: int, lc: int, lt: int, share: float) -> float:
+    """The composite density of a node; share is the body's part of characters in links."""
+    if not c:
+        return 0.0
+    t = max(t, 1)
+    base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+    return c / t * max(math.log(c / max(lc, 1) * t / max(lt, 1)) / math.log(max(base, 1 + 1e-9)) if base > 1 else math.log(c * t), 0.0)
+
+
+def densities(page: _Page) -> tuple[list[float], list[float]]:
+    """Composite density and density sum of every node."""
+    chars, linked, tags, links = _totals(page)
     share = linked[0] / max(chars[0], 1)
-    density, sums = [0.0] * n, [0.0] * n
-    for i in range(n):
-        c, t, lc, lt = chars[i], max(tags[i], 1), linked[i], links[i]
-        if c:
-            base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-            density[i] = c / t * max(math.log(c / max(lc, 1) * t / max(lt, 1)) / math.log(max(base, 1 + 1e-9)) if base > 1 else math.log(c * t), 0.0)
-    for i in range(1, n):
+    density = [composite(*node, share) for node in zip(chars, tags, linked, links, strict=True)]
+    sums = [0.0] * len(density)
+    for i in range(1, len(density)):
         sums[page.parent[i]] += density[i]
     return density, sums
 
 
-def content_nodes(page: _Page) -> list[tuple[int, int]]:
-    """The node ranges that hold the content."""
-    density, sums = densities(page)
-    n = len(sums)
+def content_nodes(page: _Page) -> list[bool]:
+    """Whether each node's own text is content."""
+    n = len(page.parent)
     if n == 1:
-        return [(0, 1)]
+        return [True]
+    density, sums = densities(page)
+    chars, linked, _, links = _totals(page)
+    share = linked[0] / max(chars[0], 1)
     best = max(range(n), key=lambda i: (sums[i], -i))
-    threshold, i = density[best], best
-    while i >= 0:
-        threshold = min(threshold, density[i])
-        i = page.parent[i]
-    # of each node: the one of greatest sum in its subtree
-    top = list(range(n))
-    for i in range(n - 1, 0, -1):
-        top[page.parent[i]] = max(top[page.parent[i]], top[i], key=lambda k: (sums[k], -k))
-    return [(top[i], page.end[top[i]]) for i in range(n) if density[i] >= threshold and density[i] > 0]
+    path = [best]
+    while page.parent[path[-1]] >= 0:
+        path.append(page.parent[path[-1]])
+    threshold = min((density[i] for i in path if i), default=0.0)
+    kept = [False] * n
+
+    def keep(i: int) -> None:
+        kept[i : page.end[i]] = [True] * (page.end[i] - i)
+
+    keep(best)
+    children: list[list[int]] = [[] for _ in range(n)]
+    for i in range(1, n):
+        children[page.parent[i]].append(i)
+    for below, node in itertools.pairwise(path):
+        kept[node] = page.article[node] or composite(page.chars[node], 1, page.linked[node], page.links[node], share) >= threshold > 0
+        follows = False
+        for i in reversed(children[node]):
+            follows = i == below or page.article[i] or density[i] >= threshold > 0 or (follows and page.tag[i] in HEADINGS)
+            if follows and i != below:
+                keep(i)
+    on_path = set(path)
+    i = 0
+    while i < n:
+        if kept[i] and not page.article[i] and i not in on_path and links[i] > 1 and 2 * linked[i] > chars[i]:
+            kept[i : page.end[i]] = [False] * (page.end[i] - i)
+            i = page.end[i]
+        else:
+            i += 1
+    return kept
 
 
 def extract(page: str | None) -> str:
@@ -244,11 +287,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     parsed = parse(page)
-    turns = [0] * (len(parsed.parent) + 1)
-    for a, b in content_nodes(parsed):
-        turns[a] += 1
-        turns[b] -= 1
-    kept = list(itertools.accumulate(turns))
+    kept = content_nodes(parsed)
     blocks: dict[int, list[str]] = {}
     for node, block, piece in parsed.pieces:
         if kept[node]:
