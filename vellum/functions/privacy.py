@@ -1,7 +1,8 @@
-"""Removing personal data from medical letters: letterhead, ordered passes of expressions, dates by their context, clean-up.
+"""Removing personal data from medical letters (survey rows PI1, PI3, PI5 to PI8, PI11 to PI14, PI25, PI28): letterhead, ordered passes of expressions, dates by their context, clean-up.
 
 Every pass is one JVM-side replacement over the text that the pass before left, in a column of its own: the pass's
-count and the next pass both read it, so Spark evaluates it once and compiles its literal pattern once. Expressions use
+count and the next pass both read it, so Spark evaluates it once and compiles its literal pattern once. A pass is run only on texts that
+hold what its matches hold, and counted only where it changed something. Expressions use
 Unicode classes, as the fixed values are written for.
 """
 
@@ -113,6 +114,35 @@ OLD_DATE = r"\b[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19[2-9][0-9]|200[0-9]|2010)\b"
 DATED = ("date_standalone", "date_german_month", "date_english_month")
 
 
+_MONTHS = ["januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember", "january", "february", "march", "may", "june", "july", "october", "december"]
+#: Of a kind: whether a match holds a digit, and what of which it holds one piece: lower case where case matters not. A
+#: text without is not searched; kinds that are missing always are. Languages that share a kind share its pieces.
+NEEDS: dict[str, tuple[bool, list[str]]] = {
+    "doctor_title_name": (False, ["Dr", "dr", "Prof", "prof", "Dipl", "dipl", "OA", "CA", "FA", "berarzt", "berärztin", "hefarzt", "hefärztin", "acharzt", "achärztin", "MD", "M.D.", "PhD", "Ph.D.", "RN", "NP", "PA", "ttending", "esident"]),
+    "name_comma_format": (False, ["patient", "name", "versicherte"]), "labeled_name": (False, [":"]), "name_in_header_block": (False, [","]), "doctor_initial_name": (False, ["."]), "date_german_month": (True, _MONTHS), "date_english_month": (True, _MONTHS),
+    "case_reference": (True, ["ds", "dossier", "fall", "akte", "az", "vorgang", "geschäftszeichen"]), "document_reference": (True, ["zeichen", "ref"]), "birthdate": (True, ["geb", "*", "birth", "born", "dob"]), "tax_id": (True, ["steuer", "tin"]),
+    "social_security": (True, ["versicherung", "sv"]), "ssn": (True, ["ssn", "social security"]), "phone": (True, ["tel", "phone", "fon", "ruf", "call"]), "fax": (False, ["fax"]), "phone_spaced": (True, []), "phone_extension": (True, ["/"]), "phone_orphan": (True, ["[PHONE]"]),
+    "email": (False, ["@"]), "address": (True, []), "address_no_suffix": (True, [","]), "plz_city": (True, []), "zipcode": (True, []), "insurance": (True, ["vers", "vn", "krankenkasse", "kk", "mitglied", "kassen"]), "insurance_company": (True, []), "insurance_standalone": (True, [","]),
+    "insurance_status": (False, ["status"]), "patient_id": (False, ["patient", "fall", "aktenzeichen", "mrn", "medical record"]), "case_number": (True, ["fall", "aufnahme"]), "date_standalone": (True, ["."]), "named_email_domain": (False, [".de", ".at", ".ch"]), "email_full": (False, ["@"]),
+    "email_split": (False, ["@"]), "email_local_part": (False, ["@[email_domain]"]), "company_registration": (True, ["hrb", "hra", "gnr", "pr", "vr"]),
+    "bank_location": (False, ["sparkasse", "bank", "santander", "ing", "dkb", "n26"]), "iban": (True, []),
+    "hospital_management": (False, ["geschäftsführung", "direktor", "vorstand", "aufsichtsrat"]), "hospital_department": (False, ["klinik", "abteilung", "institut", "zentrum"]), "hospital_with_city": (False, ["klini", "krankenhaus", "hospital"]),
+}
+
+
+def may_match(kind: str, ignore_case: bool, text: Column, has_digit: Column) -> Column:
+    """Whether a text holds what every match of a kind holds."""
+    digit, pieces = NEEDS.get(kind, (False, []))
+    # of the letters that match each other without case, only the long s is not the lower case of the other
+    low = F.translate(F.lower(text), "ſ", "s") if ignore_case else text
+    some = F.lit(True)
+    if pieces:
+        some = F.contains(low, F.lit(pieces[0]))
+        for piece in pieces[1:]:
+            some = some | F.contains(low, F.lit(piece))
+    return has_digit & some if digit else some
+
+
 def passes(language: str) -> list[tuple[str, bool, str]]:
     """German for de, English for any other language."""
     return GERMAN if language == "de" else ENGLISH
@@ -171,12 +201,17 @@ def removed(df: DataFrame, language: str = "de", column: str = "text") -> DataFr
     from vellum.functions.redaction import cleaned, fixes
 
     out = without_letterhead(df.withColumn("_t", F.coalesce(F.col(column), F.lit(""))), "_t").withColumns({"_n": F.lit(0), "_kept": F.lit(0), "_kinds": F.lit("")})
+    # placeholders hold no digit, so one look tells for all passes
+    out = out.withColumn("_digit", F.col("_t").rlike(r"\p{Nd}"))
     for kind, ignore_case, text in passes(language):
         expression = pattern(ignore_case, text)
+        some = may_match(kind, ignore_case, F.col("_t"), F.col("_digit"))
         if kind in DATED:
-            out = out.withColumn("_d", _dates(F.col("_t"), expression)).withColumns({"_t": F.col("_d.out"), "_m": F.col("_d.gone"), "_kept": F.col("_kept") + F.col("_d.kept")})
+            as_it_is = F.struct(F.lit(0).alias("at"), F.col("_t").alias("out"), F.lit(0).alias("gone"), F.lit(0).alias("kept"))
+            out = out.withColumn("_d", F.when(some, _dates(F.col("_t"), expression)).otherwise(as_it_is)).withColumns({"_t": F.col("_d.out"), "_m": F.col("_d.gone"), "_kept": F.col("_kept") + F.col("_d.kept")})
         else:
-            out = out.withColumns({"_m": F.regexp_count("_t", F.lit(expression)), "_t": F.regexp_replace("_t", expression, placeholder(kind))})
+            out = out.withColumn("_new", F.when(some, F.regexp_replace("_t", expression, placeholder(kind))).otherwise(F.col("_t")))
+            out = out.withColumns({"_m": F.when(F.col("_new") == F.col("_t"), 0).otherwise(F.regexp_count("_t", F.lit(expression))), "_t": F.col("_new")})
         out = out.withColumns({"_n": F.col("_n") + F.col("_m"), "_kinds": F.when(F.col("_m") > 0, F.concat("_kinds", F.lit(kind + ","))).otherwise(F.col("_kinds"))})
     out = out.withColumn("redacted", cleaned(F.col("_t")))
     units = "|".join(sorted((u for u in UNITS if u[0] not in "%‰/"), key=len, reverse=True))
@@ -185,7 +220,7 @@ def removed(df: DataFrame, language: str = "de", column: str = "text") -> DataFr
             "removals": F.col("_n"), "dates_kept": F.col("_kept"), "kinds": F.rtrim(F.col("_kinds"), F.lit(",")), "fixes": fixes(F.col("_t"), F.col("redacted")),
             "suspicious": F.regexp_count("redacted", F.lit(rf"(?i)\[(?:PHONE|FAX|INSURANCE_ID|PATIENT_ID|REFERENCE_ID)\][\s\-/]*(?:{units}|%|‰)")), "error": F.trim(F.coalesce(column, F.lit(""))) == "",
         }
-    ).drop("_t", "_n", "_kept", "_kinds", "_m", "_d")
+    ).drop("_t", "_n", "_kept", "_kinds", "_m", "_d", "_new", "_digit")
 
 
 def with_contexts(df: DataFrame, column: str, expression: str, reach: int, least: int) -> DataFrame:

@@ -9,6 +9,7 @@ from vellum.functions import fallback
 from vellum.functions import terms as T
 from vellum.plans.terms import WORDS_SQL
 from vellum.plans.textual import _q
+from vellum.sources.overlays import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -19,7 +20,7 @@ _HEAD = r"""concat('Patient: ', initcap(n_name), ', Maria\nGeb.: ', 1 + doc_id %
 
 
 def letters(spark, d):
-    docs, nations = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/nation.parquet")
+    docs, nations = spread(spark.read.parquet(f"{d}/documents.parquet")), spark.read.parquet(f"{d}/nation.parquet")
     return docs.join(nations, F.pmod("doc_id", F.lit(25)) == F.col("n_nationkey"), "left").select("doc_id", F.expr(_HEAD).alias("text"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import privacy
 from vellum.plans.textual import _q
+from vellum.sources.overlays import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -14,7 +15,7 @@ META = ["removals", "dates_kept", "kinds", "letterhead_removed", "fixes", "suspi
 
 
 def _documents(name: str, run, sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, d: run(spark.read.parquet(f"{d}/documents.parquet"))
+    QUERIES[name] = lambda spark, d: run(spread(spark.read.parquet(f"{d}/documents.parquet")))
     if sql:
         ORACLE_SQL[name] = sql
 

@@ -112,6 +112,13 @@ _VIEWS = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of few row groups dealt over all cores, for expressions that cost much more than a shuffle of its rows. A table with
+    two input partitions per core or more stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(2 * cores)
+
+
 def sql(name: str, dialect: str) -> str:
     """A view's query in a dialect."""
     spelled, text = _DIALECTS[dialect], _VIEWS[name][1]
