@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.plans import decisions, fallback, flows, privacy, programs, relational, terms, textual
+from vellum.plans import decisions, fallback, flows, privacy, programs, relational, scans, terms, textual
 
 FLAGSHIP = "g8_chat_daily"
-MODULES = (relational, textual, flows, programs, decisions, privacy, terms, fallback)
+MODULES = (relational, textual, flows, programs, decisions, privacy, terms, fallback, scans)
 
 
 def queries() -> dict:
