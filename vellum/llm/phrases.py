@@ -10,7 +10,7 @@ only where the phrase, the word behind it and the phrase without its first word
 What is frequent reaches the tasks as bitmaps of `FILTER_BITS` bits, whatever the size of the input: a phrase sets the bit of its
 hash. A bit set by another phrase lets a rare phrase into the next count, where it is dropped by its own exact frequency; so
 bitmaps only prune, and all results are exact. Positions never leave their row; what is shuffled are counts of
-(language, word hashes), added up before the shuffle within each task. Words are told apart by 64-bit hashes.
+(language, word hashes), added up within each row of some megabytes before the shuffle, so that the most frequent phrase comes once a row. Words are told apart by 64-bit hashes.
 
 A candidate's cuts look up the frequencies of both parts by joins; the list of a language is first cut down to its first
 `top` rows within each of `SALTS` parts, then ranked, so one language's candidates don't meet in one task. Products are
@@ -200,7 +200,8 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits:
     for length in range(2, longest + 1):
         keys = [f"w{i}" for i in range(length)]
         counted = rows.mapInArrow(_counter(filters), f"lang string, {', '.join(f'{k} long' for k in keys)}, n long")
-        counted = counted.groupBy("lang", *keys).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+        # each row's counts are sums already; a hash table per task before the shuffle would hold most of them once more
+        counted = counted.repartition("lang", *keys).groupBy("lang", *keys).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
         found.append(materialize(counted.select("lang", F.array(*keys).alias("words"), "a"), f"phrases-{length}"))
         if length < longest:
             filters.append(spark.sparkContext.broadcast(_filter(found[-1], bits)))
