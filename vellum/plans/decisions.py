@@ -39,14 +39,17 @@ _table(
     rf"""SELECT doc_id, coalesce(length(trim(text)) >= 100 AND (len(list_filter(regexp_split_to_array(text, '[.!?]+{_WS}+'), lambda s: length(trim(s)) > 30)) >= 3 OR (length(text) - length(replace(text, chr(10) || chr(10), ''))) / 2 >= 2)
 AND {_n('[0-9]+[.,][0-9]+', 'text')} < 5 AND length(text) - length(replace(text, '|', '')) < 3 AND length(text) - length(replace(text, chr(9), '')) < 5, false) AS narrative FROM documents""",
 )
-_FACTS = {"coverage": "(doc_id * 37 % 101) / 100.0", "quality": "(doc_id * 53 % 101) / 100.0", "has_tables": "doc_id % 7 = 0", "has_images": "doc_id % 3 = 0", "density": "(doc_id % 13) / 100.0"}
+#: Facts of a document read off its text: how much of a page it fills, its quality score, whether it has table rows, whether it
+#: has marks of pictures or layout, how dense it is.
+_FACTS = {"coverage": "least(length(text) / 3000, 1)", "has_tables": "contains(text, '|')", "has_images": "contains(text, '***') OR contains(text, '###')", "density": "least(length(replace(text, ' ', '')) / 20000, 1)"}
 
 
 def _facts(df):
-    return df.select("doc_id", *[F.expr(e).cast("double" if "/" in e else "boolean").alias(n) for n, e in _FACTS.items()])
+    df = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return df.select("doc_id", docs.text_quality(F.col("text")).alias("quality"), *[F.expr(e).cast("double" if "/" in e else "boolean").alias(n) for n, e in _FACTS.items()])
 
 
-_FACTS_SQL = "(SELECT doc_id, " + ", ".join(f"CAST({e} AS {'DOUBLE' if '/' in e else 'BOOLEAN'}) AS {n}" for n, e in _FACTS.items()) + " FROM documents)"
+_FACTS_SQL = "(SELECT doc_id, coalesce(quality, 0.0) AS quality, " + ", ".join(f"CAST({e.replace(') / ', ')::DOUBLE / ')} AS {'DOUBLE' if '/' in e else 'BOOLEAN'}) AS {n}" for n, e in _FACTS.items()) + " FROM (SELECT doc_id, coalesce(text, '') AS text, quality FROM documents JOIN (" + textual.ORACLE_SQL["t17_text_quality"] + ") USING (doc_id)))"
 _table(
     "t20_pdf_strategy",
     "documents",
@@ -64,7 +67,7 @@ _table(
     f"""SELECT doc_id, split_part(r, ',', 1) AS strategy, split_part(r, ',', 2) AS complexity, split_part(r, ',', 3) AS reason FROM (SELECT doc_id, CASE WHEN has_tables OR has_images THEN 'vision_llm,very_complex,complex_medical_layout'
 WHEN quality >= 0.7 AND density >= 0.05 THEN 'local_ocr,simple,high_quality_with_text' WHEN quality >= 0.4 AND density >= 0.02 THEN 'vision_llm,moderate,moderate_quality' ELSE 'vision_llm,complex,poor_quality_or_low_text' END AS r FROM {_FACTS_SQL})""",
 )
-_KIND = "CASE WHEN doc_id % 3 = 0 THEN 'image' WHEN doc_id % 3 = 1 THEN 'pdf' ELSE 'unknown' END"
+_KIND = "CASE WHEN has_images THEN 'image' WHEN coverage > 0.02 THEN 'pdf' ELSE 'unknown' END"
 _table(
     "t23_quality_issues",
     "documents",
@@ -118,7 +121,7 @@ def _pages(df):
 
 
 def _over(name: str, case: str, old: str, new: str, run, table: str = "documents", key: str | None = "id") -> None:
-    sql = textual.ORACLE_SQL[case]
+    sql = textual.CASE_SQL[case]
     sql = sql[sql.rindex(")\nSELECT") + 2 :] if ")\nSELECT" in sql else sql
     sql = sql.replace(f"FROM {old}", f"FROM {new}")
     if key:
@@ -153,4 +156,4 @@ FROM (SELECT *, length(regexp_replace(c, '[^\p{L}\p{N}_]', '', 'g')) AS a FROM (
               FROM (SELECT {key}, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {table})))))
 GROUP BY {key}"""
 _table("c6_clean_documents", "documents", lambda df: df.where("text is not null").select("doc_id", tables.clean_text(F.col("text")).alias("text")), _CLEAN.replace("{key}", "doc_id").replace("{table}", "documents"))
-ORACLE_SQL["c6_clean_scans"] = textual.with_cases(_CLEAN.replace("{key}", "id").replace("{table}", "scans"), "scans")
+textual.CASE_SQL["c6_clean_scans"] = textual.with_cases(_CLEAN.replace("{key}", "id").replace("{table}", "scans"), "scans")

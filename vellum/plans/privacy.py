@@ -75,5 +75,14 @@ SELECT doc_id, m AS match, (contains(b, '(') AND {_any(privacy.RANGE_UNITS, 'low
 _documents("pi25_old_dates", lambda df: df.select("doc_id", F.md5(privacy.without_old_dates(F.col("text"))).alias("text_md5"), F.regexp_count("text", F.lit(privacy.OLD_DATE)).alias("n")), f"SELECT doc_id, md5(regexp_replace(text, {_q(privacy.OLD_DATE)}, '[DATUM ENTFERNT]', 'g')) AS text_md5, CAST(len(regexp_extract_all(text, {_q(privacy.OLD_DATE)})) AS INT) AS n FROM documents")
 _documents("pi28_preserved", lambda df: df.select("doc_id", privacy.preserved(F.coalesce("text", F.lit("")), F.expr("left(coalesce(text, ''), length(coalesce(text, '')) div 2)")).alias("kept")), f"SELECT doc_id, CASE WHEN a > 0 THEN b / a::DOUBLE >= 0.8 ELSE true END AS kept FROM (SELECT doc_id, {_has(privacy.KEYWORDS, 'lower(t)')} AS a, {_has(privacy.KEYWORDS, 'lower(left(t, length(t) // 2))')} AS b FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))")
 _KINDS = [(k, privacy.placeholder(k)) for k, _, _ in privacy.GERMAN]
-QUERIES["pi7_placeholders"] = lambda spark, d: spark.createDataFrame(_KINDS, "kind string, placeholder string")
-ORACLE_SQL["pi7_placeholders"] = "SELECT * FROM (VALUES " + ", ".join(f"({_q(a)}, {_q(b)})" for a, b in _KINDS) + ") v(kind, placeholder)"
+
+
+def _placeholders(spark, d):
+    """The kinds found in letters made of the documents, with their placeholders and in how many letters."""
+    from vellum.plans.fallback import letters
+
+    found = privacy.removed(letters(spark, d), "de").select(F.explode(F.split("kinds", ",")).alias("kind")).where("kind <> ''").groupBy("kind").agg(F.count("*").alias("n"))
+    return found.join(F.broadcast(spark.createDataFrame(_KINDS, "kind string, placeholder string").distinct()), "kind")
+
+
+QUERIES["pi7_placeholders"] = _placeholders

@@ -55,8 +55,8 @@ _cost("g27_daily_cost", costs.daily_cost, "SELECT CAST(CAST(created_at AS DATE)
 _cost("f5_without_feedback", lambda x: costs.without_feedback(x).groupBy("step_name").agg(F.count("*").alias("n")), "SELECT step_name, count(*) AS n FROM priced WHERE processing_id NOT LIKE 'feedback_%' GROUP BY 1")
 _cost(
     "f1_filtered_logs",
-    lambda x: filters.filtered(x, {"step_name": "STEP_AF", "model_name": None, "unknown": 1}, {"created_at": "1994-01-01"}, {"created_at": "1994-12-31"}).select("id", "processing_id", F.round("total_cost", 6).alias("cost")),
-    "SELECT id, processing_id, round(total_cost, 6) AS cost FROM priced WHERE step_name = 'STEP_AF' AND created_at >= '1994-01-01' AND created_at <= '1994-12-31'",
+    lambda x: filters.filtered(x, {"step_name": "STEP_AF", "model_name": None, "unknown": 1}, {"created_at": "1996-01-01"}, {"created_at": "1996-12-31"}).select("id", "processing_id", F.round("total_cost", 6).alias("cost")),
+    "SELECT id, processing_id, round(total_cost, 6) AS cost FROM priced WHERE step_name = 'STEP_AF' AND created_at >= '1996-01-01' AND created_at <= '1996-12-31'",
 )
 _cost("o3_document_log", lambda x: x.where("processing_id = 'doc_7'").orderBy("created_at", "id").select("id", "step_name", "created_at"), "SELECT id, step_name, created_at FROM priced WHERE processing_id = 'doc_7'")
 
@@ -98,7 +98,7 @@ _add(
 _add("g15_analysis_statistics", ("feedback",), records.analysis_statistics, "SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (analysis_status = '{s}') AS {s.lower()}" for s in ("PENDING", "COMPLETED", "FAILED")) + ", coalesce(round(avg(coalesce(quality_score, 0)) FILTER (analysis_status = 'COMPLETED' AND analysis_summary IS NOT NULL), 1), 0.0) AS avg_quality FROM feedback WHERE data_consent_given")
 _SHOWN = "coalesce(data_consent_given AND translated_text IS NOT NULL AND original_text <> '[removed]', false)"
 _add("j2_feedback_details", ("feedback", "jobs"), records.feedback_details, f"SELECT f.id, overall_rating, status, {_SHOWN.replace('data_consent_given', 'f.data_consent_given')} AS has_content, CASE WHEN {_SHOWN.replace('data_consent_given', 'f.data_consent_given')} THEN original_text END AS original_text, CASE WHEN {_SHOWN.replace('data_consent_given', 'f.data_consent_given')} THEN translated_text END AS translated_text FROM feedback f LEFT JOIN jobs ON processing_id = job_id")
-_add("j5_orphaned_feedback", ("feedback", "jobs"), lambda f, j: records.orphaned_feedback(f, j).select("id", "processing_id"), "SELECT id, processing_id FROM feedback f WHERE NOT coalesce(data_consent_given, false) AND NOT EXISTS (SELECT 1 FROM jobs WHERE job_id = processing_id)")
+_add("j5_orphaned_feedback", ("feedback", "jobs"), lambda f, j: records.orphaned_feedback(f, j.where("status = 'COMPLETED'")).select("id", "processing_id"), "SELECT id, processing_id FROM feedback f WHERE NOT coalesce(data_consent_given, false) AND NOT EXISTS (SELECT 1 FROM jobs WHERE job_id = processing_id AND status = 'COMPLETED')")
 _add("f8_recent_feedback", ("feedback",), lambda x: filters.within(x, NOW, 240).select("id", "created_at"), f"SELECT id, created_at FROM feedback WHERE created_at BETWEEN timestamp '{NOW}' - INTERVAL 240 HOUR AND timestamp '{NOW}'")
 
 _add("f6_audit_search", ("audit",), lambda x: filters.search(x, "DETAIL 9", "action", "resource_type", "resource_id", "details").select("id"), "SELECT id FROM audit WHERE action ILIKE '%DETAIL 9%' OR resource_type ILIKE '%DETAIL 9%' OR resource_id ILIKE '%DETAIL 9%' OR details ILIKE '%DETAIL 9%'")

@@ -21,10 +21,51 @@ def _table(name: str, table: str, run, sql: str | None = None) -> None:
         ORACLE_SQL[name] = sql
 
 
+#: Edge rows for tests: queries over the small inline tables, with their SQL where there is one.
+CASES: dict = {}
+CASE_SQL: dict[str, str] = {}
+#: Inputs that the driver's tables don't hold as such, as SQL over them that both engines read: name -> (table, SQL).
+DERIVED: dict[str, tuple[str, str]] = {}
+
+
 def _case(name: str, cases: tuple[str, ...], run, sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, d: run(*[case(spark, c) for c in cases])
+    """A query over inline rows, which tests run, and over the derived tables of the same names, if there are any, which is registered."""
+    CASES[name] = lambda spark: run(*[case(spark, c) for c in cases])
     if sql:
-        ORACLE_SQL[name] = with_cases(sql, *cases)
+        CASE_SQL[name] = with_cases(sql, *cases)
+    if all(c in DERIVED for c in cases):
+        QUERIES[name] = lambda spark, d: run(*[_derived(spark, d, c) for c in cases])
+        if sql:
+            ORACLE_SQL[name] = "WITH " + ", ".join(f"{c} AS ({DERIVED[c][1]})" for c in cases) + "\n" + sql
+
+
+def _derived(spark, d, name):
+    table, text = DERIVED[name]
+    return spark.sql(text.replace("{", "{{").replace("}", "}}").replace(f"FROM {table}", f"FROM {{{table}}}"), **{table: spark.read.parquet(f"{d}/{table}.parquet")})
+
+
+def _registry(year: int, where: str) -> str:
+    """Registry files named after pages: number, variant, class, host, version."""
+    number = "concat(lpad(cast(page_id % 900 as string), 3, '0'), '-', lpad(cast(page_id % 90 as string), 3, '0'))"
+    version = f"CASE WHEN page_id % 6 = 0 THEN '' ELSE concat('_20', lpad(cast(10 + page_id % 15 + CASE WHEN page_id % 5 = 0 THEN {year} ELSE 0 END as string), 2, '0'), '-0', cast(1 + page_id % 9 as string)) END"
+    name = f"concat({number}, CASE page_id % 4 WHEN 0 THEN 'l' WHEN 1 THEN 'e' ELSE '' END, '_S', cast(1 + page_id % 3 as string), '_', regexp_extract(url, '//([^/]*)/', 1), {version}, CASE WHEN page_id % 8 = 0 THEN '-verlaengert' ELSE '' END)"
+    return f"CASE WHEN page_id % 7 = 0 THEN 'readme' ELSE {name} END, '.pdf') AS {{}} FROM pages{where}"
+
+
+DERIVED.update(
+    {
+        "prompts": ("conversations", "SELECT conv_id * 100 + turn AS id, CASE WHEN turn % 3 = 1 THEN concat('{', text, '}') ELSE text END AS text FROM conversations"),
+        "answers": ("documents", "SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN ' ' WHEN doc_id % 11 = 1 THEN concat(' BefundBericht ', lang) ELSE CASE doc_id % 5 WHEN 0 THEN concat('Klasse: ', CASE lang WHEN 'de' THEN 'LABORWERTE' WHEN 'fr' THEN 'befundbericht' ELSE 'Arztbrief' END, ' weil ', source) WHEN 1 THEN concat('NICHT_MEDIZINISCH - kein Befund ', source) WHEN 2 THEN concat('  ', lang, ' ') WHEN 3 THEN 'stop' ELSE concat(source, ' und mehr') END END AS text FROM documents"),
+        "uploads": ("documents", "SELECT doc_id AS id, concat(source, CASE doc_id % 5 WHEN 0 THEN '.PDF' WHEN 1 THEN '.jpg' WHEN 2 THEN '.png' WHEN 3 THEN '.doc' ELSE '.pdf' END) AS name, floor(100 * least(cast(n_chars as double) / 5000, cast(1 as double))) / 100 AS coverage, floor(100 * cast(length(replace(text, ' ', '')) as double) / greatest(length(text), 1)) / 100 AS quality, cast(CASE WHEN contains(text, '|') THEN 3 ELSE 8 END as double) / 10 AS image FROM documents"),
+        "registry": ("pages", "SELECT page_id AS id, concat('https://example.org/a/', " + _registry(0, "").format("url")),
+        "store": ("pages", "SELECT page_id AS id, concat(" + _registry(1, " WHERE page_id % 3 <> 0").format("name")),
+        "old_columns": ("part", "SELECT p_brand AS name, min(p_type) AS type, max(p_size) > 38 AS nullable FROM part WHERE p_size < 40 AND p_brand <> 'Brand#1' GROUP BY p_brand"),
+        "new_columns": ("part", "SELECT p_brand AS name, min(p_type) AS type, max(p_size) > 38 AS nullable FROM part WHERE p_size > 2 AND p_brand <> 'Brand#2' AND p_name <> 'small ring' GROUP BY p_brand"),
+        "terms": ("part", "SELECT DISTINCT regexp_extract(p_name, '^[a-z]+', 0) AS term FROM part"),
+        "more_terms": ("part", "SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN upper(regexp_extract(p_name, CASE WHEN p_size % 3 = 0 THEN '^[a-z]+' ELSE '[a-z]+$' END, 0)) ELSE initcap(regexp_extract(p_name, CASE WHEN p_size % 3 = 0 THEN '^[a-z]+' ELSE '[a-z]+$' END, 0)) END AS term FROM part WHERE p_size < 30 AND p_name < 'm'".replace("initcap(", "lower(")),
+        "lines_of": ("lineitem", "SELECT l_orderkey AS id, array_agg(CASE WHEN l_linenumber = 2 THEN cast(0 as double) ELSE cast(l_discount as double) * 10 END) AS scores FROM lineitem GROUP BY l_orderkey"),
+    }
+)
 
 
 def _fill(query: str, **names: object) -> str:
