@@ -1,36 +1,17 @@
-"""Replacing personal data in texts by placeholders, in passes of regular expressions.
-
-A pass sees what the passes before left. Patterns are grouped by language; what is common to both
-comes last. Each is one JVM-side replacement; a pattern whose required characters a text lacks is not tried on it.
-"""
+"""Masking contact data, tidying placeholders, and judging what a redaction removed."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Kind, a search that lets a text through, the pattern, the placeholder.
-GERMAN = [
-    ("name", r"(?:Herr|Frau|Dr|Prof)", r"\b(?:Herrn?|Frau)\s+(?:(?:Dr|Prof)\.?\s+(?:med\.\s+)?)*[A-ZÄÖÜ][a-zäöüß]+(?:[-\s][A-ZÄÖÜ][a-zäöüß]+)?", "[NAME]"),
-    ("doctor", r"(?:Dr|Prof)\.", r"\b(?:Prof\.\s*)?(?:Dr\.\s*)+(?:med\.\s*)?[A-ZÄÖÜ][a-zäöüß]+(?:-[A-ZÄÖÜ][a-zäöüß]+)?", "[DOCTOR_NAME]"),
-    ("birthdate", r"(?i)geb", r"(?i)\b(?:geburtsdatum|geb\.?(?:oren)?(?:\s+am)?)\s*:?\s*[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{2,4}", "[BIRTHDATE]"),
-    ("patient_id", r"(?i)(?:patient|fall|versich)", r"(?i)\b(?:patienten|fall|versicherten)[-\s]?(?:nummer|nr\.?|id)\s*:?\s*[A-Z0-9][A-Z0-9-]{3,}", "[PATIENT_ID]"),
-    ("street", r"(?i)(?:stra|weg|platz|allee)", r"\b[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|str\.|weg|platz|allee)\s+[0-9]+[a-z]?\b", "[ADDRESS]"),
-    ("plz_city", r"[0-9]{5}\s", r"\b[0-9]{5}\s+[A-ZÄÖÜ][a-zäöüß]+\b", "[PLZ_CITY]"),
-]
-ENGLISH = [
-    ("name", r"(?:Mr|Mrs|Ms|Dr)", r"\b(?:Mr|Mrs|Ms|Dr)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?", "[NAME]"),
-    ("birthdate", r"(?i)(?:dob|birth)", r"(?i)\b(?:dob|date of birth|born(?:\s+on)?)\s*:?\s*[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}", "[BIRTHDATE]"),
-    ("ssn", r"[0-9]-[0-9]{2}-", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "[SSN]"),
-    ("patient_id", r"(?i)(?:patient|mrn)", r"(?i)\b(?:patient\s+id|mrn)\s*:?\s*[A-Z0-9][A-Z0-9-]{3,}", "[PATIENT_ID]"),
-    ("street", r"(?:Street|Avenue|Road|St\.|Ave\.)", r"\b[0-9]+\s+[A-Z][a-z]+\s+(?:Street|Avenue|Road|St\.|Ave\.)", "[ADDRESS]"),
-]
-COMMON = [
-    ("email", "@", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "[EMAIL]"),
-    ("iban", "[A-Z]{2}[0-9]{2}", r"\b[A-Z]{2}[0-9]{2}(?:\s?[0-9]{4}){4,6}(?:\s?[0-9]{1,3})?\b", "[IBAN]"),
-    ("phone", r"\+[0-9]", r"\+[0-9]{1,3}[\s-]?(?:\([0-9]{2,5}\)|[0-9]{2,5})[\s-]?[0-9]{3,}(?:[\s-]?[0-9]{2,})*", "[PHONE]"),
-    ("ip", r"[0-9]\.[0-9]", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "[IP]"),
-    ("card", r"[0-9]{13}", r"\b[0-9]{13,16}\b", "[CARD]"),
+#: Contact data that a step masks whatever the language: kind, pattern, placeholder. Personal data of letters is removed by functions/privacy.
+CONTACTS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "[EMAIL]"),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\s?[0-9]{4}){4,6}(?:\s?[0-9]{1,3})?\b", "[IBAN]"),
+    ("phone", r"\+[0-9]{1,3}[\s-]?(?:\([0-9]{2,5}\)|[0-9]{2,5})[\s-]?[0-9]{3,}(?:[\s-]?[0-9]{2,})*", "[PHONE]"),
+    ("ip", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "[IP]"),
+    ("card", r"\b[0-9]{13,16}\b", "[CARD]"),
 ]
 # Clean-up of placeholders that passes left side by side, in order.
 CLEANUP = [
@@ -40,34 +21,19 @@ CLEANUP = [
 ]
 
 
-def patterns(language: str) -> list[tuple[str, str, str, str]]:
-    """German for de, English for any other language, then what both share."""
-    return (GERMAN if language == "de" else ENGLISH) + COMMON
-
-
-def redact_text(text: Column, language: str) -> Column:
-    """The text after all passes; folded, as chained replacements would repeat the text's expression."""
-    passes = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(p).alias("p"), F.lit(r).alias("r")) for _, s, p, r in patterns(language)])
-    return F.aggregate(passes, text, lambda acc, x: F.when(F.rlike(acc, x.s), F.regexp_replace(acc, x.p, x.r)).otherwise(acc))
+def masked(text: Column) -> Column:
+    """The text with all contact data masked, kind after kind; each pattern is compiled once."""
+    for _, pattern, placeholder in CONTACTS:
+        text = F.regexp_replace(text, pattern, placeholder)
+    return text
 
 
-def redacted(df: DataFrame, language: str = "de", column: str = "text") -> DataFrame:
-    """Adds `redacted`, `n_<kind>` per kind, and `entities`. Passes are folded over an array of
-    (search, pattern, placeholder), so that the plan stays small and each pass runs once."""
-    text = F.coalesce(F.col(column), F.lit(""))
-    kinds = patterns(language)
-    passes = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(p).alias("p"), F.lit(r).alias("r")) for _, s, p, r in kinds])
-    start = F.struct(text.alias("text"), F.expr("cast(array() as array<int>)").alias("counts"))
-    folded = F.aggregate(
-        passes,
-        start,
-        lambda acc, x: F.when(
-            F.rlike(acc.text, x.s), F.struct(F.regexp_replace(acc.text, x.p, x.r).alias("text"), F.array_append(acc.counts, F.regexp_count(acc.text, x.p)).alias("counts"))
-        ).otherwise(F.struct(acc.text.alias("text"), F.array_append(acc.counts, F.lit(0)).alias("counts"))),
-    )
-    out = df.withColumn("_r", folded)
-    out = out.withColumns({"redacted": F.col("_r.text"), **{f"n_{k}": F.get(F.col("_r.counts"), i) for i, (k, _, _, _) in enumerate(kinds)}})
-    return out.withColumn("entities", F.aggregate(F.col("_r.counts"), F.lit(0), lambda a, x: a + x)).drop("_r")
+def with_counts(df: DataFrame, column: str = "text") -> DataFrame:
+    """df with `masked` and `n_<kind>`, each kind counted where the kinds before left it."""
+    out = df.withColumn("masked", F.coalesce(F.col(column), F.lit("")))
+    for kind, pattern, placeholder in CONTACTS:
+        out = out.withColumns({f"n_{kind}": F.regexp_count("masked", F.lit(pattern)), "masked": F.regexp_replace("masked", pattern, placeholder)})
+    return out
 
 
 def cleaned(text: Column) -> Column:

@@ -15,6 +15,11 @@ SECTIONS = {
     "medication": ["medikation", "therapie", "verschreibung", "einnahme", r"[0-9]+\s*mg", "täglich", "morgens", "abends"],
     "continuation": ["fortsetzung", r"siehe.*(?:nächste|folgende)", "weiter auf", "anhang", "anlage", r"siehe.*(?:rückseite|blatt)"],
 }
+#: What a text must hold for a pattern that is no plain word.
+NEEDS = {
+    r"patient.*(?:name|nummer)": "patient", r"(?:vor|nach)name": "name", r"versicherten.*nummer": "versicherten", r"(?:arzt|kranken|klinik).*brief": "brief", r"[0-9]+[.,][0-9]*\s*(?:mg/dl|mmol/l|µg/ml|ng/ml|u/l|iu/l)": "/",
+    r"icd.*[0-9]+": "icd", r"[0-9]+\s*mg": "mg", r"siehe.*(?:nächste|folgende)": "siehe", r"siehe.*(?:rückseite|blatt)": "siehe",
+}
 #: Share of numbered pages from which numbers decide.
 NUMBERED = 0.7
 
@@ -25,7 +30,12 @@ def page_number(text: Column) -> Column:
 
 
 def has_section(low: Column, name: str) -> Column:
-    return low.rlike("|".join(f"(?:{p})" for p in SECTIONS[name]))
+    """Whether a lower-case text has a section's words, searched as such, or its patterns, searched only where their words are."""
+    tests = [F.contains(low, F.lit(NEEDS[p])) & low.rlike(p) if p in NEEDS else F.contains(low, F.lit(p)) for p in SECTIONS[name]]
+    out = tests[0]
+    for test in tests[1:]:
+        out = out | test
+    return out
 
 
 def sections(low: Column) -> Column:

@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.documents import branch_value, stops
-from vellum.functions.redaction import redact_text
+from vellum.functions.redaction import masked
 
 #: What a step does with a text, by name.
 TRANSFORMS: dict[str, Callable[[Column], Column]] = {
     "same": lambda t: t,
     "trim": lambda t: F.trim(F.regexp_replace(t, r"\s+", " ")),
-    "redact": lambda t: redact_text(t, "en"),
+    "redact": masked,
     "first_words": lambda t: F.array_join(F.slice(F.split(t, " "), 1, 20), " "),
     "length_gate": lambda t: F.when(F.length(t) < 40, "NICHT_MEDIZINISCH zu kurz").otherwise("MEDIZINISCH"),
     "class_by_length": lambda t: F.when(F.length(t) > 4000, "Klasse: LANG").otherwise("Klasse: KURZ"),
@@ -66,7 +66,9 @@ def run(docs: DataFrame, program: Program, language: str | None = None, context:
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text"), F.lit(None).cast("string").alias("_class"), F.lit(None).cast("string").alias("_stop"), *context)
     log = []
     for i, s in enumerate(program.ordered(language)):
-        out = TRANSFORMS[s.transform](F.col("_text"))
+        # a column of its own: inside a struct its expression would be repeated wherever a field of that is read
+        rows = rows.withColumn(f"_o{i}", TRANSFORMS[s.transform](F.col("_text")))
+        out = F.col(f"_o{i}")
         there = F.lit(True)
         for name in s.requires:
             there = there & (F.col(name).isNotNull() if name in context else F.lit(False))

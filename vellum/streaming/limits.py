@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +84,8 @@ def limited(events: DataFrame, limits: tuple[int, ...] = LIMITS, bans: bool = Tr
     return rows.repartition("key").sortWithinPartitions("key", "ts", "event_id").mapInPandas(walk, OUT)
 
 
+#: Messages of a key that leave a stream's update at a time.
+PART_ROWS = 10_000
 STATE = "starts array<double>, counts array<long>, violations long, last_violation double, banned_until double"
 
 
@@ -92,14 +95,19 @@ def limited_stream(events: DataFrame, limits: tuple[int, ...] = LIMITS, bans: bo
 
     def update(key, batches, held):
         state = State(*[tuple(x) if isinstance(x, (list, tuple)) or hasattr(x, "tolist") else x for x in held.get]) if held.exists else State()
-        found = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        rows = []
-        for event_id, ts in zip(found["event_id"], found["ts"], strict=True):
-            state, outcome, wait = step(state, ts.timestamp(), limits, bans)
-            rows.append(_row(key[0], event_id, ts, state, outcome, wait))
+        # of a key's messages only time and id are held, sixteen bytes each, as order counts over all batches; results leave in parts
+        parts = [(b["ts"].to_numpy("datetime64[ns]"), b["event_id"].to_numpy("int64")) for b in batches]
+        times, ids = np.concatenate([t for t, _ in parts]), np.concatenate([i for _, i in parts])
+        order = np.lexsort((ids, times))
+        for at in range(0, len(order), PART_ROWS):
+            rows = []
+            for i in order[at : at + PART_ROWS].tolist():
+                ts = pd.Timestamp(times[i])
+                state, outcome, wait = step(state, ts.timestamp(), limits, bans)
+                rows.append(_row(key[0], int(ids[i]), ts, state, outcome, wait))
+            yield pd.DataFrame(rows, columns=columns)
         starts, counts, *rest = astuple(state)
         held.update((list(starts), [int(c) for c in counts], *rest))
-        yield pd.DataFrame(rows, columns=columns)
 
     rows = events.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"))
     return rows.groupBy("key").applyInPandasWithState(update, OUT, STATE, "append", "NoTimeout")
