@@ -7,6 +7,10 @@ number. A phrase's list of positions is merge-joined with the postings of the wo
 phrases one word longer; a list's length is the phrase's exact frequency in that row, and Spark adds the rows up. A list is extended
 only where the phrase, the word behind it and the phrase without its first word are frequent (all are, in a frequent result).
 
+Words and pairs, of which most are rare, are counted in two steps: first by `KEY_BITS` bits of their hash alone, summed within a task
+before the shuffle; what falls on a key of too few occurrences is rare for certain. Only the rest is counted by name or by
+its word hashes, exactly. Keys that several phrases share only let more of them into the second step.
+
 What is frequent reaches the tasks as bitmaps of `FILTER_BITS` bits, whatever the size of the input: a phrase sets the bit of its
 hash. A bit set by another phrase lets a rare phrase into the next count, where it is dropped by its own exact frequency; so
 bitmaps only prune, and all results are exact. Positions never leave their row; what is shuffled are counts of
@@ -41,6 +45,10 @@ SCALE = 2_000_000
 #: Bits of a filter: 8 MB.
 FILTER_BITS = 26
 SALTS = 64
+#: Bits of the keys of the first counts, and the number of words in all from which keys have all 64.
+KEY_BITS, MOST_WORDS = 32, 1 << 36
+#: Keys that a task holds to sum them.
+HELD_KEYS = 2_000_000
 #: Bytes of text in a postings row; a task holds back `HELD` times as much of all languages at most.
 ROW_BYTES, HELD = 2 << 20, 4
 #: Bytes of a row group of the stored lists: a scan holds one at a time.
@@ -115,7 +123,7 @@ def postings(docs: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
 
 
 def _bits(lang: str, words: list[np.ndarray], bits: int) -> np.ndarray:
-    """The bit of every phrase whose i-th words words[i] are."""
+    """The first bits of the hash of every phrase whose i-th words words[i] are."""
     seed = np.frombuffer(lang.encode() + b"\0" * (-len(lang.encode()) % 8) + len(lang).to_bytes(8, "little"), _U)
     h = _U(len(words))
     for part in seed:
@@ -173,15 +181,74 @@ def extended(lang: str, words: np.ndarray, counts: np.ndarray, at: np.ndarray, f
     raise AssertionError
 
 
-def _counter(filters: list):
+def _lists(batch: pa.RecordBatch, i: int, known: list[np.ndarray]) -> tuple[str, list[np.ndarray], np.ndarray]:
+    """One row's language, its phrases of len(known) + 1 words, the lengths of their lists."""
+    lang = batch.column("lang")[i].as_py()
+    words, counts, at = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("words", "counts", "at"))
+    return lang, *(extended(lang, words.view(_U), counts, at, known) if known else ([words.view(_U)], counts))
+
+
+def _keys(filters: list, bits: int):
+    """(key, n) of the phrases, summed within the task as far as it holds them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, size = [f.value for f in filters], [], 0
+
+        def out() -> pa.RecordBatch:
+            keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(where, np.concatenate([n for _, n in held])).astype(np.int64))], ["key", "n"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lang, members, lengths = _lists(batch, i, known)
+                if len(lengths):
+                    held.append((_bits(lang, members, bits), lengths))
+                    size += len(lengths)
+                if size > HELD_KEYS:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _first_count(rows: DataFrame, filters: list, least: int, key_bits: int, bits: int) -> np.ndarray:
+    """The bitmap of keys that have `least` occurrences."""
+    sums = rows.mapInArrow(_keys(filters, key_bits), "key long, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    bit = F.shiftrightunsigned("key", key_bits - bits)
+    marks = sums.select(F.shiftright(bit, 6).alias("place"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {key_bits - bits}) & 63 as int))").alias("mask"))
+    marks = marks.groupBy("place").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+    found = np.zeros(1 << (bits - 6), _U)
+    found[marks.column("place").to_numpy()] = marks.column("mask").to_numpy().view(_U)
+    return found
+
+
+def _names(last):
+    """(lang, word, name, n) of the words that the first count lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lang, (words,), counts = _lists(batch, i, [])
+                good = np.flatnonzero(_passes(last.value, lang, [words]))
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(good)), pa.array(words[good].view(np.int64)), batch.column("names")[i].values.take(pa.array(good)), pa.array(counts[good].astype(np.int64))], ["lang", "word", "name", "n"])
+
+    return run
+
+
+def _counter(filters: list, last=None):
+    """(lang, word hashes, n) of the phrases, of those that the first count lets through if there was one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [f.value for f in filters]
         names = ["lang", *[f"w{i}" for i in range(len(filters) + 1)], "n"]
         for batch in batches:
             for i in range(batch.num_rows):
-                lang = batch.column("lang")[i].as_py()
-                words, counts, at = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("words", "counts", "at"))
-                members, lengths = extended(lang, words.view(_U), counts, at, known)
+                lang, members, lengths = _lists(batch, i, known)
+                if last is not None:
+                    good = _passes(last.value, lang, members)
+                    members, lengths = [m[good] for m in members], lengths[good]
                 yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(lengths)), *[pa.array(m.view(np.int64)) for m in members], pa.array(lengths.astype(np.int64))], names)
 
     return run
@@ -192,14 +259,17 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits:
     spark = docs.sparkSession
     lists = postings(docs, row_bytes)
     totals = lists.groupBy("lang").agg(F.sum("n").alias("n"))
-    single = lists.select("lang", F.inline(F.arrays_zip("words", "names", "counts"))).groupBy("lang", "words", "names").agg(F.sum("counts").alias("a")).where(F.col("a") >= least)
-    single = materialize(single.select("lang", F.col("words").alias("word"), F.col("names").alias("name"), "a"), "words")
+    key_bits = KEY_BITS if (totals.agg(F.sum("n")).first()[0] or 0) < MOST_WORDS else 64
+    rows = lists.select("lang", "words", "counts", "at")
+    last = spark.sparkContext.broadcast(_first_count(rows, [], least, key_bits, bits))
+    single = lists.select("lang", "words", "names", "counts", "at").mapInArrow(_names(last), "lang string, word long, name string, n long")
+    single = materialize(single.groupBy("lang", "word", "name").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "words")
     found = [single.select("lang", F.array("word").alias("words"), "a")]
     filters = [spark.sparkContext.broadcast(_filter(found[0], bits))]
-    rows = lists.select("lang", "words", "counts", "at")
     for length in range(2, longest + 1):
         keys = [f"w{i}" for i in range(length)]
-        counted = rows.mapInArrow(_counter(filters), f"lang string, {', '.join(f'{k} long' for k in keys)}, n long")
+        last = spark.sparkContext.broadcast(_first_count(rows, filters, least, key_bits, bits)) if length == 2 else None
+        counted = rows.mapInArrow(_counter(filters, last), f"lang string, {', '.join(f'{k} long' for k in keys)}, n long")
         # each row's counts are sums already; a hash table per task before the shuffle would hold most of them once more
         counted = counted.repartition("lang", *keys).groupBy("lang", *keys).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
         found.append(materialize(counted.select("lang", F.array(*keys).alias("words"), "a"), f"phrases-{length}"))
