@@ -66,36 +66,36 @@ def run(docs: DataFrame, program: Program, language: str | None = None, context:
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text"), F.lit(None).cast("string").alias("_class"), F.lit(None).cast("string").alias("_stop"), *context)
     log = []
     for i, s in enumerate(program.ordered(language)):
-        # a column of its own: inside a struct its expression would be repeated wherever a field of that is read
-        rows = rows.withColumn(f"_o{i}", TRANSFORMS[s.transform](F.col("_text")))
-        out = F.col(f"_o{i}")
         there = F.lit(True)
         for name in s.requires:
             there = there & (F.col(name).isNotNull() if name in context else F.lit(False))
         mine = F.col("_class").eqNullSafe(s.document_class) if s.document_class else F.lit(True)
         runs = F.col("_stop").isNull() & mine
-        column = f"_s{i}"
-        status = F.when(~runs, None).when(~there, "SKIPPED").when(stops(out, list(s.stop_on)), "TERMINATED").otherwise("COMPLETED") if s.stop_on else F.when(~runs, None).when(~there, "SKIPPED").otherwise("COMPLETED")
-        rows = rows.withColumn(column, F.struct(F.lit(s.name).alias("step"), F.lit(i).alias("position"), status.alias("status"), F.when(runs & there, out).alias("output")))
-        done = F.col(f"{column}.status") == "COMPLETED"
+        # output and status are columns until the log: out of a struct, their expressions would be repeated wherever a field of it is read
+        output, state = F.col(f"_o{i}"), F.col(f"_st{i}")
+        rows = rows.withColumn(f"_o{i}", F.when(runs & there, TRANSFORMS[s.transform](F.col("_text"))))
+        status = F.when(~runs, None).when(~there, "SKIPPED")
+        rows = rows.withColumn(f"_st{i}", (status.when(stops(output, list(s.stop_on)), "TERMINATED") if s.stop_on else status).otherwise("COMPLETED"))
+        done = F.coalesce(state == "COMPLETED", F.lit(False))
         updates = {}
         if s.branching:
-            updates["_class"] = F.when(F.coalesce(done, F.lit(False)), branch_value(F.col(f"{column}.output"), list(s.classes))).otherwise(F.col("_class"))
+            updates["_class"] = F.when(done, branch_value(output, list(s.classes))).otherwise(F.col("_class"))
         elif s.replaces and not s.stop_on:
-            new = F.concat(F.col("_text"), F.lit("\n"), F.col(f"{column}.output")) if s.append else F.col(f"{column}.output")
-            updates["_text"] = F.when(F.coalesce(done, F.lit(False)), new).otherwise(F.col("_text"))
+            updates["_text"] = F.when(done, F.concat(F.col("_text"), F.lit("\n"), output) if s.append else output).otherwise(F.col("_text"))
         if s.stop_on:
-            updates["_stop"] = F.coalesce("_stop", F.when(F.col(f"{column}.status") == "TERMINATED", F.lit(s.name)))
+            updates["_stop"] = F.coalesce("_stop", F.when(state == "TERMINATED", F.lit(s.name)))
         if updates:
             rows = rows.withColumns(updates)
-        log.append(F.col(column))
+        log.append(F.struct(F.lit(s.name).alias("step"), F.lit(i).alias("position"), state.alias("status"), output.alias("output")))
     entries = F.filter(F.array(*log), lambda x: x["status"].isNotNull())
     return rows.select("doc_id", F.col("_text").alias("output"), F.col("_class").alias("document_class"), F.when(F.col("_stop").isNull(), "COMPLETED").otherwise("TERMINATED").alias("status"), F.col("_stop").alias("stopped_at"), entries.alias("log"))
 
 
 def step_log(done: DataFrame) -> DataFrame:
-    """One row per step that ran or was skipped."""
-    return done.select("doc_id", F.inline("log"))
+    """One row per step that ran or was skipped.
+
+    The outer form, as the inner one lets Spark infer that the log is not empty and test that, all steps written out, on the scan."""
+    return done.select("doc_id", F.inline_outer("log")).where("step is not null")
 
 
 LETTERS = Program(
