@@ -7,14 +7,14 @@ number. A phrase's list of positions is merge-joined with the postings of the wo
 phrases one word longer; a list's length is the phrase's exact frequency in that row, and Spark adds the rows up. A list is extended
 only where the phrase, the word behind it and the phrase without its first word are frequent (all are, in a frequent result).
 
-Words and pairs, of which most are rare, are counted in two steps: first by `KEY_BITS` bits of their hash alone, summed within a task
-before the shuffle; what falls on a key of too few occurrences is rare for certain. Only the rest is counted by name or by
-its word hashes, exactly. Keys that several phrases share only let more of them into the second step.
+Most phrases are rare, so they are counted without their words: by the 64-bit hash of language and words, summed within a task
+before the shuffle, with the least of the postings rows that have it. Only for hashes of enough occurrences does that one row then
+name the words; all else about a rare phrase stays where it is.
 
 What is frequent reaches the tasks as bitmaps of `FILTER_BITS` bits, whatever the size of the input: a phrase sets the bit of its
 hash. A bit set by another phrase lets a rare phrase into the next count, where it is dropped by its own exact frequency; so
 bitmaps only prune, and all results are exact. Positions never leave their row; what is shuffled are counts of
-(language, word hashes), added up within each row of some megabytes before the shuffle, so that the most frequent phrase comes once a row. Words are told apart by 64-bit hashes.
+(language, word hashes), added up within each row of some megabytes before the shuffle, so that the most frequent phrase comes once a row. Words and phrases are told apart by 64-bit hashes.
 
 A candidate's cuts look up the frequencies of both parts by joins; the list of a language is first cut down to its first
 `top` rows within each of `SALTS` parts, then ranked, so one language's candidates don't meet in one task. Products are
@@ -26,10 +26,12 @@ they occur; languages without a candidate have no row; extra columns are ignored
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +47,6 @@ SCALE = 2_000_000
 #: Bits of a filter: 8 MB.
 FILTER_BITS = 26
 SALTS = 64
-#: Bits of the keys of the first counts, and the number of words in all from which keys have all 64.
-KEY_BITS, MOST_WORDS = 32, 1 << 36
 #: Keys that a task holds to sum them.
 HELD_KEYS = 2_000_000
 #: Bytes of text in a postings row; a task holds back `HELD` times as much of all languages at most.
@@ -61,7 +61,7 @@ _GAP = _BREAK.copy()
 _GAP[list(b" \t")] = True
 _MULTIPLIER = _U(0xD6E8FEB86659FD93)
 
-POSTINGS = "lang string, n long, words array<long>, names array<string>, counts array<int>, at array<int>"
+POSTINGS = "row long, lang string, n long, words array<long>, names array<string>, counts array<int>, at array<int>"
 
 
 def inverted(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
@@ -85,11 +85,11 @@ def inverted(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, n
     return hashes[places], names, np.diff(np.concatenate((first, [len(order)]))), (np.arange(len(starts)) + apart)[order]
 
 
-def _row(lang: str, texts: list[bytes]) -> pa.RecordBatch:
+def _row(number: int, lang: str, texts: list[bytes]) -> pa.RecordBatch:
     words, names, counts, at = inverted(texts)
     one = lambda values, kind: pa.array([values], pa.list_(kind))
     pa.default_memory_pool().release_unused()
-    columns = [pa.array([lang]), pa.array([len(at)]), one(words.view(np.int64), pa.int64()), one([n.decode() for n in names], pa.string()), one(counts.astype(np.int32), pa.int32()), one(at.astype(np.int32), pa.int32())]
+    columns = [pa.array([number]), pa.array([lang]), pa.array([len(at)]), one(words.view(np.int64), pa.int64()), one([n.decode() for n in names], pa.string()), one(counts.astype(np.int32), pa.int32()), one(at.astype(np.int32), pa.int32())]
     return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in POSTINGS.split(", ")])
 
 
@@ -97,6 +97,7 @@ def _invert(row_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
+        numbers = itertools.count(TaskContext.get().partitionId() << 32)
         for part in chunks(batches, "text"):
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 held.setdefault(lang, []).append(text)
@@ -106,9 +107,9 @@ def _invert(row_bytes: int):
                 full = [max(sizes, key=sizes.__getitem__)]
             for lang in full:
                 del sizes[lang]
-                yield _row(lang, held.pop(lang))
+                yield _row(next(numbers), lang, held.pop(lang))
         for lang, texts in held.items():
-            yield _row(lang, texts)
+            yield _row(next(numbers), lang, texts)
 
     return run
 
@@ -146,14 +147,6 @@ def _marks(bits: int):
     return run
 
 
-def _filter(frequent: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of frequent phrases of one length; 2^bits / 64 rows at most come to the driver."""
-    marks = frequent.mapInArrow(_marks(bits), "place long, mask long").groupBy("place").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
-    found = np.zeros(1 << (bits - 6), _U)
-    found[marks.column("place").to_numpy()] = marks.column("mask").to_numpy().view(_U)
-    return found
-
-
 def _passes(bitmap: np.ndarray, lang: str, words: list[np.ndarray]) -> np.ndarray:
     bits = _bits(lang, words, len(bitmap).bit_length() + 5)
     return (bitmap[bits >> _U(6)] >> (bits & _U(63))) & _U(1) == 1
@@ -181,28 +174,30 @@ def extended(lang: str, words: np.ndarray, counts: np.ndarray, at: np.ndarray, f
     raise AssertionError
 
 
-def _lists(batch: pa.RecordBatch, i: int, known: list[np.ndarray]) -> tuple[str, list[np.ndarray], np.ndarray]:
-    """One row's language, its phrases of len(known) + 1 words, the lengths of their lists."""
-    lang = batch.column("lang")[i].as_py()
+def _lists(batch: pa.RecordBatch, i: int, known: list[np.ndarray]) -> tuple[int, str, list[np.ndarray], np.ndarray]:
+    """One row's number and language, its phrases of len(known) + 1 words, the lengths of their lists."""
+    number, lang = batch.column("row")[i].as_py(), batch.column("lang")[i].as_py()
     words, counts, at = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("words", "counts", "at"))
-    return lang, *(extended(lang, words.view(_U), counts, at, known) if known else ([words.view(_U)], counts))
+    return number, lang, *(extended(lang, words.view(_U), counts, at, known) if known else ([words.view(_U)], counts))
 
 
-def _keys(filters: list, bits: int):
-    """(key, n) of the phrases, summed within the task as far as it holds them."""
+def _keys(filters: list):
+    """(key, row, n) of the phrases, summed within the task as far as it holds them; row is the first that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size = [f.value for f in filters], [], 0
 
         def out() -> pa.RecordBatch:
-            keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(where, np.concatenate([n for _, n in held])).astype(np.int64))], ["key", "n"])
+            keys, first, where = np.unique(np.concatenate([k for k, _, _ in held]), return_index=True, return_inverse=True)
+            rows = np.concatenate([np.full(len(k), number) for k, number, _ in held])[first]
+            n = np.bincount(where, np.concatenate([n for _, _, n in held])).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(rows), pa.array(n)], ["key", "row", "n"])
 
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, members, lengths = _lists(batch, i, known)
+                number, lang, members, lengths = _lists(batch, i, known)
                 if len(lengths):
-                    held.append((_bits(lang, members, bits), lengths))
+                    held.append((_bits(lang, members, 64), number, lengths))
                     size += len(lengths)
                 if size > HELD_KEYS:
                     yield out()
@@ -213,43 +208,44 @@ def _keys(filters: list, bits: int):
     return run
 
 
-def _first_count(rows: DataFrame, filters: list, least: int, key_bits: int, bits: int) -> np.ndarray:
-    """The bitmap of keys that have `least` occurrences."""
-    sums = rows.mapInArrow(_keys(filters, key_bits), "key long, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    bit = F.shiftrightunsigned("key", key_bits - bits)
-    marks = sums.select(F.shiftright(bit, 6).alias("place"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {key_bits - bits}) & 63 as int))").alias("mask"))
-    marks = marks.groupBy("place").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
-    found = np.zeros(1 << (bits - 6), _U)
-    found[marks.column("place").to_numpy()] = marks.column("mask").to_numpy().view(_U)
-    return found
+def _place(keys: np.ndarray, row: np.ndarray | int, bits: int) -> np.ndarray:
+    """The bit of a key in a row."""
+    return _mixed((keys ^ np.asarray(row, dtype=np.int64).astype(_U)) * _MULTIPLIER) >> _U(64 - bits)
 
 
-def _names(last):
-    """(lang, word, name, n) of the words that the first count lets through."""
-
+def _owners(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                lang, (words,), counts = _lists(batch, i, [])
-                good = np.flatnonzero(_passes(last.value, lang, [words]))
-                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(good)), pa.array(words[good].view(np.int64)), batch.column("names")[i].values.take(pa.array(good)), pa.array(counts[good].astype(np.int64))], ["lang", "word", "name", "n"])
+            bit = _place(batch.column("key").to_numpy().view(_U), batch.column("row").to_numpy(), bits)
+            yield pa.RecordBatch.from_arrays([pa.array((bit >> _U(6)).view(np.int64)), pa.array((_U(1) << (bit & _U(63))).view(np.int64))], ["place", "mask"])
 
     return run
 
 
-def _counter(filters: list, last=None):
-    """(lang, word hashes, n) of the phrases, of those that the first count lets through if there was one."""
+def _bitmap(marks: DataFrame, bits: int) -> np.ndarray:
+    """Marks (place, mask) as one bitmap; 2^bits / 64 rows at most come to the driver."""
+    marks = marks.groupBy("place").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+    found = np.zeros(1 << (bits - 6), _U)
+    found[marks.column("place").to_numpy()] = marks.column("mask").to_numpy().view(_U)
+    return found
+
+
+def _named(filters: list, owners):
+    """(key, row, lang, words, name) of the phrases whose bit is set for the row; the name is a single word's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [f.value for f in filters]
-        names = ["lang", *[f"w{i}" for i in range(len(filters) + 1)], "n"]
+        known, bitmap = [f.value for f in filters], owners.value
+        bits = len(bitmap).bit_length() + 5
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, members, lengths = _lists(batch, i, known)
-                if last is not None:
-                    good = _passes(last.value, lang, members)
-                    members, lengths = [m[good] for m in members], lengths[good]
-                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(lengths)), *[pa.array(m.view(np.int64)) for m in members], pa.array(lengths.astype(np.int64))], names)
+                number, lang, members, _ = _lists(batch, i, known)
+                keys = _bits(lang, members, 64)
+                bit = _place(keys, number, bits)
+                good = np.flatnonzero((bitmap[bit >> _U(6)] >> (bit & _U(63))) & _U(1) == 1)
+                words = np.stack([m[good] for m in members], 1).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(good) + 1) * len(members), pa.int32()), pa.array(words.ravel()))
+                names = pa.nulls(len(good), pa.string()) if known else batch.column("names")[i].values.take(pa.array(good))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[good].view(np.int64)), pa.array(np.full(len(good), number)), pa.repeat(lang, len(good)), lists, names], ["key", "row", "lang", "words", "name"])
 
     return run
 
@@ -259,23 +255,20 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits:
     spark = docs.sparkSession
     lists = postings(docs, row_bytes)
     totals = lists.groupBy("lang").agg(F.sum("n").alias("n"))
-    key_bits = KEY_BITS if (totals.agg(F.sum("n")).first()[0] or 0) < MOST_WORDS else 64
-    rows = lists.select("lang", "words", "counts", "at")
-    last = spark.sparkContext.broadcast(_first_count(rows, [], least, key_bits, bits))
-    single = lists.select("lang", "words", "names", "counts", "at").mapInArrow(_names(last), "lang string, word long, name string, n long")
-    single = materialize(single.groupBy("lang", "word", "name").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "words")
-    found = [single.select("lang", F.array("word").alias("words"), "a")]
-    filters = [spark.sparkContext.broadcast(_filter(found[0], bits))]
-    for length in range(2, longest + 1):
-        keys = [f"w{i}" for i in range(length)]
-        last = spark.sparkContext.broadcast(_first_count(rows, filters, least, key_bits, bits)) if length == 2 else None
-        counted = rows.mapInArrow(_counter(filters, last), f"lang string, {', '.join(f'{k} long' for k in keys)}, n long")
-        # each row's counts are sums already; a hash table per task before the shuffle would hold most of them once more
-        counted = counted.repartition("lang", *keys).groupBy("lang", *keys).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-        found.append(materialize(counted.select("lang", F.array(*keys).alias("words"), "a"), f"phrases-{length}"))
+    found: list[DataFrame] = []
+    filters: list = []
+    rows = lists.select("row", "lang", "words", "counts", "at")
+    for length in range(1, longest + 1):
+        # a row's counts are sums already; a hash table per task before the shuffle would hold most of them once more
+        keyed = rows.mapInArrow(_keys(filters), "key long, row long, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("a"), F.min("row").alias("row"))
+        keyed = materialize(keyed.where(F.col("a") >= least), f"keys-{length}")
+        owners = spark.sparkContext.broadcast(_bitmap(keyed.mapInArrow(_owners(bits), "place long, mask long"), bits))
+        named = (rows if filters else lists.select(*rows.columns, "names")).mapInArrow(_named(filters, owners), "key long, row long, lang string, words array<long>, name string")
+        found.append(materialize(named.join(keyed, ["key", "row"]).select("lang", "words", "name", "a"), f"phrases-{length}"))
         if length < longest:
-            filters.append(spark.sparkContext.broadcast(_filter(found[-1], bits)))
-    return totals, single.drop("a"), found
+            filters.append(spark.sparkContext.broadcast(_bitmap(found[-1].select("lang", "words").mapInArrow(_marks(bits), "place long, mask long"), bits)))
+    names = found[0].select("lang", F.get("words", F.lit(0)).alias("word"), "name")
+    return totals, names, [f.select("lang", "words", "a") for f in found]
 
 
 def _exact(c: Column) -> Column:
