@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.plans import decisions, fallback, flows, privacy, programs, relational, scans, services, terms, textual
+from vellum.plans import decisions, fallback, flows, parts, privacy, programs, relational, scans, services, terms, textual
 
 FLAGSHIP = "g8_chat_daily"
-MODULES = (relational, textual, flows, programs, decisions, privacy, terms, fallback, scans, services)
+MODULES = (relational, textual, flows, programs, decisions, privacy, terms, fallback, scans, services, parts)
 
 
 def queries() -> dict:
