@@ -261,3 +261,23 @@ def preserved(original: Column, clean: Column) -> Column:
 
 def without_old_dates(text: Column) -> Column:
     return F.regexp_replace(text, OLD_DATE, "[DATUM ENTFERNT]")
+
+
+# What a client does to a text that a removal service gave back, in order; flags, expression, what stands in its place.
+POST_PASSES = [
+    ("i", r"[a-zA-ZäöüÄÖÜß]+(?:[.\-_][a-zA-ZäöüÄÖÜß]+)+\s*\n?\s*@\[EMAIL_DOMAIN\]", "[EMAIL]"), ("i", r"[a-zA-ZäöüÄÖÜß]+(?:[.\-_][a-zA-ZäöüÄÖÜß]+)+\s*\n\s*@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[EMAIL]"),
+    ("i", r"[a-zA-ZäöüÄÖÜß]+(?:[.\-_][a-zA-ZäöüÄÖÜß]+)+\s*@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[EMAIL]"), ("", r"\b[A-Z]\d{9,10}\b", "[INSURANCE_ID]"), ("i", r",?\s*Status\s+[A-Z]\b", ""), ("", r"\s*/\s*-?\s*\d{2,5}\b", ""),
+    ("", r"\[PHONE\]\s*/?\s*-?\s*\d{2,5}", "[PHONE]"), ("i", r"Fallnummer:?\s*\d{8,12}", "Fallnummer: [CASE_ID]"), ("", r"/[A-ZÄÖÜ][a-zäöüß]+(?=,|\s|$)", ""), ("i", r"([A-ZÄÖÜ][a-zäöüß-]+)\s+(\d{1,4}\s*[a-zA-Z]?)\s*,\s*(?=\d{5}\s|\[PLZ)", "[ADDRESS], "),
+    ("i", r"\(\[IP_ADDRESS\]\s*(g/l|mg/dl|mmol/l|µmol/l|u/l|iu/l|%|/µl|/ml)\)", "([REF_RANGE] $1)"),
+]
+#: What a text must hold for a pass to find anything, by place; null: nothing in particular.
+POST_NEEDS = ["@", "@", "@", None, "tatus", "/", "[PHONE]", "allnummer", "/", ",", "[IP_ADDRESS]"]
+
+
+def post_processed(df: DataFrame, column: str) -> DataFrame:
+    """df with the column run through the client's passes."""
+    for (flags, expression, instead), needs in zip(POST_PASSES, POST_NEEDS, strict=True):
+        after = F.regexp_replace(column, f"(?{flags}U){expression}", instead)
+        some = F.contains(F.translate(F.lower(column), "ſ", "s"), F.lit(needs.lower())) if needs else None
+        df = df.withColumn(column, after if some is None else F.when(some, after).otherwise(F.col(column)))
+    return df

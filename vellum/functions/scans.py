@@ -3,7 +3,7 @@ several passes. Column expressions over one row; a text's lines are an array, so
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Corrections in order, all without regard to case.
@@ -125,3 +125,92 @@ def united(passes: list[Column]) -> Column:
         return F.struct(F.when(~paired & ~named, F.array_append(out, line)).otherwise(out).alias("out"), F.when(~paired & named, line).alias("held"))
 
     return F.aggregate(marked, start, step, lambda acc: F.array_join(F.when(acc.held.isNull(), acc.out).otherwise(F.array_append(acc.out, acc.held)), "\n"))
+
+
+# Spellings of terms and units, names of parameters with the words for them, words of a diagnosis.
+ENHANCED = [
+    (r"\bHamoglobin\b", "Hämoglobin"), (r"\bHamatokrit\b", "Hämatokrit"), (r"\bLeuko[sz]yten\b", "Leukozyten"), (r"\bErythro[sz]yten\b", "Erythrozyten"), (r"\bThrombo[sz]yten\b", "Thrombozyten"), (r"\bmg/d[lI]\b", "mg/dl"), (r"\bmmol/[lI]\b", "mmol/l"),
+    (r"\b[uμ]g/[lI]\b", "μg/l"), (r"\bpmo[lI]/[lI]\b", "pmol/l"),
+]
+VARIATIONS = {
+    "hemoglobin": ["hämoglobin", "hb", "hemoglobin"], "hematocrit": ["hämatokrit", "hkt", "hct"], "erythrocytes": ["erythrozyten", "ery", "rbc"], "leukocytes": ["leukozyten", "leuko", "wbc"], "thrombocytes": ["thrombozyten", "thrombo", "plt"],
+    "glucose": ["glukose", "glucose", "blutzucker"], "creatinine": ["kreatinin", "crea", "krea"], "urea": ["harnstoff", "urea"], "sodium": ["natrium", "na", "sodium"], "potassium": ["kalium", "k", "potassium"], "chloride": ["chlorid", "cl"],
+    "tsh": ["tsh", "thyreotropin"], "ft3": ["ft3", "freies t3"], "ft4": ["ft4", "freies t4"],
+}
+FINDINGS = ["diagnose", "befund", "beurteilung"]
+SECTIONS = ["laborwerte", "befund", "diagnose", "medikation"]
+VALUE = r"(?U)(\b\w+[\w\s\-]*?)[\s:]+(\d+[,.]?\d*)\s*([A-Za-z/%]+)?"
+LINE_VALUE = r"(?U)^([A-Za-zÄÖÜäöüß\-\s]+?)[\s:]+(\d+[,.]?\d*)\s*([A-Za-z/%]+)?(?:\s*\(?([\d,.\-\s]+)\)?)?"
+CLEAN_ROW = r"(?U)([A-Za-zÄÖÜäöüß\-]+)\s*\|\s*([\d,\.]+)\s*\|\s*([A-Za-z/%]+)\s*\|\s*([\d,\.\-\s]+)"
+# End of the fixed values.
+
+
+def pipe_table(text: Column) -> Column:
+    """Gaps of two spaces or more as pipes, lines stripped, empty ones left out, rows of four cells as name: value unit (Referenz: range)."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.btrim(F.regexp_replace(x, "  +", " | "), F.lit(SPACE)))
+    return F.regexp_replace(F.array_join(F.filter(lines, lambda x: x != ""), "\n"), CLEAN_ROW, r"$1: $2 $3 (Referenz: $4)")
+
+
+def has_columns(lefts: Column, tolerance: int = 20, least: int = 10, columns: int = 3, members: int = 3) -> Column:
+    """Whether words' left edges, in order, fall into three clusters of three: an edge joins the first cluster whose first member is nearer than the tolerance."""
+    start = F.struct(F.expr("cast(array() as array<int>)").alias("first"), F.expr("cast(array() as array<int>)").alias("n"))
+
+    def step(acc, x):
+        at = F.coalesce(F.array_position(F.transform(acc.first, lambda f: F.abs(f - x) < tolerance), True), F.lit(0))
+        counted = F.transform(acc.n, lambda n, i: F.when(i + 1 == at, n + 1).otherwise(n))
+        return F.struct(F.when(at == 0, F.array_append(acc.first, x)).otherwise(acc.first).alias("first"), F.when(at == 0, F.array_append(acc.n, F.lit(1))).otherwise(counted).alias("n"))
+
+    return (F.size(lefts) >= least) & (F.size(F.filter(F.aggregate(lefts, start, step, lambda acc: acc.n), lambda n: n >= members)) >= columns)
+
+
+def _canonical(name: Column) -> Column:
+    """The parameter that a name holds a word of, capitalised; the name if there is none."""
+    low, out = F.lower(name), F.lit(None).cast("string")
+    for standard, words in reversed(VARIATIONS.items()):
+        out = F.when(_holds(low, words), standard.capitalize()).otherwise(out)
+    return F.coalesce(out, name)
+
+
+def enhanced(df: DataFrame, column: str) -> DataFrame:
+    """df with the column's terms and units spelt right, every `name value unit` rewritten by its canonical name, and a heading
+    before the first line of laboratory words and the first of a diagnosis."""
+    text = F.col(column)
+    for pattern, instead in ENHANCED:
+        text = F.regexp_replace(text, "(?iU)" + pattern, instead)
+    df = df.withColumn(column, text)
+    # a name may run on over many words, so the text is searched for matches once and only those are taken apart
+    parts = lambda m: F.struct(*[F.regexp_extract(m, VALUE, g).alias(n) for g, n in ((1, "name"), (2, "value"), (3, "unit"))])
+    found = F.transform(F.regexp_extract_all(column, F.lit(VALUE), F.lit(0)), parts)
+    df = df.withColumns({"_gaps": F.split(column, VALUE, -1), "_found": found})
+    written = lambda m: F.concat(_canonical(F.regexp_replace(m["name"], r"(?U)^\s+|\s+$", "")), F.lit(": "), m["value"], F.when(F.coalesce(m["unit"], F.lit("")) != "", F.concat(F.lit(" "), m["unit"])).otherwise(""))
+    df = df.withColumn("_lines", F.split(F.array_join(F.zip_with("_gaps", "_found", lambda gap, m: F.when(m.isNull(), gap).otherwise(F.concat(gap, written(m)))), ""), "\n", -1))
+    words = [w for ws in VARIATIONS.values() for w in ws]
+    first = lambda ws: F.coalesce(F.array_position(F.transform("_lines", lambda x: _holds(F.lower(x), ws)), True), F.lit(0))
+    df = df.withColumns({"_lab": first(words), "_finding": first(FINDINGS)})
+    head = lambda i, at, name: F.when(i + 1 == F.col(at), F.array(F.lit(f"\n=== {name} ==="))).otherwise(F.array().cast("array<string>"))
+    lines = F.flatten(F.transform("_lines", lambda x, i: F.concat(head(i, "_lab", "LABORWERTE"), head(i, "_finding", "DIAGNOSE/BEFUND"), F.array(x))))
+    return df.withColumn(column, F.array_join(lines, "\n")).drop("_gaps", "_found", "_lines", "_lab", "_finding")
+
+
+def structured(text: Column) -> Column:
+    """Headings in capitals, lines that begin with `name value unit (range)` written out by the known name, other lines as they are."""
+
+    def line(x):
+        part = lambda g: F.regexp_extract(x, LINE_VALUE, g)
+        strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+        name = F.lit(None).cast("string")
+        for known in reversed(NAMES):
+            name = F.when(F.contains(F.lower(part(1)), F.lit(known.lower())), known).otherwise(name)
+        unit = F.when(part(3) != "", F.concat(F.lit(" "), part(3))).otherwise("")
+        reference = F.when(part(4) != "", F.concat(F.lit(" (Referenz: "), strip(part(4)), F.lit(")"))).otherwise("")
+        value = F.concat(F.coalesce(name, strip(part(1))), F.lit(": "), part(2), unit, reference)
+        return F.when(_holds(F.lower(x), SECTIONS), F.concat(F.lit("\n=== "), F.upper(x), F.lit(" ==="))).when(x.rlike(LINE_VALUE), value).otherwise(x)
+
+    return F.array_join(F.transform(stripped_lines(text), line), "\n")
+
+
+def scan_confidence(text: Column, regions: Column, methods: Column) -> Column:
+    """0.5, and 0.2 for a table, for a length over 500, for more than five parameters, 0.1 for three methods; 0.95 at most."""
+    terms = F.size(F.filter(F.array(*[F.lit(n.lower()) for n in NAMES]), lambda n: F.contains(F.lower(text), n)))
+    bonus = lambda test, by: F.when(test, by).otherwise(0.0)
+    return F.round(F.least(F.lit(0.5) + bonus(regions > 0, 0.2) + bonus(F.length(text) > 500, 0.2) + bonus(methods >= 3, 0.1) + bonus(terms > 5, 0.2), F.lit(0.95)), 2)

@@ -111,3 +111,21 @@ folded AS (
     FROM folded f JOIN placed p ON p.doc_id = f.doc_id AND p.page = f.page AND p.way = f.way AND p.k = f.k + 1)
 SELECT doc_id, page, way, count(*) AS n_boxes, max(row) AS n_rows, md5(string_agg(CAST(row AS VARCHAR), ',' ORDER BY k)) AS rows_md5 FROM folded GROUP BY doc_id, page, way"""
 QUERIES["c12_markdown"] = lambda spark, d: layout.markdown_tables(boxes(spark, d), ["doc_id", "page"]).select("doc_id", "page", "n_rows", "n_columns", F.md5("markdown").alias("markdown_md5"))
+
+
+#: Letters with columns of spaces and values, so that the rules find something.
+_WIDE = "concat(text, '\nNatrium   140   mmol/l   135-145\nHamoglobin: 13,5 g/d', 'l\nCRP 4\nBefund: gut\nKalium  4,1\nfreies T3 2,2 pg/ml (1,8 - 4,2)\n', CASE WHEN doc_id % 2 = 0 THEN 'Beurteilung folgt' ELSE '' END)".replace("\n", "\\n")
+
+
+def _wide(df):
+    return df.select("doc_id", F.expr(_WIDE).alias("text"))
+
+
+_letters("c4_pipe_tables", lambda df: _wide(df).select("doc_id", F.md5(scans.pipe_table(F.col("text"))).alias("text_md5")))
+#: Turns, which are short: a name of the expression may run on over all words up to a number.
+QUERIES["c9_enhanced"] = lambda spark, d: scans.enhanced(spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.expr(_WIDE.replace("doc_id", "conv_id")).alias("text")), "text").select("conv_id", "turn", F.md5("text").alias("text_md5"))
+_letters("c15_structured", lambda df: _wide(df).select("doc_id", F.md5(scans.structured(F.col("text"))).alias("text_md5")))
+QUERIES["c5_column_clusters"] = lambda spark, d: layout._pages(boxes(spark, d), ["doc_id", "page"], ["idx"]).select("doc_id", "page", scans.has_columns(F.transform("boxes", lambda b: b["left"].cast("int"))).alias("is_table"))
+_FEW = "coalesce(text, '')"
+QUERIES["c17_scan_confidence"] = lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.expr(_FEW).alias("text")).select("doc_id", scans.scan_confidence(F.col("text"), F.contains("text", F.lit("|")).cast("int"), F.size(F.split("text", "\n"))).alias("confidence"))
+ORACLE_SQL["c17_scan_confidence"] = "SELECT doc_id, round(least(0.5::DOUBLE + CASE WHEN contains(t, '|') THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN length(t) > 500 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN len(string_split(t, chr(10))) >= 3 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN " + " + ".join(f"CAST(contains(lower(t), {_q(n.lower())}) AS INT)" for n in scans.NAMES) + " > 5 THEN 0.2::DOUBLE ELSE 0 END, 0.95), 2) AS confidence FROM (SELECT doc_id, " + _FEW + " AS t FROM documents)"
