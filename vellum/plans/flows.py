@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import redaction
 from vellum.plans import steps
+from vellum.sources.overlays import spread
 from vellum.streaming import limits
 
 QUERIES: dict = {}
@@ -42,7 +43,7 @@ SELECT key, event_id, outcome FROM w"""
 
 
 def _letters(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source")
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source"))
     return steps.run(docs, steps.LETTERS, "en", ("source",))
 
 

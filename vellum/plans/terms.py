@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from vellum.functions import terms as T
 from vellum.operators import terms as ops
 from vellum.plans.textual import _q
+from vellum.sources.overlays import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def _read(spark, d, name):
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def _dictionary(spark, d):

@@ -16,8 +16,13 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+#: Queries whose expressions cost much more than a shuffle of their texts.
+HEAVY = {"t7_classify_documents", "t16_output_quality", "t17_text_quality", "t19_table_score_documents", "t50_document_order", "pi4_redact_documents", "pi4_redact_text", "pi4_common_counts"}
+
+
 def _table(name: str, table: str, run, sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, d: run(spark.read.parquet(f"{d}/{table}.parquet"))
+    dealt = spread if name in HEAVY else lambda df: df
+    QUERIES[name] = lambda spark, d: run(dealt(spark.read.parquet(f"{d}/{table}.parquet")))
     if sql:
         ORACLE_SQL[name] = sql
 
@@ -175,7 +180,7 @@ _PRIO = f"CASE WHEN {_HAS('patient_info', 'l')} OR {_HAS('header', 'left(l, 200)
 _ORDER = f"SELECT batch_id, idx, page_number, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY CASE WHEN share >= 0.7 THEN CAST(page_number IS NULL AS INT) ELSE prio END, CASE WHEN share >= 0.7 THEN coalesce(page_number, 0) ELSE 0 END, idx) AS INT) AS position FROM (SELECT *, avg(CAST(page_number IS NOT NULL AS INT)) OVER (PARTITION BY batch_id) AS share FROM (SELECT batch_id, idx, {_NUM} AS page_number, {_PRIO} AS prio FROM (SELECT *, lower(text) AS l FROM {{table}})))"
 _case("t50_page_order", ("sheets",), sequence.ordered, _fill(_ORDER, table="sheets"))
 _BATCHES = "(SELECT doc_id // 8 AS batch_id, CAST(doc_id % 8 AS INT) AS idx, text FROM documents)"
-_table("t50_document_order", "documents", lambda df: sequence.ordered(spread(df).select(F.floor(F.col("doc_id") / 8).alias("batch_id"), (F.col("doc_id") % 8).cast("int").alias("idx"), "text")), _fill(_ORDER, table=_BATCHES))
+_table("t50_document_order", "documents", lambda df: sequence.ordered(df.select(F.floor(F.col("doc_id") / 8).alias("batch_id"), (F.col("doc_id") % 8).cast("int").alias("idx"), "text")), _fill(_ORDER, table=_BATCHES))
 _case("g32_moved_pages", ("sheets",), lambda df: sequence.moved_share(sequence.ordered(df)), f"SELECT batch_id, count(*) FILTER (first <> position) AS moves, round(count(*) FILTER (first <> position)::DOUBLE / count(*), 4) AS share FROM (SELECT batch_id, position, row_number() OVER (PARTITION BY batch_id ORDER BY idx) AS first FROM ({_fill(_ORDER, table='sheets')})) GROUP BY 1")
 _case("t49_page_confidence", ("sheets",), lambda df: df.select("batch_id", "idx", sequence.analysis_confidence(F.col("text")).alias("confidence")), "SELECT batch_id, idx, round(least(0.5::DOUBLE + CASE WHEN coalesce(" + _NUM + ", 0) <> 0 THEN 0.3::DOUBLE ELSE 0 END + (" + " + ".join(f"CAST({_HAS(n, 'lower(text)')} AS INT)" for n in sequence.SECTIONS) + ") * 0.05::DOUBLE, 1), 6) AS confidence FROM sheets")
 
@@ -193,6 +198,6 @@ def _chain() -> str:
 
 
 #: The English passes over whole documents; a test holds them against a plain reading.
-_table("pi4_redact_documents", "documents", lambda df: privacy.removed(spread(df), "en").select("doc_id", "redacted", F.col("removals").alias("entities")), None)
+_table("pi4_redact_documents", "documents", lambda df: privacy.removed(df, "en").select("doc_id", "redacted", F.col("removals").alias("entities")), None)
 _table("pi4_redact_text", "documents", lambda df: df.select("doc_id", F.md5(redaction.masked(F.coalesce("text", F.lit("")))).alias("redacted_md5")), f"SELECT doc_id, md5({_chain()}) AS redacted_md5 FROM documents")
 _table("pi4_common_counts", "documents", lambda df: redaction.with_counts(df).agg(*[F.sum(f"n_{k}").alias(f"n_{k}") for k in ("email", "ip")]), "SELECT CAST(sum(len(regexp_extract_all(text, " + _q(redaction.CONTACTS[0][1]) + "))) AS BIGINT) AS n_email, CAST(sum(len(regexp_extract_all(regexp_replace(text, " + _q(redaction.CONTACTS[2][1]) + ", '[PHONE]', 'g'), " + _q(redaction.CONTACTS[3][1]) + "))) AS BIGINT) AS n_ip FROM documents")
