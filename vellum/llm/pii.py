@@ -71,7 +71,6 @@ AGAINST = {
     "tel": "isbn|serial|version|order|part no",
 }
 BOOST, LESS = 0.35, 0.3
-SPAN = "array<struct<start:int,end:int,match:string>>"
 
 
 def _sub(text: Column, start: Column | int, length: Column | int) -> Column:
@@ -99,22 +98,61 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), step) == 1
 
 
+#: Matches whose places are summed one by one; places of whole blocks of them are summed first.
+BLOCK = 128
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _starts(sizes: Column) -> Column:
+    """Where each of pieces of these sizes starts: sums within blocks of `BLOCK`, so the work grows by a block's length a piece, not by all before it."""
+    total = lambda some: F.aggregate(some, F.lit(0), lambda a, x: a + x)
+
+    def within(sizes):
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(sizes) - 1, F.lit(0)), F.lit(BLOCK)), lambda at: total(F.slice(sizes, at + 1, F.lit(BLOCK))))
+        base = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+        return _bound(base, lambda base: F.transform(sizes, lambda x, i: F.get(base, F.floor(i / BLOCK).cast("int")) + total(F.slice(sizes, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))))
+
+    return _bound(sizes, within)
+
+
+def _clipped(gap: Column) -> Column:
+    """A gap without what is out of reach from both of its ends."""
+    return F.when(F.length(gap) <= 2 * REACH, gap).otherwise(F.concat(F.left(gap, F.lit(REACH)), F.right(gap, F.lit(REACH))))
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """The leftmost non-overlapping matches with their offsets."""
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
-    start = lambda acc, p: acc.at + F.length(p.gap)
-    return F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out")),
-        lambda acc, p: F.when(p.match.isNull(), acc).otherwise(
-            F.struct(
-                (start(acc, p) + F.length(p.match)).alias("at"),
-                F.array_append(acc.out, F.struct(start(acc, p).alias("start"), (start(acc, p) + F.length(p.match)).alias("end"), p.match.alias("match"))).alias("out"),
-            )
-        ),
-        lambda acc: acc.out,
+    """The leftmost non-overlapping matches with their offsets and place among the pieces, and the pieces: each gap, clipped, with its match.
+
+    What stands around a match is put together from pieces: looked up by its offset, it would be searched for from the text's beginning."""
+    pairs = F.zip_with(
+        F.split(text, pattern, -1),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda gap, match: F.struct(F.length(gap).alias("size"), _clipped(gap).alias("gap"), F.coalesce(match, F.lit("")).alias("match"), match.isNotNull().alias("there")),
     )
 
+    def placed(pairs):
+        starts = _starts(F.transform(pairs, lambda p: p["size"] + F.length(p.match)))
+        spans = F.zip_with(
+            F.transform(pairs, lambda p, i: p.withField("i", i)), starts,
+            lambda p, at: F.struct((at + p["size"]).alias("start"), (at + p["size"] + F.length(p.match)).alias("end"), p.match.alias("match"), p.gap.alias("gap"), p["i"].alias("i"), p.there.alias("there")),
+        )
+        return F.struct(F.filter(spans, lambda x: x.there).alias("spans"), F.transform(pairs, lambda p: F.concat(p.gap, p.match)).alias("pieces"))
+
+    return _bound(pairs, placed)
+
+
+def _around(x: Column, pieces: Column) -> Column:
+    """`REACH` characters on either side of a match with it, in lower case: a piece has two characters at least, so half as many pieces do."""
+    n = REACH // 2
+    first = F.greatest(x["i"] - n, F.lit(0))
+    before = F.concat(F.array_join(F.slice(pieces, first + 1, x["i"] - first), ""), x["gap"])
+    after = F.array_join(F.slice(pieces, x["i"] + 2, F.lit(n + 1)), "")
+    return F.lower(F.concat(F.right(before, F.lit(REACH)), x["match"], F.left(after, F.lit(REACH))))
+
 
 def _only_digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
@@ -139,14 +177,14 @@ def _confirmed(kind: str, x: Column) -> Column:
 def _spans(kind: str, order: int, text: Column) -> Column:
     """Confirmed spans of a kind: array<struct<start, order, end, kind, score>>."""
     search, pattern, score = PATTERNS[kind]
-    found = _matches(text, pattern)
-    found = F.filter(found, lambda x: _confirmed(kind, x))
-    around = lambda x: F.lower(_sub(text, F.greatest(x.start - REACH, F.lit(0)) + 1, x.end - x.start + 2 * REACH))
-    total = lambda x: F.lit(score) + F.when(around(x).rlike(CONTEXT[kind]), BOOST).otherwise(0.0) - F.when(around(x).rlike(AGAINST[kind]), LESS).otherwise(0.0)
-    scored = F.transform(
-        found,
-        lambda x: F.struct(x.start.alias("start"), F.lit(order).alias("order"), x.end.alias("end"), F.lit(kind).alias("kind"), F.round(F.greatest(F.least(total(x), F.lit(1.0)), F.lit(0.0)), 2).alias("score")),
-    )
+    total = lambda c: F.lit(score) + F.when(c.rlike(CONTEXT[kind]), BOOST).otherwise(0.0) - F.when(c.rlike(AGAINST[kind]), LESS).otherwise(0.0)
+
+    def scored_of(found):
+        kept = F.filter(found["spans"], lambda x: _confirmed(kind, x))
+        rounded = lambda x: F.round(F.greatest(F.least(_bound(_around(x, found["pieces"]), total), F.lit(1.0)), F.lit(0.0)), 2)
+        return F.transform(kept, lambda x: F.struct(x.start.alias("start"), F.lit(order).alias("order"), x.end.alias("end"), F.lit(kind).alias("kind"), rounded(x).alias("score")))
+
+    scored = _bound(_matches(text, pattern), scored_of)
     none = F.expr("cast(array() as array<struct<start:int,order:int,end:int,kind:string,score:double>>)")
     passes = F.instr(text, "@") > 0 if kind == "email" else text.rlike(search)
     return F.when(passes, scored).otherwise(none)
