@@ -153,3 +153,20 @@ def test_personal_data_passes(spark, sf, language):
         assert r.error == (not (r.text or "").strip(" "))
     if language == "de":
         assert got[0].redacted.startswith("[HOSPITAL_LETTERHEAD]\n") and "Schmidt" not in got[0].redacted and "03.04.2024" in got[0].redacted and "12.03.2024" not in got[1].redacted
+
+
+def test_step_routing(spark):
+    """A step's output replaces the text, is appended, is logged alone or is skipped; a stop ends the program."""
+    from vellum.plans.steps import Program, Step, run
+
+    program = Program([
+        Step("gate", 1, "length_gate", stop_on=("NICHT_MEDIZINISCH",)), Step("up", 2, "upper"), Step("more", 3, "lower", append=True), Step("kind", 4, "class_by_length", branching=True, classes=("LANG", "KURZ")),
+        Step("aside", 5, "length_gate", replaces=False), Step("long only", 6, "lower", document_class="LANG"), Step("needs", 7, "upper", requires=("x",)), Step("last", 1, "trim", post_branching=True),
+    ])
+    docs = spark.createDataFrame([(1, "Ein Text von mehr als vierzig Zeichen,  mit Luecken", None), (2, "kurz", "y"), (3, None, None)], "doc_id long, text string, x string")
+    got = {r.doc_id: r for r in run(docs, program, context=("x",)).collect()}
+    upper = "EIN TEXT VON MEHR ALS VIERZIG ZEICHEN,  MIT LUECKEN"
+    assert got[1].output == f"{upper} {upper.lower()}".replace("  ", " ") and got[1].document_class == "KURZ" and got[1].status == "COMPLETED"
+    assert [(x.step, x.status) for x in got[1].log] == [("gate", "COMPLETED"), ("up", "COMPLETED"), ("more", "COMPLETED"), ("kind", "COMPLETED"), ("aside", "COMPLETED"), ("needs", "SKIPPED"), ("last", "COMPLETED")]
+    for i in (2, 3):
+        assert got[i].status == "TERMINATED" and got[i].stopped_at == "gate" and len(got[i].log) == 1

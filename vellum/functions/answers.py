@@ -18,6 +18,7 @@ HANDLING = {
 }
 RATING_KEYS = ["clarity", "accuracy", "formatting", "speed"]
 FAST_WORDS = ["grammar", "formatting", "format", "structure", "layout", "final check", "validation", "template", "language_translation"]
+LANGUAGES = {"en": "English", "fr": "Français", "es": "Español", "it": "Italiano", "pt": "Português", "nl": "Nederlands", "pl": "Polski"}
 # End of the fixed values.
 
 ANALYSIS = "struct<pii_issues:array<string>,translation_issues:array<string>,recommendations:array<string>,overall_quality_score:double,detailed_analysis:string>"
@@ -70,3 +71,9 @@ def is_table(rows: Column) -> Column:
     filled = F.aggregate(rows, F.lit(0), lambda a, r: a + F.size(F.filter(r, lambda c: F.trim(c) != "")))
     every = F.aggregate(rows, F.lit(0), lambda a, r: a + F.size(r))
     return (F.size(rows) >= 2) & (F.size(F.get(rows, F.lit(0))) >= 2) & (filled >= 0.3 * every)
+
+
+def bilingual(german: Column, translated: Column, language: Column, heading: str) -> Column:
+    """A German answer and its translation under a heading, the language by its name or, if that is unknown, its code in capitals."""
+    label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), language), F.upper(language))
+    return F.concat(F.lit(f"\n\n---\n\n{heading}\n\n### Deutsch (Original)\n\n"), german, F.lit("\n\n### "), label, F.lit(" (Translation)\n\n"), translated)

@@ -27,8 +27,10 @@ CLASSES = [
 FRIENDLY = ["Sie", "Ihr", "Ihnen", "bedeutet", "heißt das", "einfach"]
 MARKERS = ["→", "•", "-", "**", "📋", "🎯", "✅"]
 PLAIN = ["this means", "simply put", "in other words", "das bedeutet", "einfach gesagt", "mit anderen worten"]
-LAB_TERMS = """laborwerte blutwerte laborergebnisse befund referenzbereich normalwert grenzwert hämoglobin leukozyten thrombozyten erythrozyten glukose cholesterin kreatinin harnstoff
-bilirubin albumin protein calcium""".split()
+LAB_TERMS = [
+    "laborwerte", "blutwerte", "laborergebnisse", "befund", "referenzbereich", "normalwert", "grenzwert", "hämoglobin", "leukozyten", "thrombozyten", "erythrozyten", "glukose",
+    "cholesterin", "kreatinin", "harnstoff", "bilirubin", "albumin", "protein", "calcium",
+]
 UNIT = r"[0-9]+[.,][0-9]*\s*(?:mg/dl|mmol/l|µg/l|ng/ml|u/l|iu/l|g/l|%|/µl)"
 RANGE = r"[0-9]+[.,][0-9]*\s*[-–]\s*[0-9]+[.,][0-9]*"
 
@@ -86,13 +88,6 @@ def table_score(text: Column) -> Column:
     return F.round(F.least(F.coalesce(score, F.lit(0.0)), F.lit(1.0)), 6)
 
 
-def translation_quality(original: Column, translated: Column) -> Column:
-    ratio = F.length(translated) / F.greatest(F.length(original), F.lit(1))
-    score = F.lit(0.6) + F.when(F.length(translated) > 100, 0.1).otherwise(0.0) + F.when(F.length(translated) > 500, 0.1).otherwise(0.0)
-    score = score + F.when(ratio.between(0.5, 2.0), 0.1).otherwise(0.0) + F.least(hits(F.lower(translated), PLAIN) * 0.05, F.lit(0.1))
-    return F.when(F.coalesce(translated, F.lit("")).isin("") | translated.startswith("Error"), 0.0).otherwise(F.round(F.least(score, F.lit(1.0)), 6))
-
-
 def changes(original: Column, modified: Column) -> Column:
     """struct<change_count, length_diff, significant>: lines that differ place by place."""
     pairs = F.zip_with(F.split(original, "\n", -1), F.split(modified, "\n", -1), lambda a, b: (F.coalesce(a, F.lit("")) != F.coalesce(b, F.lit(""))).cast("int"))
@@ -154,9 +149,10 @@ def base_key(name: Column) -> Column:
     return F.when(name.rlike(DATED), F.regexp_replace(name, DATED, "")).otherwise(F.replace(name, F.lit(".pdf"), F.lit("")))
 
 
-def links(html: Column) -> Column:
-    """The distinct anchor addresses of a page, in page order."""
-    return F.array_distinct(F.regexp_extract_all(html, F.lit('href="([^"]+)"'), F.lit(1)))
+def links(html: Column, keep: tuple[str, ...] = ()) -> Column:
+    """The distinct anchor addresses of a page, in page order; only those that hold one of `keep`, if any is named."""
+    found = F.array_distinct(F.regexp_extract_all(html, F.lit('href="([^"]+)"'), F.lit(1)))
+    return F.filter(found, lambda x: F.exists(F.array(*map(F.lit, keep)), lambda k: F.contains(x, k))) if keep else found
 
 
 def branch_value(output: Column, classes: list[str]) -> Column:

@@ -60,7 +60,7 @@ def index_percentiles(logs: DataFrame, column: str, quantiles: tuple[float, ...]
     """sorted[int(n * q)] of the successes' values, by value counts instead of one sorted list.
 
     Counts per distinct value are added up in order; a value answers a quantile whose place falls into its run.
-    Values are rounded to a microsecond, which bounds the distinct ones.
+    There are as many counts as distinct values; none is rounded.
     """
     from pyspark.sql import Window
 

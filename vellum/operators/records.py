@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from vellum.operators.filters import newest, percent, ratio, without_consent
 
 # Every audited action, in order.
-ACTIONS = """LOGIN LOGIN_FAILED LOGOUT TOKEN_REFRESH PASSWORD_CHANGE USER_CREATED USER_UPDATED USER_DELETED USER_ACTIVATED USER_DEACTIVATED API_KEY_CREATED API_KEY_REVOKED
-PIPELINE_CREATED PIPELINE_UPDATED PIPELINE_DELETED SETTINGS_UPDATED PERMISSION_DENIED DATA_EXPORT DATA_IMPORT FEEDBACK_DELETED DOCUMENT_PROCESSED DOCUMENT_DELETED""".split()
+ACTIONS = [
+    "LOGIN", "LOGIN_FAILED", "LOGOUT", "TOKEN_REFRESH", "PASSWORD_CHANGE", "USER_CREATED", "USER_UPDATED", "USER_DELETED", "USER_ACTIVATED", "USER_DEACTIVATED", "API_KEY_CREATED",
+    "API_KEY_REVOKED", "PIPELINE_CREATED", "PIPELINE_UPDATED", "PIPELINE_DELETED", "SETTINGS_UPDATED", "PERMISSION_DENIED", "DATA_EXPORT", "DATA_IMPORT", "FEEDBACK_DELETED",
+    "DOCUMENT_PROCESSED", "DOCUMENT_DELETED",
+]
 MARKER = "[removed]"
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vellum.functions import documents, guard, redaction, sequence, tables
+from vellum.functions import answers, documents, guard, redaction, sequence, tables
 from vellum.functions import privacy as removal
+from vellum.functions import terms as T
 from vellum.operators import costs, filters, programs, records
-from vellum.plans import decisions, relational, textual
+from vellum.plans import decisions, flows, relational, textual
+from vellum.plans import terms as term_plans
 from vellum.plans.fallback import _LETTERS, letters
 from vellum.plans.textual import _q
 from vellum.sources.overlays import view, with_views
@@ -198,4 +200,67 @@ _views(
     lambda df: df.select(F.when(F.col("completed_at").isNull(), "no_ttl").when(F.col("completed_at") < F.lit("2001-07-01 00:00:00").cast("timestamp_ntz") - F.expr("interval 2 hours"), "old").otherwise("kept").alias("what")).groupBy("what").agg(F.count("*").alias("n")),
     "SELECT CASE WHEN completed_at IS NULL THEN 'no_ttl' WHEN completed_at < timestamp '2001-07-01 00:00:00' - INTERVAL 2 HOUR THEN 'old' ELSE 'kept' END AS what, count(*) AS n FROM jobs GROUP BY 1",
 )
+
+#: The text by layout, else the plain one, else the recognised one: the first of more than 50 characters.
+_CHOSEN = "CASE WHEN length(trim(a)) > 50 THEN a WHEN length(trim(b)) > 50 THEN b ELSE c END"
+_SOURCES = "regexp_replace(t, '[^A-Za-z ]', ''{g}) AS a, trim(t) AS b, concat('recognised: ', t) AS c"
+_documents(
+    "s7_text_source",
+    lambda df: df.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).selectExpr("doc_id", "regexp_replace(t, '[^A-Za-z ]', '') as a", "trim(t) as b", "concat('recognised: ', t) as c").select("doc_id", F.md5(F.expr(_CHOSEN)).alias("text_md5")),
+    f"SELECT doc_id, md5({_CHOSEN}) AS text_md5 FROM (SELECT doc_id, {_SOURCES.format(g=", 'g'")} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))",
+)
+_KEEP = ("/th", "/la", ".pdf", "/en")
+_add(
+    "s10_kept_links",
+    lambda spark, d: _read(spark, d, "pages").select("page_id", F.posexplode(documents.links(F.col("html"), _KEEP)).alias("pos", "href")).select("page_id", F.col("pos").cast("long").alias("pos"), "href"),
+    f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY first) - 1 AS pos, href FROM (SELECT page_id, href, min(i) AS first FROM (SELECT page_id, unnest(h) AS href, unnest(range(len(h))) AS i FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS h FROM pages)) GROUP BY 1, 2) WHERE {' OR '.join(f"contains(href, {_q(k)})" for k in _KEEP)}""",
+)
+_add("s12_last_ids", lambda spark, d: _read(spark, d, "part").groupBy("p_name").agg(F.max_by("p_partkey", "p_partkey").alias("id"), F.count("*").alias("n")), "SELECT p_name, arg_max(p_partkey, p_partkey) AS id, count(*) AS n FROM part GROUP BY 1")
+_BROKEN = "CASE WHEN id % 5 = 0 THEN concat(required_variables, ',') WHEN id % 7 = 0 THEN 'no json' ELSE required_variables END"
+_views(
+    "s13_terms_of_settings",
+    ("step_defs",),
+    lambda df: df.select("id", F.explode(F.from_json(F.when(F.try_parse_json(F.concat(F.lit("["), F.expr(_BROKEN), F.lit("]"))).isNotNull(), F.expr(_BROKEN)), "array<string>")).alias("term")).groupBy("term").agg(F.count("*").alias("n")),
+    f"SELECT term, count(*) AS n FROM (SELECT unnest(CAST(CASE WHEN json_valid(j) THEN j END AS JSON)::VARCHAR[]) AS term FROM (SELECT {_BROKEN} AS j FROM step_defs)) GROUP BY 1",
+)
+_views("s18_step_rows", ("steps",), lambda df: df.select("id", "status", "started_at", F.length("output_text").cast("long").alias("n_out"), F.md5(F.left(F.repeat("output_text", F.lit(60)), F.lit(500))).alias("prompt")), "SELECT id, status, started_at, length(output_text) AS n_out, md5(left(repeat(output_text, 60), 500)) AS prompt FROM steps")
+_T38 = textual.ORACLE_SQL["t38_query_metadata"]
+_add("s20_chat_rows", lambda spark, d: textual._metadata(_read(spark, d, "conversations")).withColumn("session_hash", F.sha2(F.col("conv_id").cast("string"), 256)), f"SELECT *, sha256(CAST(conv_id AS VARCHAR)) AS session_hash FROM ({_T38})")
+_LOCATIONS = ["klinik", "krankenhaus", "praxis", "zentrum", "institut"]
+_KNOWN = [*T.TERMS, *T.DRUGS]
+
+
+def _suspects(spark, d):
+    """Names that may be none: short ones, parts of a term or with a term as part, places."""
+    names = term_plans.phrases(_read(spark, d, "documents")).select("phrase", F.lower("phrase").alias("low"))
+    part = F.exists(F.array(*map(F.lit, _KNOWN)), lambda t: (F.contains("low", t) | F.contains(t, F.col("low"))) & (t != F.col("low")))
+    place = F.exists(F.array(*map(F.lit, _LOCATIONS)), lambda t: F.contains("low", t))
+    return names.select("phrase", ((F.length("phrase") <= 3) | part | place).alias("suspect"))
+
+
+_add(
+    "pi29_suspect_names",
+    _suspects,
+    f"""WITH {term_plans.WORDS_SQL}, known AS (SELECT * FROM (VALUES {', '.join(f'({_q(t)})' for t in _KNOWN)}) v(t)), phrases AS (SELECT DISTINCT phrase, lower(phrase) AS low FROM runs)
+SELECT phrase, length(phrase) <= 3 OR EXISTS (SELECT 1 FROM known WHERE (contains(low, t) OR contains(t, low)) AND t <> low) OR {' OR '.join(f'contains(low, {_q(x)})' for x in _LOCATIONS)} AS suspect FROM phrases""",
+)
+_LABEL = "CASE lang " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in answers.LANGUAGES.items()) + " ELSE upper(lang) END"
+_documents(
+    "t37_bilingual",
+    lambda df: df.where("text is not null and lang is not null").select("doc_id", F.md5(answers.bilingual(F.left("text", F.lit(200)), F.right("text", F.lit(200)), F.col("lang"), "## Recommendations")).alias("text_md5")),
+    f"SELECT doc_id, md5(concat(chr(10), chr(10), '---', chr(10), chr(10), '## Recommendations', chr(10), chr(10), '### Deutsch (Original)', chr(10), chr(10), left(text, 200), chr(10), chr(10), '### ', {_LABEL}, ' (Translation)', chr(10), chr(10), right(text, 200))) AS text_md5 FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL",
+)
+_views(
+    "t40_class_guards",
+    ("classes", "step_defs"),
+    lambda c, s: c.join(s.where("class_id is not null").groupBy(F.col("class_id").alias("id")).agg(F.count("*").alias("n_steps")), "id", "left").select("id", F.upper(F.trim("class_key")).alias("class_key"), (~F.col("is_system")).alias("may_rename"), (~F.col("is_system") & F.col("n_steps").isNull()).alias("may_delete")),
+    "SELECT id, upper(trim(class_key)) AS class_key, NOT is_system AS may_rename, NOT is_system AND id NOT IN (SELECT class_id FROM step_defs WHERE class_id IS NOT NULL) AS may_delete FROM classes",
+)
+#: What a stopped program stores: the job is completed, its output the message.
+_MESSAGE = "Processing was terminated."
+_add(
+    "d6_stored_jobs",
+    lambda spark, d: flows._letters(spark, d).select("doc_id", F.lit("COMPLETED").alias("status"), F.col("stopped_at").alias("termination_step"), F.md5(F.when(F.col("status") == "TERMINATED", _MESSAGE).otherwise(F.col("output"))).alias("output_md5")),
+    flows._RAN + f"SELECT doc_id, 'COMPLETED' AS status, CASE WHEN stopped THEN 'gate' END AS termination_step, md5(CASE WHEN stopped THEN {_q(_MESSAGE)} ELSE trim(regexp_replace(t, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) END) AS output_md5 FROM c",
+)
 QUERIES["t53_cost_formula"], ORACLE_SQL["t53_cost_formula"] = relational.QUERIES.pop("t53_cost_formula"), relational.ORACLE_SQL.pop("t53_cost_formula")
