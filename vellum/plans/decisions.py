@@ -155,5 +155,5 @@ FROM (SELECT *, length(regexp_replace(c, '[^\p{L}\p{N}_]', '', 'g')) AS a FROM (
         FROM (SELECT {key}, i, regexp_replace(regexp_replace(l, '\|\s*\|+', '|', 'g'), '^\|\s*|\s*\|$', '', 'g') AS l
               FROM (SELECT {key}, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {table})))))
 GROUP BY {key}"""
-_table("c6_clean_documents", "documents", lambda df: df.where("text is not null").select("doc_id", tables.clean_text(F.col("text")).alias("text")), _CLEAN.replace("{key}", "doc_id").replace("{table}", "documents"))
+_table("c6_clean_documents", "documents", lambda df: df.select("doc_id", tables.clean_text(F.coalesce("text", F.lit(""))).alias("text")), _CLEAN.replace("{key}", "doc_id").replace("{table}", "(SELECT doc_id, coalesce(text, '') AS text FROM documents)"))
 textual.CASE_SQL["c6_clean_scans"] = textual.with_cases(_CLEAN.replace("{key}", "id").replace("{table}", "scans"), "scans")

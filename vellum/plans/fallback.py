@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import fallback, privacy
 from vellum.functions import terms as T
+from vellum.plans.privacy import _has
 from vellum.plans.terms import WORDS_SQL
 from vellum.plans.textual import _q
 from vellum.sources.overlays import spread
@@ -98,3 +99,11 @@ QUERIES["pi27_quality"] = lambda spark, d: (
     .select("doc_id", fallback.quality(F.col("n_chars") % 7, F.col("quality").cast("long"), F.col("n_chars") % 3, F.col("toxic") + F.col("n_chars") % 2).alias("score"))
 )
 ORACLE_SQL["pi27_quality"] = "SELECT doc_id, CASE WHEN p + h + m + l = 0 THEN 100.0::DOUBLE ELSE round_even((p * 100 + h * 100 + m * 80 + l * 50)::DOUBLE / (p + h + m + l), 1) END AS score FROM (SELECT doc_id, n_chars % 7 AS p, quality AS h, n_chars % 3 AS m, toxic + n_chars % 2 AS l FROM labels JOIN documents USING (doc_id))"
+
+#: A removal that takes contact data and, from every third letter, the line of laboratory values.
+_GONE = "regexp_replace({0}, CASE WHEN doc_id % 3 = 0 THEN '[+]49[0-9 ]+|Labor vom[^\n]*' ELSE '[+]49[0-9 ]+' END, '[X]'{1})"
+_letters(
+    "pi28_preserved",
+    lambda df: df.select("doc_id", privacy.preserved(F.col("text"), F.expr(_GONE.format("text", "").replace("\n", "\\n"))).alias("kept")),
+    f"SELECT doc_id, CASE WHEN a > 0 THEN b / a::DOUBLE >= 0.8 ELSE true END AS kept FROM (SELECT doc_id, {_has(privacy.KEYWORDS, 'lower(text)')} AS a, {_has(privacy.KEYWORDS, 'lower(c)')} AS b FROM (SELECT doc_id, text, {_GONE.format('text', ", 'g'").replace(chr(10), chr(92) + 'n')} AS c FROM letters))",
+)

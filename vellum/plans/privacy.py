@@ -73,7 +73,6 @@ def _ranges(df):
 _documents("pi12_lab_ranges", _ranges, f"""WITH placed AS ({_placed(_DOTTED, 30)})
 SELECT doc_id, m AS match, (contains(b, '(') AND {_any(privacy.RANGE_UNITS, 'lower(trim(a))')}) OR {_has(privacy.LAB_WORDS, 'lower(b)')} > 0 AS is_range, count(*) AS n FROM placed GROUP BY ALL""")
 _documents("pi25_old_dates", lambda df: df.select("doc_id", F.md5(privacy.without_old_dates(F.col("text"))).alias("text_md5"), F.regexp_count("text", F.lit(privacy.OLD_DATE)).alias("n")), f"SELECT doc_id, md5(regexp_replace(text, {_q(privacy.OLD_DATE)}, '[DATUM ENTFERNT]', 'g')) AS text_md5, CAST(len(regexp_extract_all(text, {_q(privacy.OLD_DATE)})) AS INT) AS n FROM documents")
-_documents("pi28_preserved", lambda df: df.select("doc_id", privacy.preserved(F.coalesce("text", F.lit("")), F.expr("left(coalesce(text, ''), length(coalesce(text, '')) div 2)")).alias("kept")), f"SELECT doc_id, CASE WHEN a > 0 THEN b / a::DOUBLE >= 0.8 ELSE true END AS kept FROM (SELECT doc_id, {_has(privacy.KEYWORDS, 'lower(t)')} AS a, {_has(privacy.KEYWORDS, 'lower(left(t, length(t) // 2))')} AS b FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))")
 _KINDS = [(k, privacy.placeholder(k)) for k, _, _ in privacy.GERMAN]
 
 
