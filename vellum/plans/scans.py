@@ -121,10 +121,26 @@ def _wide(df):
     return df.select("doc_id", F.expr(_WIDE).alias("text"))
 
 
-_letters("c4_pipe_tables", lambda df: _wide(df).select("doc_id", F.md5(scans.pipe_table(F.col("text"))).alias("text_md5")))
+_SQL_WIDE = "wide AS (SELECT row_number() OVER () AS d, doc_id, " + _WIDE.replace("\\n", "' || chr(10) || '") + " AS text FROM letters)"
+_ROW = scans.CLEAN_ROW.removeprefix("(?U)")
+_letters(
+    "c4_pipe_tables",
+    lambda df: _wide(df).select("doc_id", F.md5(scans.pipe_table(F.col("text"))).alias("text_md5")),
+    f"""{_SQL_WIDE},
+lines AS (SELECT d, doc_id, i, trim(regexp_replace(line, '  +', ' | ', 'g'), {_S}) AS line FROM (SELECT d, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT d, doc_id, string_split(text, chr(10)) AS ls FROM wide)))
+SELECT doc_id, md5(regexp_replace(string_agg(line, chr(10) ORDER BY i) FILTER (line <> ''), {_q(_ROW)}, '\\1: \\2 \\3 (Referenz: \\4)', 'g')) AS text_md5 FROM lines GROUP BY d, doc_id""",
+)
 #: Turns, which are short: a name of the expression may run on over all words up to a number.
 QUERIES["c9_enhanced"] = lambda spark, d: scans.enhanced(spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.expr(_WIDE.replace("doc_id", "conv_id")).alias("text")), "text").select("conv_id", "turn", F.md5("text").alias("text_md5"))
-_letters("c15_structured", lambda df: _wide(df).select("doc_id", F.md5(scans.structured(F.col("text"))).alias("text_md5")))
+_PART = lambda g: f"regexp_extract(line, {_q(scans.LINE_VALUE.removeprefix('(?U)'))}, {g})"
+_letters(
+    "c15_structured",
+    lambda df: _wide(df).select("doc_id", F.md5(scans.structured(F.col("text"))).alias("text_md5")),
+    f"""{_SQL_WIDE},
+lines AS (SELECT d, doc_id, i, line, {_PART(1)} AS p1, {_PART(2)} AS p2, {_PART(3)} AS p3, {_PART(4)} AS p4 FROM (SELECT d, doc_id, i, trim(line, {_S}) AS line FROM (SELECT d, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT d, doc_id, string_split(text, chr(10)) AS ls FROM wide))) WHERE line <> ''),
+named AS (SELECT *, CASE {' '.join(f"WHEN contains(lower(p1), {_q(n.lower())}) THEN {_q(n)}" for n in scans.NAMES)} ELSE trim(p1) END AS name FROM lines)
+SELECT doc_id, md5(string_agg(CASE WHEN {_any(scans.SECTIONS, 'lower(line)')} THEN chr(10) || '=== ' || upper(line) || ' ===' WHEN p2 <> '' THEN name || ': ' || p2 || CASE WHEN p3 <> '' THEN ' ' || p3 ELSE '' END || CASE WHEN p4 <> '' THEN ' (Referenz: ' || trim(p4) || ')' ELSE '' END ELSE line END, chr(10) ORDER BY i)) AS text_md5 FROM named GROUP BY d, doc_id""",
+)
 QUERIES["c5_column_clusters"] = lambda spark, d: layout._pages(boxes(spark, d), ["doc_id", "page"], ["idx"]).select("doc_id", "page", scans.has_columns(F.transform("boxes", lambda b: b["left"].cast("int"))).alias("is_table"))
 _FEW = "coalesce(text, '')"
 QUERIES["c17_scan_confidence"] = lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.expr(_FEW).alias("text")).select("doc_id", scans.scan_confidence(F.col("text"), F.contains("text", F.lit("|")).cast("int"), F.size(F.split("text", "\n"))).alias("confidence"))
