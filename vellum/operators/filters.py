@@ -76,7 +76,8 @@ def rollout(user: Column, percent: int, enabled: bool = True) -> Column:
     """Whether a user's stable bucket of 100 lies below the percentage."""
     if percent >= 100 or percent <= 0:
         return F.lit(enabled and percent >= 100)
-    return F.lit(enabled) & (F.pmod(F.crc32(user.cast("string").cast("binary")), F.lit(100)) < percent)
+    bucket = F.conv(F.left(F.md5(user.cast("string").cast("binary")), F.lit(8)), 16, 10).cast("long")
+    return F.lit(enabled) & (F.pmod(bucket, F.lit(100)) < percent)
 
 
 def ratio(a: Column, b: Column, digits: int, scale: float = 1.0) -> Column:

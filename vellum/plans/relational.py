@@ -145,6 +145,6 @@ _add(
     lambda x: records.import_settings(x.where("value <> 'true'"), x.where("key like 'enable%'").withColumn("value", F.upper("value")), True),
     "SELECT coalesce(a.key, b.key) AS key, coalesce(b.value, a.value) AS value, CASE WHEN b.key IS NULL THEN 'kept' WHEN a.key IS NULL THEN 'imported' ELSE 'updated' END AS outcome FROM (SELECT key, value FROM settings WHERE value <> 'true') a FULL JOIN (SELECT key, upper(value) AS value FROM settings WHERE key LIKE 'enable%') b ON a.key = b.key",
 )
-_add("f22_rollout", ("users",), lambda x: x.agg(F.count_if(filters.rollout(F.col("id"), 100)).alias("all_users"), F.count_if(filters.rollout(F.col("id"), 0)).alias("no_users"), (F.abs(F.count_if(filters.rollout(F.col("id"), 30)) / F.count("*") - 0.3) < 0.05).alias("about_30")), "SELECT count(*) AS all_users, CAST(0 AS BIGINT) AS no_users, true AS about_30 FROM users")
+_add("f22_rollout", ("users",), lambda x: x.select("id", *[filters.rollout(F.col("id"), p).alias(f"at_{p}") for p in (0, 30, 75, 100)], filters.rollout(F.col("id"), 100, False).alias("off")), "SELECT id, false AS at_0, b % 100 < 30 AS at_30, b % 100 < 75 AS at_75, true AS at_100, false AS off FROM (SELECT id, CAST('0x' || left(md5(CAST(id AS VARCHAR)), 8) AS BIGINT) AS b FROM users)")
 _add("g22_user_statistics", ("users",), records.user_statistics, "SELECT count(*) AS total, count(*) FILTER (is_active) AS active, count(*) FILTER (role = 'ADMIN') AS admins, count(*) FILTER (role <> 'ADMIN') AS users, count(*) FILTER (failed_login_attempts >= 5) AS locked FROM users")
 _add("g21_model_statistics", ("models",), lambda x: x.agg(F.count("*").alias("total"), F.count_if("is_enabled").alias("enabled"), F.count_if(~F.col("is_enabled")).alias("disabled")), "SELECT count(*) AS total, count(*) FILTER (is_enabled) AS enabled, count(*) FILTER (NOT is_enabled) AS disabled FROM models")
