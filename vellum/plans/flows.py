@@ -41,6 +41,27 @@ w AS (
       FROM w JOIN e ON e.key = w.key AND e.rn = w.rn + 1)))
 SELECT key, event_id, outcome FROM w"""
 
+#: The same with the penalties: a ban leaves the state as it is, a violation counts, fades and sets the ban's end.
+_MOVED = ", ".join(f"CASE WHEN banned = '' AND t - {c}s >= {w} THEN t ELSE {c}s END AS {c}s, CASE WHEN banned = '' AND t - {c}s >= {w} THEN 0 ELSE {c}c END AS {c}c" for c, w in zip("mhd", limits.WINDOWS, strict=True))
+_MINUTES = "CASE " + " ".join(f"WHEN n >= {least} THEN {minutes}" for least, minutes in limits.PENALTIES) + " ELSE 0 END"
+ORACLE_SQL["r3_bans"] = f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS key, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+w AS (
+  SELECT key, rn, event_id, t AS ms, t AS hs, t AS ds, 1 AS mc, 1 AS hc, 1 AS dc, CAST(0 AS BIGINT) AS violations, 0.0::DOUBLE AS last, 0.0::DOUBLE AS until, 'allowed' AS outcome, CAST(0 AS BIGINT) AS retry_after FROM e WHERE rn = 1
+  UNION ALL
+  SELECT key, rn, event_id, ms, hs, ds, mc + ok, hc + ok, dc + ok, CASE WHEN hit THEN n ELSE violations END, CASE WHEN hit THEN t ELSE last END,
+         CASE WHEN NOT hit OR {_MINUTES} = 0 THEN until WHEN {_MINUTES} < 0 THEN -1 ELSE t + 60.0 * {_MINUTES} END, outcome,
+         CAST(trunc(CASE outcome WHEN 'temp_ban' THEN until - t WHEN 'minute' THEN ms + 60 - t WHEN 'hour' THEN hs + 3600 - t WHEN 'day' THEN ds + 86400 - t ELSE 0 END) AS BIGINT)
+  FROM (
+    SELECT *, outcome IN ('minute', 'hour', 'day') AS hit, CASE WHEN outcome = 'allowed' THEN 1 ELSE 0 END AS ok,
+           greatest(0, violations - greatest(0, CASE WHEN violations > 0 THEN CAST(floor((t - last) / 86400) AS BIGINT) ELSE 0 END - {limits.DECAY_AFTER_DAYS})) + 1 AS n
+    FROM (
+      SELECT *, CASE WHEN banned <> '' THEN banned WHEN mc >= {LOW[0]} THEN 'minute' WHEN hc >= {LOW[1]} THEN 'hour' WHEN dc >= {LOW[2]} THEN 'day' ELSE 'allowed' END AS outcome
+      FROM (
+        SELECT key, rn, event_id, t, banned, {_MOVED}, violations, last, until
+        FROM (SELECT e.*, ms, hs, ds, mc, hc, dc, violations, last, until, CASE WHEN until < 0 THEN 'permanent_ban' WHEN until > t THEN 'temp_ban' ELSE '' END AS banned FROM w JOIN e ON e.key = w.key AND e.rn = w.rn + 1)))))
+SELECT key, event_id, outcome, retry_after, violations FROM w"""
+
 
 def _letters(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source"))
