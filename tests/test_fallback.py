@@ -112,3 +112,15 @@ def test_quality(spark):
 def test_terms_are_bounded():
     with pytest.raises(ValueError):
         fallback.protection([f"t{i}" for i in range(fallback.MOST_TERMS + 1)])
+
+
+def test_catalogue(spark, sf):
+    from collections import Counter
+
+    from vellum.plans import fallback as letters_plan
+    from vellum.plans import parts
+
+    want = Counter(k for r in letters_plan.letters(spark, sf).collect() for k in passes(r.text)[1])
+    got = {r.kind: (r.marker, r.n) for r in parts.QUERIES["pi31_catalogue"](spark, sf).collect()}
+    assert set(got) == {p[0] for p in fallback.PASSES} and len(got) == 20
+    assert all(n == want[k] for k, (_, n) in got.items()) and got["birthdate"][0] == "[GEBURTSDATUM ENTFERNT]"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vellum.functions import answers, documents, guard, redaction, sequence, tables
+from vellum.functions import answers, documents, fallback, guard, redaction, sequence, tables
 from vellum.functions import privacy as removal
 from vellum.functions import terms as T
 from vellum.operators import costs, filters, programs, records
@@ -264,3 +264,18 @@ _add(
     flows._RAN + f"SELECT doc_id, 'COMPLETED' AS status, CASE WHEN stopped THEN 'gate' END AS termination_step, md5(CASE WHEN stopped THEN {_q(_MESSAGE)} ELSE trim(regexp_replace(t, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) END) AS output_md5 FROM c",
 )
 QUERIES["t53_cost_formula"], ORACLE_SQL["t53_cost_formula"] = relational.QUERIES.pop("t53_cost_formula"), relational.ORACLE_SQL.pop("t53_cost_formula")
+
+_documents("t8_confidences", lambda df: documents.classified(df).groupBy("document_class", F.round("confidence", 1).alias("confidence")).agg(F.count("*").alias("n")), f"SELECT document_class, round(confidence, 1) AS confidence, count(*) AS n FROM ({_T7}) GROUP BY 1, 2")
+_add("r2_outcomes", lambda spark, d: flows.QUERIES["r3_bans"](spark, d).groupBy("outcome").agg(F.count("*").alias("n"), F.max("retry_after").alias("most")), f"SELECT outcome, count(*) AS n, max(retry_after) AS most FROM ({flows.ORACLE_SQL['r3_bans']}) GROUP BY 1")
+_add("u2_updates", lambda spark, d: textual.QUERIES["u1_sync_plan"](spark, d).where("action = 'update'").select("name", "replaces"), f"SELECT name, replaces FROM ({textual.ORACLE_SQL['u1_sync_plan']}) WHERE action = 'update'")
+_add("pi18_dictionary", lambda spark, d: term_plans._dictionary(spark, d), f"WITH {term_plans._TERMS} SELECT term FROM terms")
+#: Every kind that the model-free removal knows, its marker, and in how many letters it is found.
+_MARKERS = [(k, next(m for kind, _, _, m, _ in fallback.PASSES if kind == k)) for k in dict.fromkeys(p[0] for p in fallback.PASSES)]
+
+
+def _catalogue(spark, d):
+    found = fallback.removed(letters(spark, d), "text").select(F.explode(F.split("types", ",")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    return spark.createDataFrame(_MARKERS, "kind string, marker string").join(found, "kind", "left").select("kind", "marker", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+QUERIES["pi31_catalogue"] = _catalogue

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.functions import scans
+from vellum.functions.tables import column_starts
 from vellum.operators import layout
 from vellum.plans.fallback import _LETTERS, letters
 from vellum.plans.textual import _q
@@ -145,3 +146,25 @@ QUERIES["c5_column_clusters"] = lambda spark, d: layout._pages(boxes(spark, d),
 _FEW = "coalesce(text, '')"
 QUERIES["c17_scan_confidence"] = lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.expr(_FEW).alias("text")).select("doc_id", scans.scan_confidence(F.col("text"), F.contains("text", F.lit("|")).cast("int"), F.size(F.split("text", "\n"))).alias("confidence"))
 ORACLE_SQL["c17_scan_confidence"] = "SELECT doc_id, round(least(0.5::DOUBLE + CASE WHEN contains(t, '|') THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN length(t) > 500 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN len(string_split(t, chr(10))) >= 3 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN " + " + ".join(f"CAST(contains(lower(t), {_q(n.lower())}) AS INT)" for n in scans.NAMES) + " > 5 THEN 0.2::DOUBLE ELSE 0 END, 0.95), 2) AS confidence FROM (SELECT doc_id, " + _FEW + " AS t FROM documents)"
+
+
+def _one_way(name: str, way: str) -> None:
+    """One way of grouping rows by itself."""
+
+    def run(spark, d):
+        rows = F.transform("boxes", lambda b: b.row)
+        return layout.grouped(boxes(spark, d), ["doc_id", "page"], way).select("doc_id", "page", F.array_max(rows).cast("long").alias("n_rows"), F.md5(F.array_join(rows, ",")).alias("rows_md5"))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = "SELECT doc_id, page, n_rows, rows_md5 FROM (" + ORACLE_SQL["w4_row_groups"] + f") WHERE way = '{way}'"
+
+
+_one_way("c10_semantic_lines", "lines")
+_one_way("c11_row_centres", "centres")
+QUERIES["w5_column_starts"] = lambda spark, d: layout._pages(boxes(spark, d), ["doc_id", "page"], ["idx"]).select("doc_id", "page", column_starts(F.transform("boxes", lambda b: b["left"].cast("int"))).alias("s")).select("doc_id", "page", F.size("s").cast("long").alias("n"), F.element_at("s", -1).alias("last"))
+ORACLE_SQL["w5_column_starts"] = "WITH RECURSIVE boxes AS (SELECT doc_id, " + _SQL_BOXES + f""" FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM (SELECT doc_id, regexp_extract_all(text, {_q(scans.WORD)}) AS ws FROM documents))),
+placed AS (SELECT doc_id, page, CAST("left" AS INT) AS x, row_number() OVER (PARTITION BY doc_id, page ORDER BY "left", idx) AS k FROM boxes),
+folded AS (
+    SELECT doc_id, page, k, x AS start, CAST(1 AS BIGINT) AS n FROM placed WHERE k = 1
+    UNION ALL SELECT p.doc_id, p.page, p.k, CASE WHEN x - start > 30 THEN x ELSE start END, CASE WHEN x - start > 30 THEN n + 1 ELSE n END FROM folded f JOIN placed p ON p.doc_id = f.doc_id AND p.page = f.page AND p.k = f.k + 1)
+SELECT doc_id, page, max(n) AS n, max(start) AS last FROM folded GROUP BY doc_id, page"""
