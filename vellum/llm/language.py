@@ -67,7 +67,7 @@ class Lattice:
     """All pieces of a vocabulary in batches of words of one length."""
 
     def __init__(self, pieces: list[str]) -> None:
-        hashes = np.array([int(self._hashes(np.array([[ord(c) for c in p]], np.uint32), len(p))[0, 0]) for p in pieces], dtype=_U)
+        hashes = np.array([int([*self._hashes(np.array([[ord(c) for c in p]], np.uint32))][-1][0, 0]) for p in pieces], dtype=_U)
         order = np.argsort(hashes)
         self.hashes, self.numbers = hashes[order], order
         self.maybe = np.zeros(1 << _BITS, dtype=bool)
@@ -75,22 +75,21 @@ class Lattice:
         self.n, self.longest = len(pieces), max(map(len, pieces), default=1)
 
     @staticmethod
-    def _hashes(codes: np.ndarray, width: int) -> np.ndarray:
-        """The hashes of all substrings of a width, by row and start."""
-        n = codes.shape[1] - width + 1
-        h = np.full((codes.shape[0], n), width, dtype=_U)
-        for k in range(width):
-            h = (h ^ codes[:, k : k + n].astype(_U)) * _B
+    def _hashes(codes: np.ndarray) -> Iterator[np.ndarray]:
+        """For each width from 1 the hashes of all substrings of that width, by row and start; each width goes on from the one before."""
+        h = np.zeros(codes.shape, dtype=_U)
+        for width in range(1, codes.shape[1] + 1):
+            n = codes.shape[1] - width + 1
+            h = (h[:, :n] ^ codes[:, width - 1 : width - 1 + n].astype(_U)) * _B
             h ^= h >> _U(29)
-        return h * _B
+            yield (h ^ _U(width)) * _B
 
     def arcs(self, words: list[str]) -> list[np.ndarray]:
         """For each width from 1 the piece numbers by word and start; -1 where there is none, and the
         number after the last for a single character outside the vocabulary."""
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1)
         out = []
-        for width in range(1, min(self.longest, codes.shape[1]) + 1):
-            h = self._hashes(codes, width)
+        for width, h in zip(range(1, min(self.longest, codes.shape[1]) + 1), self._hashes(codes), strict=False):
             found = np.full(h.shape, self.n if width == 1 else -1, dtype=np.int64)
             hit = np.nonzero(self.maybe[h >> _U(64 - _BITS)])
             at = np.minimum(np.searchsorted(self.hashes, h[hit]), self.n - 1)
@@ -122,11 +121,16 @@ def forward(arcs: list[np.ndarray], p: np.ndarray) -> tuple[list[np.ndarray], np
     for j in range(1, length + 1):
         a = np.zeros_like(alphas[0])
         for width in range(1, min(len(arcs), j) + 1):
-            part = alphas[j - width] * p[arcs[width - 1][:, j - width]]
+            arc = arcs[width - 1][:, j - width]
+            # few words have a piece of this width here
+            used = np.flatnonzero(arc >= 0)
+            if not len(used):
+                continue
+            part = alphas[j - width][used] * p[arc[used]]
             # alphas before j are relative to the scale at their own place
             for k in range(j - width, j - 1):
-                part /= scales[k]
-            a += part
+                part /= scales[k][used]
+            a[used] += part
         scales.append(np.maximum(a, 1e-300))
         log += np.log(scales[-1])
         alphas.append(a / scales[-1])
@@ -136,18 +140,31 @@ def forward(arcs: list[np.ndarray], p: np.ndarray) -> tuple[list[np.ndarray], np
 def expected(arcs: list[np.ndarray], p: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Expected piece counts of words with the given counts per language (forward-backward)."""
     n, length = arcs[0].shape
+    # the words that have a piece of a width at a place, and its probabilities
+    at = [[np.flatnonzero(arc[:, i] >= 0) for i in range(arc.shape[1])] for arc in arcs]
     plain = [np.ones((n, p.shape[1]))]
     for j in range(1, length + 1):
-        plain.append(sum(plain[j - w] * p[arcs[w - 1][:, j - w]] for w in range(1, min(len(arcs), j) + 1)))
+        now = np.zeros_like(plain[0])
+        for w in range(1, min(len(arcs), j) + 1):
+            used = at[w - 1][j - w]
+            if len(used):
+                now[used] += plain[j - w][used] * p[arcs[w - 1][used, j - w]]
+        plain.append(now)
     back = [np.ones((n, p.shape[1]))]
     for i in range(length - 1, -1, -1):
-        back.append(sum(back[length - i - w] * p[arcs[w - 1][:, i]] for w in range(1, min(len(arcs), length - i) + 1)))
+        now = np.zeros_like(back[0])
+        for w in range(1, min(len(arcs), length - i) + 1):
+            used = at[w - 1][i]
+            if len(used):
+                now[used] += back[length - i - w][used] * p[arcs[w - 1][used, i]]
+        back.append(now)
     total = np.zeros_like(p)
     weight = counts / np.maximum(plain[length], 1e-300)
     for w in range(1, len(arcs) + 1):
         for i in range(length - w + 1):
-            arc = arcs[w - 1][:, i]
-            used = np.flatnonzero(arc >= 0)
+            arc, used = arcs[w - 1][:, i], at[w - 1][i]
+            if not len(used):
+                continue
             share = plain[i][used] * p[arc[used]] * back[length - i - w][used] * weight[used]
             for c in range(p.shape[1]):
                 total[:, c] += np.bincount(arc[used], weights=share[:, c], minlength=len(p))
