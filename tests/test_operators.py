@@ -170,3 +170,22 @@ def test_step_routing(spark):
     assert [(x.step, x.status) for x in got[1].log] == [("gate", "COMPLETED"), ("up", "COMPLETED"), ("more", "COMPLETED"), ("kind", "COMPLETED"), ("aside", "COMPLETED"), ("needs", "SKIPPED"), ("last", "COMPLETED")]
     for i in (2, 3):
         assert got[i].status == "TERMINATED" and got[i].stopped_at == "gate" and len(got[i].log) == 1
+
+
+def test_first_provider_ties_and_missing_parts(spark, tmp_path):
+    """Equal ids count in the table's order, and a log without a part has the empty number's provider, as in SQL."""
+    import duckdb
+
+    from vellum.plans import relational
+
+    n = 3000
+    con = duckdb.connect()
+    # every id many times; parts of odd keys are missing
+    con.execute(f"CREATE TABLE lineitem AS SELECT CAST((i % 5) * 20 + 1 AS BIGINT) AS l_orderkey, CAST(1 AS INT) AS l_linenumber, CAST((i * 7919 + 13) % 40 AS BIGINT) AS l_partkey, 1.0::DOUBLE AS l_quantity, 'A' AS l_returnflag, 'F' AS l_linestatus, TIMESTAMP '1995-01-01' AS l_shipdate FROM range({n}) t(i) ORDER BY i")
+    con.execute("CREATE TABLE part AS SELECT CAST(2 * i AS BIGINT) AS p_partkey, 'Brand#' || (i % 3) AS p_brand, CAST(i AS INT) AS p_size FROM range(20) t(i)")
+    for t in ("lineitem", "part"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    con.execute("SET threads = 1")
+    want = sorted(con.execute(relational.ORACLE_SQL["g2_first_provider"]).fetchall())
+    got = sorted((r.model, r.provider) for r in relational.QUERIES["g2_first_provider"](spark, str(tmp_path)).collect())
+    assert got == want and ("Unknown", "provider_") in got
