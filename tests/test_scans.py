@@ -162,3 +162,25 @@ def test_markdown_tables(boxes):
     want = {k: markdown([b for b in plain if (b["doc_id"], b["page"]) == k]) for k in keys}
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
     assert "| Parameter | Ergebnis |" in got[(10**6, 0)] and got[(10**6, 2)] is None
+
+
+def test_pages_travel_as_arrays(spark, tmp_path):
+    """Pages made of a document's words equal pages made of boxes; no word is a row."""
+    rows = [(1, " ".join("x" * (1 + i * i % 13) for i in range(601))), (2, None), (3, " \n"), (4, "ä_1 b-c"), (5, " ".join(["wort"] * 240)), (6, "ein " * 241)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    boxes = plans.boxes(spark, str(tmp_path))
+    for way, name in (("lines", "c10_semantic_lines"), ("centres", "c11_row_centres")):
+        plain = layout.grouped(boxes, ["doc_id", "page"], way).select("doc_id", "page", F.transform("boxes", lambda b: b.row).alias("rows"))
+        want = plain.select("doc_id", "page", F.array_max("rows").cast("long").alias("n_rows"), F.md5(F.array_join("rows", ",")).alias("rows_md5"))
+        found = plans.QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() == 7
+        assert "posexplode(regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.doc_id, r.page) for r in plans.QUERIES["c12_markdown"](spark, str(tmp_path)).collect()} == {(r.doc_id, r.page) for r in boxes.where("conf >= 20").collect()}
+
+
+def test_column_clusters_over_many_pages(spark):
+    """More clusters than there is room for at first, empty pages, pages of unlike length."""
+    pages = [[i * 50 % 1450 for i in range(n)] for n in (0, 9, 87, 200, 1)] + [[5, 5, 5, 100, 100, 100, 300, 300, 300, 319]]
+    df = spark.createDataFrame([(p,) for p in pages], "x array<int>")
+    got = [r.t for r in df.select(scans.has_columns(F.col("x")).alias("t")).collect()]
+    assert got == [False, False, True, True, False, True]

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.folds import clusters
+
 # Corrections in order, all without regard to case.
 CORRECTIONS = [
     (r"\b0(?=[a-zäöüß])", "O"), (r"(?<=[a-zäöüß])0\b", "o"), (r"\b1(?=[a-zäöüß]{2,})", "I"), (r"(?<=[a-zäöüß])1(?=[a-zäöüß])", "i"), (r"(?<=[a-zäöüß])1\b", "l"), (r"\bI(?=\d)", "1"), (r"(?<=\d)O(?=\d)", "0"), (r"(?<=\d)o(?=\d)", "0"),
@@ -153,14 +155,7 @@ def pipe_table(text: Column) -> Column:
 
 def has_columns(lefts: Column, tolerance: int = 20, least: int = 10, columns: int = 3, members: int = 3) -> Column:
     """Whether words' left edges, in order, fall into three clusters of three: an edge joins the first cluster whose first member is nearer than the tolerance."""
-    start = F.struct(F.expr("cast(array() as array<int>)").alias("first"), F.expr("cast(array() as array<int>)").alias("n"))
-
-    def step(acc, x):
-        at = F.coalesce(F.array_position(F.transform(acc.first, lambda f: F.abs(f - x) < tolerance), True), F.lit(0))
-        counted = F.transform(acc.n, lambda n, i: F.when(i + 1 == at, n + 1).otherwise(n))
-        return F.struct(F.when(at == 0, F.array_append(acc.first, x)).otherwise(acc.first).alias("first"), F.when(at == 0, F.array_append(acc.n, F.lit(1))).otherwise(counted).alias("n"))
-
-    return (F.size(lefts) >= least) & (F.size(F.filter(F.aggregate(lefts, start, step, lambda acc: acc.n), lambda n: n >= members)) >= columns)
+    return (F.size(lefts) >= least) & (clusters(lefts, tolerance, members) >= columns)
 
 
 def _canonical(name: Column) -> Column:

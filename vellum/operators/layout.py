@@ -1,7 +1,7 @@
 """Rows, columns and Markdown tables from the boxes of words on a page.
 
 Boxes(key..., idx, word, left, top, height, conf): a page's boxes are few (a sheet of paper), so they meet per page in one
-array and are folded over; pages are spread by their key. Three ways to group rows, which differ in the order of boxes, in what a box
+array, in which they may also be given, and many pages are folded over together; pages are spread by their key. Three ways to group rows, which differ in the order of boxes, in what a box
 is compared with, and by how much it may differ: `lines` (top of a row's first box, 20), `rows` (the same, half the
 height of the page's first box), `centres` (the running mean of the row's centres, half the page's mean height).
 
@@ -11,47 +11,74 @@ table (null); equal boxes keep their order by idx.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions import folds
 from vellum.functions.scans import UNITS, is_header
-from vellum.functions.tables import column_starts, markdown_row
+from vellum.functions.tables import markdown_row
 
 LINE_GAP = 20
 COLUMN_GAP = 30
 LEAST_CONFIDENCE = 20
 
 
-def _pages(boxes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    fields = [*order, *[c for c in ("idx", "word", "left", "top", "height") if c not in order]]
-    return boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("boxes"))
+#: What boxes are ordered by, in turn.
+ORDERS = {"lines": ("top", "left", "idx"), "rows": ("top", "idx"), "centres": ("idx",)}
+
+
+def pages(boxes: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """keys, boxes: the boxes of each page in one array, by idx."""
+    return boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "word", "left", "top", "height", *more))).alias("boxes"))
+
+
+def _numbered(way: str, boxes: dict[str, np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the boxes in the way's order, and their rows."""
+    at = folds.ordered(lengths, *[boxes[c] for c in ORDERS[way]])
+    top, height = boxes["top"][at], boxes["height"][at]
+    some, firsts = lengths > 0, np.cumsum(lengths) - lengths
+    limit = np.full(len(lengths), float(LINE_GAP))
+    if way == "rows":
+        limit[some] = height[firsts[some]] * 0.5
+    elif way == "centres":
+        limit[some] = np.add.reduceat(height, firsts[some]) / lengths[some] * 0.5 if some.any() else 0.0
+    place = top + height / 2 if way == "centres" else top
+    return at, folds.row_numbers(place, lengths, limit, way == "centres")
+
+
+PARTS = ("idx", "left", "top", "height")
+
+
+def _read(boxes: pa.StructArray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    lists = {c: folds.flat(boxes.field(c)) for c in PARTS}
+    return {c: x for c, (x, _) in lists.items()}, lists["idx"][1]
+
+
+def parts(*more: str, boxes: str = "boxes") -> Column:
+    """A page's array of boxes as a struct of arrays."""
+    return F.struct(*[F.col(f"{boxes}.{c}").alias(c) for c in (*PARTS, *more)])
+
+
+def numbered(way: str, boxes: Column) -> Column:
+    """struct<at array<int>, rows array<int>> of a page's boxes, a struct of arrays: their places in the way's order, from 0, and their rows, from 1."""
+
+    @F.arrow_udf("struct<at: array<int>, rows: array<int>>")
+    def run(page: pa.Array) -> pa.Array:
+        found, lengths = _read(page)
+        at, rows = _numbered(way, found, lengths)
+        firsts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return pa.StructArray.from_arrays([folds.nested(at - firsts, lengths), folds.nested(rows, lengths)], ["at", "rows"])
+
+    return run(boxes)
 
 
 def grouped(boxes: DataFrame, keys: list[str], way: str) -> DataFrame:
     """keys, boxes (in the way's order) with `row`, from 1."""
-    order = {"lines": ["top", "left", "idx"], "rows": ["top", "idx"], "centres": ["idx"]}[way]
-    pages = _pages(boxes, keys, order)
-    if way == "lines":
-        limit = F.lit(float(LINE_GAP))
-    elif way == "rows":
-        limit = F.get("boxes", F.lit(0)).height * 0.5
-    else:
-        limit = F.aggregate("boxes", F.lit(0.0), lambda a, b: a + b.height) / F.size("boxes") * 0.5
-    pages = pages.withColumn("_limit", limit.cast("double"))
-    place = (lambda b: b.top + b.height / 2) if way == "centres" else (lambda b: b.top.cast("double"))
-    start = F.struct(F.expr("cast(array() as array<int>)").alias("rows"), F.lit(0).alias("row"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
-
-    def step(acc, b):
-        same = (acc.n > 0) & (F.abs(place(b) - acc["sum"] / F.greatest(acc.n, F.lit(1))) <= F.col("_limit"))
-        row = F.when(same, acc.row).otherwise(acc.row + 1)
-        moved = (acc["sum"] + place(b), acc.n + 1) if way == "centres" else (acc["sum"], acc.n)
-        return F.struct(
-            F.array_append(acc.rows, row).alias("rows"), row.alias("row"),
-            F.when(same, moved[0]).otherwise(place(b)).alias("sum"), F.when(same, moved[1]).otherwise(F.lit(1)).alias("n"),
-        )
-
-    rows = F.aggregate("boxes", start, step, lambda acc: acc.rows)
-    return pages.withColumn("boxes", F.zip_with("boxes", rows, lambda b, r: b.withField("row", r))).drop("_limit")
+    found = pages(boxes, keys).withColumn("_n", numbered(way, parts()))
+    return found.withColumn("boxes", F.zip_with("_n.at", "_n.rows", lambda i, r: F.get("boxes", i).withField("row", r))).drop("_n")
 
 
 def _inferred(table: Column, n: Column) -> Column:
@@ -68,18 +95,57 @@ def _inferred(table: Column, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), name)
 
 
+def _table(boxes: Column) -> Column:
+    """struct<n_rows, n_columns, table array<array<string>>>: a page's cells by rows and columns, rows of two filled cells or more."""
+
+    @F.arrow_udf("struct<n_rows: int, n_columns: int, table: array<array<string>>>")
+    def run(page: pa.Array) -> pa.Array:
+        found, lengths = _read(page)
+        words = page.field("word").flatten()
+        # boxes without a word or under the least confidence are left out
+        good = (folds.flat(page.field("conf"))[0] >= LEAST_CONFIDENCE) & pc.fill_null(pc.not_equal(pc.utf8_trim(words, " "), ""), False).to_numpy(zero_copy_only=False)
+        lengths = np.bincount(folds.owners(lengths)[good], minlength=len(lengths))
+        found, words = {c: x[good] for c, x in found.items()}, words.filter(pa.array(good))
+        owner, n = folds.owners(lengths), len(lengths)
+        at, rows = _numbered("rows", found, lengths)
+        row = np.empty(len(at), np.int64)
+        row[at] = rows
+        # a word's column is how many starts there are up to it
+        by_left = folds.ordered(lengths, found["left"])
+        opens = folds.opened(found["left"][by_left], lengths, COLUMN_GAP)
+        before = np.concatenate(([0], np.cumsum(opens)))
+        column = np.empty(len(at), np.int64)
+        column[by_left] = before[1:] - before[np.cumsum(lengths) - lengths][owner]
+        n_rows, n_columns = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        np.maximum.at(n_rows, owner, row)
+        np.maximum.at(n_columns, owner, column)
+        order = folds.ordered(lengths, row.astype(float), column.astype(float), found["left"], found["top"], found["idx"])
+        row, column, text = row[order], column[order], words.take(pa.array(order)).to_pylist()
+        cell = np.flatnonzero(np.concatenate(([True], (np.diff(owner) != 0) | (np.diff(row) != 0) | (np.diff(column) != 0)))[: len(order)])
+        bounds = [*cell.tolist(), len(order)]
+        tables: list[list[list[str]]] = [[] for _ in range(n)]
+        filled: dict[int, str] = {}
+        places = list(zip(owner[cell].tolist(), row[cell].tolist(), column[cell].tolist(), strict=True))
+        for i, (page, number, c) in enumerate(places):
+            filled[c] = " ".join(text[bounds[i] : bounds[i + 1]])
+            if i + 1 == len(places) or places[i + 1][:2] != (page, number):
+                if len(filled) > 1:
+                    tables[page].append([filled.get(k, "") for k in range(1, int(n_columns[page]) + 1)])
+                filled = {}
+        columns = [pa.array(n_rows, pa.int32()), pa.array(n_columns, pa.int32()), pa.array(tables, pa.list_(pa.list_(pa.string())))]
+        return pa.StructArray.from_arrays(columns, ["n_rows", "n_columns", "table"])
+
+    return run(boxes)
+
+
 def markdown_tables(boxes: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n_rows, n_columns, markdown of every page: boxes by rows, cells by the columns' starts, rows of two filled cells or more."""
-    good = boxes.where((F.col("conf") >= LEAST_CONFIDENCE) & (F.trim("word") != ""))
-    pages = grouped(good, keys, "rows").withColumn("starts", column_starts(F.transform("boxes", lambda b: b.left.cast("int")), COLUMN_GAP))
-    # once dealt by page, all groupings below stay where the page is
-    pages = pages.repartition(*[F.col(k) for k in keys])
-    words = pages.select(*keys, "starts", F.explode("boxes").alias("b")).select(*keys, F.size("starts").alias("n_columns"), F.size(F.filter("starts", lambda s: s <= F.col("b.left"))).alias("column"), "b.*")
-    cells = words.groupBy(*keys, "n_columns", "row", "column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "top", "idx", "word"))), lambda x: x.word), " ").alias("cell"))
-    rows = cells.groupBy(*keys, "n_columns", "row").agg(F.map_from_entries(F.collect_list(F.struct("column", "cell"))).alias("cells"))
-    rows = rows.withColumn("filled", F.when(F.size("cells") >= 2, F.transform(F.sequence(F.lit(1), F.col("n_columns")), lambda c: F.coalesce(F.try_element_at("cells", c), F.lit("")))))
-    pages = rows.groupBy(*keys, "n_columns").agg(F.count("*").cast("int").alias("n_rows"), F.array_sort(F.collect_list(F.when(F.col("filled").isNotNull(), F.struct("row", "filled")))).alias("table"))
-    pages = pages.withColumn("table", F.transform("table", lambda x: x.filled))
+    return markdown_pages(pages(boxes, keys, "conf"), keys, parts("word", "conf"))
+
+
+def markdown_pages(pages: DataFrame, keys: list[str], boxes: Column) -> DataFrame:
+    """The same from pages, whose boxes are a struct of arrays."""
+    pages = pages.select(*keys, _table(boxes).alias("_t")).select(*keys, "_t.*").where("n_rows > 0")
     first = F.get("table", F.lit(0))
     headers = F.when(is_header(first), first).otherwise(_inferred(F.col("table"), F.col("n_columns")))
     body = F.when(is_header(first), F.slice("table", F.lit(2), F.size("table"))).otherwise(F.col("table"))
