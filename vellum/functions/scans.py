@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.folds import clusters
+from vellum.functions.folds import bound, clusters
 
 # Corrections in order, all without regard to case.
 CORRECTIONS = [
@@ -115,18 +115,19 @@ def is_header(cells: Column) -> Column:
 def united(passes: list[Column]) -> Column:
     """The lines of all passes, three characters or more, once each and in order; a parameter's line takes the line behind it along
     if that holds a number and was not taken itself."""
-    lines = F.array_sort(F.array_distinct(F.concat(*[stripped_lines(F.coalesce(p, F.lit("")), 3) for p in passes])))
-    low = [n.lower() for n in NAMES]
-    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), _holds(F.lower(x), low).alias("named"), x.rlike("[0-9]").alias("number")))
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(None).cast("string").alias("held"))
-
-    def step(acc, x):
-        """`held` is a parameter's line that still waits for the one behind it."""
-        paired, named, line = acc.held.isNotNull() & x["number"], x["named"], x["line"]
-        out = F.when(acc.held.isNull(), acc.out).otherwise(F.array_append(acc.out, F.when(paired, F.concat(acc.held, F.lit(": "), line)).otherwise(acc.held)))
-        return F.struct(F.when(~paired & ~named, F.array_append(out, line)).otherwise(out).alias("out"), F.when(~paired & named, line).alias("held"))
-
-    return F.aggregate(marked, start, step, lambda acc: F.array_join(F.when(acc.held.isNull(), acc.out).otherwise(F.array_append(acc.out, acc.held)), "\n"))
+    lines = F.sort_array(F.array_distinct(F.concat(*[stripped_lines(F.coalesce(p, F.lit("")), 3) for p in passes])))
+    named = "|".join(n.lower() for n in NAMES)
+
+    def joined(lines):
+        pairs = F.zip_with(lines, F.slice(lines, F.lit(2), F.size(lines)), lambda x, behind: F.struct(x.alias("line"), behind.alias("behind")))
+        # few lines hold a number, so only those before one are searched for names
+        may = F.transform(pairs, lambda p: F.when(F.coalesce(p["behind"].rlike("[0-9]"), F.lit(False)), F.when(F.lower(p["line"]).rlike(named), "1").otherwise("0")).otherwise("0"))
+        # from the left, a line that may pair takes the one behind it, whatever that may
+        marks = F.split(F.regexp_replace(F.array_join(may, ""), "1[01]", "+-"), "")
+        out = F.zip_with(pairs, marks, lambda p, m: F.when(m == "+", F.concat(p["line"], F.lit(": "), p["behind"])).when(m != "-", p["line"]))
+        return F.array_join(F.filter(out, lambda x: x.isNotNull()), "\n")
+
+    return bound(lines, lambda x: F.when(F.size(x) > 0, joined(x)).otherwise(""))
 
 
 # Spellings of terms and units, names of parameters with the words for them, words of a diagnosis.
