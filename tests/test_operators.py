@@ -189,3 +189,32 @@ def test_first_provider_ties_and_missing_parts(spark, tmp_path):
     want = sorted(con.execute(relational.ORACLE_SQL["g2_first_provider"]).fetchall())
     got = sorted((r.model, r.provider) for r in relational.QUERIES["g2_first_provider"](spark, str(tmp_path)).collect())
     assert got == want and ("Unknown", "provider_") in got
+
+
+def test_quick_contacts_find_the_same(spark):
+    """The expressions in use match what the fixed ones match, beside and behind other matches too."""
+    import random
+
+    rng = random.Random(5)
+    made = ["".join(rng.choice(["a", "b.", "@", "@c.de", ".", "_x", "%", " ", "+49 30 12345", "-1", "ä", "10.0.0.1"]) for _ in range(rng.randrange(25))) for _ in range(600)]
+    rows = [(i, t) for i, t in enumerate([*made, "a@b.c_d@e.f", "x@y.z.@q.r", "@a@b.c", "a" * 50_000, None])]
+    df = spark.createDataFrame(rows, "id int, text string")
+    plain, counts = F.coalesce("text", F.lit("")), {}
+    for kind, pattern, placeholder in redaction.CONTACTS:
+        counts[f"n_{kind}"], plain = F.regexp_count(plain, F.lit(pattern)), F.regexp_replace(plain, pattern, placeholder)
+    small = df.where("length(text) < 1000 or text is null")
+    want = {r.id: r for r in small.select("id", plain.alias("masked"), *[c.alias(n) for n, c in counts.items()]).collect()}
+    for r in redaction.with_counts(df).select("*", redaction.masked(F.coalesce("text", F.lit(""))).alias("again")).collect():
+        assert r.masked == r.again
+        if r.id in want:
+            assert (r.masked, *[r[n] for n in counts]) == (want[r.id].masked, *[want[r.id][n] for n in counts])
+
+
+def test_lowered_once(spark):
+    """A text is put in lower case once for all its terms."""
+    from vellum.functions import privacy
+
+    df = spark.createDataFrame([("Hämoglobin und Labor",), ("",), (None,)], "t string")
+    for column in (documents.table_score(F.col("t")), privacy.preserved(F.col("t"), F.upper("t"))):
+        assert df.select(column.alias("x"))._jdf.queryExecution().analyzed().toString().count("lower(") <= 2
+    assert [r.x for r in df.select(privacy.preserved(F.col("t"), F.lit("labor")).alias("x")).collect()] == [False, True, True]
