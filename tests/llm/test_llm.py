@@ -561,6 +561,21 @@ def test_near_duplicate_stage_is_exact_jaccard(spark, rows, block):
         assert got == sorted(set(root.values())) and len(simhash.deduplicate(df).collect()) != len(got)
 
 
+def test_near_duplicate_search_meets_all_within_its_limit(spark):
+    """Fingerprints share a key wherever the differing symbols stand, spread over all partitions included, whatever the plan."""
+    rng = np.random.default_rng(3)
+    one = (np.arange(similar.SYMBOLS) << 16) | rng.integers(0, 1 << 16, similar.SYMBOLS)
+    samples = [rng.integers(0, 1 << 16, (60, similar.SYMBOLS)), rng.integers(0, 2, (60, similar.SYMBOLS))]
+    for found in (similar.plan(samples[0], 100), similar.plan(samples[1], 1_000_000), similar.plan(samples[0][:0], 0)):
+        assert sorted(j for part in found.parts for j in part) == list(range(similar.SYMBOLS)) and sum(found.thresholds) == similar.LIMIT - len(found.parts) + 1
+        dealt = [p[i] for i in range(max(map(len, found.parts))) for p in found.parts if i < len(p)]
+        spread = [[*dealt[i:], *dealt[:i]][: similar.LIMIT] for i in range(0, 60, 7)] + [rng.permutation(similar.SYMBOLS)[: similar.LIMIT].tolist() for _ in range(200)]
+        others = [[int(x) ^ (1 if j in gone else 0) for j, x in enumerate(one)] for gone in map(set, spread)]
+        df = spark.createDataFrame([(i, one.tolist(), o) for i, o in enumerate(others)] + [(-1, [], [])], "i long, a array<int>, b array<int>")
+        met = df.select("i", F.arrays_overlap(similar.keys(F.col("a"), found), similar.keys(F.col("b"), found)).alias("met")).collect()
+        assert all(r.met for r in met if r.i >= 0) and not any(r.met for r in met if r.i < 0)
+
+
 # pages without article or main
 def test_densities_are_the_formula(spark, sf):
     """Composite density and sums by recursion over the tree, on real pages."""
