@@ -124,3 +124,22 @@ def test_catalogue(spark, sf):
     got = {r.kind: (r.marker, r.n) for r in parts.QUERIES["pi31_catalogue"](spark, sf).collect()}
     assert set(got) == {p[0] for p in fallback.PASSES} and len(got) == 20
     assert all(n == want[k] for k, (_, n) in got.items()) and got["birthdate"][0] == "[GEBURTSDATUM ENTFERNT]"
+
+
+def test_quick_passes_find_the_same(spark):
+    """Letters that match without case, streets, words side by side: gates and quick expressions change no match."""
+    odd = ["Patıent: Anna", "Haupt\u017ftraße 12a Hauptstr. 5 Hauptweg 3b-Ringweg  7", "éHauptstraße 5 x_Hauptstraße 5 Ringß 5 Aweg\u00a012 Domplatz 12-14b Etage 3", "Fall: X12 Akte-Nr. 7/8 kran\u212aenakte: 12 GESCHLECHT: m Telefax: 0211 99 Handy 0171 234", "Reisepass-Nr: C12345678 SV-Nummer: 12 345678 A 123 St.-Nr. 12 345 678 901",
+           "vitamın D3 VİTAMIN B12 25-OH I50.1 5-123.4 Metformin 500 mg ck-mb ntprobnp NT-proBNP \u017fpO2 xCRP CRP. CRP_ _CRP äCRP"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*odd, " ".join(odd)])], "id long, text string")
+    for kind, flags, pattern, _, literals in fallback.PASSES:
+        plain, quick = fallback.expression_of(flags, pattern), fallback.expression_of(flags, fallback.quick(kind, pattern))
+        for r in rows.select("text", F.regexp_extract_all("text", F.lit(plain), F.lit(0)).alias("a"), F.regexp_extract_all("text", F.lit(quick), F.lit(0)).alias("b")).collect():
+            assert r.a == r.b, (kind, r)
+    forked, fallback.FORK = fallback.protection(), 1000
+    try:
+        plain = fallback.protection().replace("(?<![A-Za-z0-9_])", "")
+    finally:
+        fallback.FORK = 5
+    for r in rows.select(F.regexp_extract_all("text", F.lit(plain), F.lit(0)).alias("a"), F.regexp_extract_all("text", F.lit(forked), F.lit(0)).alias("b")).collect():
+        assert r.a == r.b
+    assert fallback.removed(rows, "text").where("id = 0").first().types == "patient_name"
