@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,15 @@ def test_query_against_sql(spark):
     want = con.execute(phrases.SQL)
     names = [c[0] for c in want.description]
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
+
+
+def test_counts_leave_a_task_in_bounded_batches(monkeypatch):
+    """Keys are summed over the rows of a task, with the first row that has them, and given back a few at a time."""
+    texts = [b"a b c d", b"c d e f g", b"a h i"]
+    batch = pa.Table.from_batches([phrases._row(k, "de", [t]) for k, t in enumerate(texts)]).combine_chunks().to_batches()[0]
+    monkeypatch.setattr(phrases, "OUT_ROWS", 4)
+    parts = list(phrases._keys([])(iter([batch])))
+    assert [p.num_rows for p in parts] == [4, 4, 1]
+    got = {r["key"]: (r["row"], r["n"]) for p in parts for r in p.to_pylist()}
+    key = lambda w: int(phrases._bits("de", [phrases.inverted([w])[0]], 64).view("int64")[0])
+    assert {w: got[key(w)] for w in (b"a", b"c", b"e", b"i")} == {b"a": (0, 2), b"c": (0, 2), b"e": (1, 1), b"i": (2, 1)} and len(got) == 9

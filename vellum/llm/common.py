@@ -92,6 +92,13 @@ def default_parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+def give_back() -> None:
+    """What Arrow and the allocator keep for reuse goes back: the worker lives on, beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices batches so that a slice holds about `limit` bytes of the column, one row at least."""
     for batch in batches:
@@ -105,7 +112,4 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             stop = max(int(np.searchsorted(ends, base + limit, side="right")), start + 1)
             yield batch.slice(start, stop - start)
             start = stop
-    # the worker lives on, beside the next stage's: what Arrow and the allocator keep for reuse goes back
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    give_back()

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import bound_batches, chunks, materialize, new_path, table
+from vellum.llm.common import bound_batches, chunks, give_back, materialize, new_path, table
 from vellum.llm.fingerprints import _BYTES, _mixed, _powers
 
 LEAST = 30
@@ -49,6 +49,8 @@ FILTER_BITS = 26
 SALTS = 64
 #: Keys that a task holds to sum them.
 HELD_KEYS = 2_000_000
+#: Rows of a batch of counts that a task gives back.
+OUT_ROWS = 1 << 16
 #: Bytes of text in a postings row; a task holds back `HELD` times as much of all languages at most.
 ROW_BYTES, HELD = 2 << 20, 4
 #: Bytes of a row group of the stored lists: a scan holds one at a time.
@@ -187,11 +189,19 @@ def _keys(filters: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size = [f.value for f in filters], [], 0
 
-        def out() -> pa.RecordBatch:
-            keys, first, where = np.unique(np.concatenate([k for k, _, _ in held]), return_index=True, return_inverse=True)
-            rows = np.concatenate([np.full(len(k), number) for k, number, _ in held])[first]
-            n = np.bincount(where, np.concatenate([n for _, _, n in held])).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(rows), pa.array(n)], ["key", "row", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, n = np.concatenate([k for k, _, _ in held]), np.concatenate([n for _, _, n in held])
+            rows = np.repeat([number for _, number, _ in held], [len(k) for k, _, _ in held])
+            held.clear()
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            keys, n, rows = keys[first], np.add.reduceat(n[order], first), rows[order[first]]
+            # the JVM holds a batch whole
+            for at in range(0, len(keys), OUT_ROWS):
+                part = slice(at, at + OUT_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(rows[part]), pa.array(n[part])], ["key", "row", "n"])
+            give_back()
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -200,10 +210,10 @@ def _keys(filters: list):
                     held.append((_bits(lang, members, 64), number, lengths))
                     size += len(lengths)
                 if size > HELD_KEYS:
-                    yield out()
-                    held, size = [], 0
+                    yield from out()
+                    size = 0
         if held:
-            yield out()
+            yield from out()
 
     return run
 
@@ -246,6 +256,7 @@ def _named(filters: list, owners):
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(good) + 1) * len(members), pa.int32()), pa.array(words.ravel()))
                 names = pa.nulls(len(good), pa.string()) if known else batch.column("names")[i].values.take(pa.array(good))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[good].view(np.int64)), pa.array(np.full(len(good), number)), pa.repeat(lang, len(good)), lists, names], ["key", "row", "lang", "words", "name"])
+        give_back()
 
     return run
 
