@@ -103,3 +103,11 @@ def test_column_clusters(spark):
     rows = [[0, 100, 200] * 4, [0, 100, 200] * 3, [0, 19, 38] * 4, list(range(0, 400, 10)), [], [5] * 12, [0, 110, 215, 3, 101, 220, 1, 99, 199, 7]]
     df = spark.createDataFrame([(r,) for r in rows], "lefts array<int>")
     assert [r.t for r in df.select(scans.has_columns(F.col("lefts")).alias("t")).collect()] == [clusters(r) for r in rows]
+
+
+def test_quick_rows_find_the_same(spark):
+    """Rows side by side, names behind a match, cells of white space only."""
+    odd = ["a-b | 1,2 | mg/dl | 3 - 4-c | 5 | % | 6", "x|1|u| \n y|2|v|z", "éab | 1 | g/l | \u00a0", "Na | 1 | | 2 K | 3 | l | 4,1", "aa bb | . | / | -CRP|4|x|5-6", "|1|a|2", "-|1|%|-"]
+    rows = spark.createDataFrame([(x,) for x in [*odd, " ".join(odd), "".join(odd)]], "text string")
+    for r in rows.select("text", *[F.regexp_replace("text", e, "<$1;$2;$3;$4>").alias(n) for n, e in (("a", scans.CLEAN_ROW), ("b", scans.QUICK_ROW))]).collect():
+        assert r.a == r.b

@@ -146,12 +146,17 @@ VALUE = r"(?U)(\b\w+[\w\s\-]*?)[\s:]+(\d+[,.]?\d*)\s*([A-Za-z/%]+)?"
 LINE_VALUE = r"(?U)^([A-Za-zÄÖÜäöüß\-\s]+?)[\s:]+(\d+[,.]?\d*)\s*([A-Za-z/%]+)?(?:\s*\(?([\d,.\-\s]+)\)?)?"
 CLEAN_ROW = r"(?U)([A-Za-zÄÖÜäöüß\-]+)\s*\|\s*([\d,\.]+)\s*\|\s*([A-Za-z/%]+)\s*\|\s*([\d,\.\-\s]+)"
 # End of the fixed values.
+#: The matches of CLEAN_ROW: a name is entered at its first character or behind a match, and no part of a row is given up
+#: but white space before the last cell, which may be all of it.
+QUICK_ROW = r"(?U)(?:\G|(?<![A-Za-zÄÖÜäöüß\-]))([A-Za-zÄÖÜäöüß\-]++)\s*+\|\s*+([\d,\.]++)\s*+\|\s*+([A-Za-z/%]++)\s*+\|\s*([\d,\.\-\s]+)"
 
 
 def pipe_table(text: Column) -> Column:
     """Gaps of two spaces or more as pipes, lines stripped, empty ones left out, rows of four cells as name: value unit (Referenz: range)."""
-    lines = F.transform(F.split(text, "\n", -1), lambda x: F.btrim(F.regexp_replace(x, "  +", " | "), F.lit(SPACE)))
-    return F.regexp_replace(F.array_join(F.filter(lines, lambda x: x != ""), "\n"), CLEAN_ROW, r"$1: $2 $3 (Referenz: $4)")
+    # a gap lies within a line
+    text = F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, "  +", " | ")).otherwise(text)
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)))
+    return F.regexp_replace(F.array_join(F.filter(lines, lambda x: x != ""), "\n"), QUICK_ROW, r"$1: $2 $3 (Referenz: $4)")
 
 
 def has_columns(lefts: Column, tolerance: int = 20, least: int = 10, columns: int = 3, members: int = 3) -> Column:
