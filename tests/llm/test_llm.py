@@ -561,6 +561,23 @@ def test_near_duplicate_stage_is_exact_jaccard(spark, rows, block):
         assert got == sorted(set(root.values())) and len(simhash.deduplicate(df).collect()) != len(got)
 
 
+def test_near_duplicate_texts_travel_only_for_near_fingerprints(spark, monkeypatch):
+    """Texts that share a passage share bands, but are not sent to each other; those of near copies in such bands are."""
+    passage = [f"p{i}" for i in range(60)]
+    texts = {k: " ".join(passage + [f"own{k}x{i}" for i in range(60)]) for k in range(40)}
+    texts |= {100 + k: texts[k] + f" tail{k}" for k in range(0, 40, 13)}
+    stored, materialize = {}, similar.materialize
+
+    def kept(df, name, path=None):
+        return stored.setdefault(name, []).append(materialize(df, name, path)) or stored[name][-1]
+
+    monkeypatch.setattr(similar, "materialize", kept)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in similar.deduplicate(df).collect()) == list(range(40))
+    assert stored["open"][0].count() >= 40
+    assert sum(x.count() for x in stored["ends"]) <= 16
+
+
 def test_near_duplicate_search_meets_all_within_its_limit(spark):
     """Fingerprints share a key wherever the differing symbols stand, spread over all partitions included, whatever the plan."""
     rng = np.random.default_rng(3)
