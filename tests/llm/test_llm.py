@@ -431,6 +431,25 @@ def test_encoder_forgets(rows, monkeypatch):
             assert got.tolist() == [*encoder.whole(text), 0]
 
 
+def test_encoder_looks_a_piece_up_once_a_call(monkeypatch):
+    """However often a piece stands in the texts of a call; the ids are the tokenizer's."""
+    looked = []
+
+    class Counted(tokenfiles._Numbers):
+        def __getitem__(self, key):
+            looked.append(key)
+            return super().__getitem__(key)
+
+    monkeypatch.setattr(tokenfiles, "_Numbers", Counted)
+    encoder = tokenfiles.PieceEncoder(tokenfiles.public_tokenizers.path(tokenfiles.VOCABULARY))
+    texts = ["ein Haus und ein Haus\nund ein Hof\n\nein Haus"] * 40 + ["", " ein", "\nein Hof", "Haus  Hof", "Haus \nHof", "ein ", "\t ein"]
+    ids, ends = encoder.encode(texts, 0)
+    for text, got in zip(texts, np.split(ids, ends[:-1]), strict=True):
+        assert got.tolist() == [*encoder.whole(text), 0]
+    distinct = {x for t in texts for x in t.replace("\n", " \n").split(" ")}
+    assert len(looked) <= len(distinct) + len(texts)
+
+
 # 10
 def test_decontamination(spark, sf):
     con = duckdb.connect()

@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -135,8 +136,9 @@ class PieceEncoder:
             self.ends[n] = self.used
         for at in range(0, len(joined), 400):
             some = joined[at : at + 400]
-            pieces = [new[n - first] for n in some]
-            found = np.array(self.whole("".join(x if x[0] == "\n" else " " + x for x in pieces)))
+            text = " " + " ".join([new[n - first] for n in some])
+            # before a line feed there is no space
+            found = np.array(self.whole(text.replace(" \n", "\n")))
             firsts = np.flatnonzero(self.opens[found])
             if len(firsts) != len(some):
                 raise ValueError("the vocabulary joins pieces over a space")
@@ -144,31 +146,30 @@ class PieceEncoder:
             self.starts[some] = firsts
             self.ends[some] = np.append(firsts[1:], self.used)
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, an end id after each, and where each text's ids end."""
         if len(self.known) > CACHE_PIECES or self.chars > CACHE_CHARS:
             self._forget()
-        flat: list[int] = []
-        ends = []
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        # Arrow cuts the texts and tells equal pieces, so that each is looked up once a call
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        ends = np.cumsum(pieces.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        firsts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+        found = pieces.flatten().dictionary_encode()
         number = self.known.__getitem__
-        for text in texts:
-            pieces = text.replace("\n", " \n").split(" ")
-            pieces[0] = " " + pieces[0] if pieces[0] else "\n"
-            flat += map(number, pieces)
-            ends.append(len(flat))
+        at = np.fromiter(map(number, found.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(found.dictionary))[found.indices.to_numpy(zero_copy_only=False)]
+        at[firsts] = [number(" " + x if x else "\n") for x in pieces.flatten().take(pa.array(firsts)).to_pylist()]
         self._learn()
-        at = np.array(flat, dtype=np.int64)
         met = np.bincount(at, minlength=len(self.known))
         self.uses[: len(met)] += met
         starts, stops = self.starts[at], self.ends[at]
         # white space that touches other white space sends its text the whole way
         whole = set(np.searchsorted(ends, np.flatnonzero(starts < 0), side="right").tolist())
-        whole.update(i for i, text in enumerate(texts) if " \n" in text)
+        whole.update(np.flatnonzero(pc.match_substring(texts, " \n").to_numpy(zero_copy_only=False)).tolist())
         lengths = stops - starts
-        firsts = [0, *ends[:-1]]
         used = self.used
         several = sorted(whole)
-        for i, ids in zip(several, self.each([texts[i] for i in several]), strict=True):
+        for i, ids in zip(several, self.each(texts.take(pa.array(several, pa.int64())).to_pylist()), strict=True):
             lengths[firsts[i] : ends[i]] = 0
             k = firsts[i]
             starts[k] = self._append(ids)
@@ -180,7 +181,7 @@ class PieceEncoder:
         gather = np.arange(upto[-1]) + np.repeat(starts - (upto - lengths), lengths)
         out = self.ids[gather]
         self.used = used
-        return out, upto[np.array(ends) + np.arange(len(ends))]
+        return out, upto[ends + np.arange(len(ends))]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -197,7 +198,7 @@ def _encode(vocabulary: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
         for part in chunks(batches, "text"):
-            ids, ends = encode([x or "" for x in part.column("text").to_pylist()], end_id)
+            ids, ends = encode(part.column("text"), end_id)
             offsets = np.concatenate(([0], ends)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends, prepend=0)), lists], ["doc_id", "n_tokens", "ids"])
