@@ -41,6 +41,21 @@ def test_protected_tokens(spark):
     assert ops.protected_tokens(spark.createDataFrame([], "doc_id long, text string"), terms).count() == 0
 
 
+def test_protected_tokens_shuffle_no_words_for_few_terms(spark, monkeypatch):
+    """Few terms meet the words where these are; many, by a join on words, find the same."""
+    terms = spark.createDataFrame([("herz",), ("leber",), ("abc",), ("herzen",)], "term string")
+    words = ["Herz", "herzen", "Lebern", "abcn", "abc", "HERZENES", "ungen", "x", "leberische"]
+    docs = spark.createDataFrame([(i, " ".join(words[i % 4 :] + words[: i % 7])) for i in range(9)] + [(2, None)], "doc_id long, text string")
+    few = ops.protected_tokens(docs, terms)
+    assert "hashpartitioning(word" not in few._jdf.queryExecution().executedPlan().toString()
+    want = {r.word: r.via for r in ops.matched_words(spark.createDataFrame([(w,) for w in words], "word string"), terms).collect()}
+    forms = {r.form: r.via for r in ops.all_forms(terms).collect()}
+    assert want == {w: forms[w.lower()] for w in words if w.lower() in forms}
+    monkeypatch.setattr(ops, "BROADCAST_ROWS", 1)
+    many = ops.protected_tokens(docs, terms)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
 def test_many_terms_need_no_broadcast(spark):
     terms = spark.range(500).select(F.concat(F.lit("t"), "id").alias("term"))
     assert ops.sized(terms, 100) is terms and "BROADCAST" not in ops.sized(terms, 100)._jdf.queryExecution().toString().upper()

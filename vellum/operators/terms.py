@@ -42,6 +42,13 @@ def matched_words(words: DataFrame, terms: DataFrame) -> DataFrame:
     return hits.groupBy("word").agg(F.when(F.max(F.col("term") == F.lower("word")), "exact").otherwise("stem").alias("via"))
 
 
+def all_forms(terms: DataFrame) -> DataFrame:
+    """terms(term) -> (form, via) of the lower-case words that they protect, by which few terms meet words without a pass for the distinct ones."""
+    ends = F.array(F.lit(""), *[F.lit(s) for s in T.SUFFIXES])
+    made = terms.where("term <> ''").select("term", F.explode(F.when(F.length("term") > T.STEM, ends).otherwise(F.array(F.lit("")))).alias("end"))
+    return made.groupBy(F.concat("term", "end").alias("form")).agg(F.when(F.min("end") == "", "exact").otherwise("stem").alias("via"))
+
+
 def _numbered(docs: DataFrame, *columns) -> DataFrame:
     """Columns with a number for every row, given before any row is exploded."""
     return docs.select(*columns).withColumn("row", F.monotonically_increasing_id())
@@ -50,14 +57,19 @@ def _numbered(docs: DataFrame, *columns) -> DataFrame:
 def protected_tokens(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> per document its tokens, those that a term protects, how many of them by their stem, and which, sorted."""
     listed = _numbered(docs, "doc_id", T.tokens(F.col("text")).alias("words")).select("doc_id", "row", F.explode_outer("words").alias("word"))
-    counted = listed.groupBy("row", "doc_id", "word").agg(F.count("word").alias("n"))
-    found = matched_words(docs.select(F.explode(T.tokens(F.col("text"))).alias("word")), terms)
-    hit = F.col("via").isNotNull()
-    rows = counted.join(found, "word", "left").groupBy("row", "doc_id").agg(
+    most = BROADCAST_ROWS // (1 + len(T.SUFFIXES))
+    if terms.limit(most + 1).count() <= most:
+        hits = listed.join(F.broadcast(all_forms(terms)), F.lower("word") == F.col("form"), "left").withColumn("n", F.col("word").isNotNull().cast("long"))
+    else:
+        found = matched_words(docs.select(F.explode(T.tokens(F.col("text"))).alias("word")), terms)
+        hits = listed.groupBy("row", "doc_id", "word").agg(F.count("word").alias("n")).join(found, "word", "left")
+    # words without a hit are one row of a document before anything is shuffled
+    counted = hits.groupBy("row", "doc_id", F.when(F.col("via").isNotNull(), F.col("word")).alias("word"), "via").agg(F.sum("n").alias("n"))
+    rows = counted.groupBy("row", "doc_id").agg(
         F.sum("n").alias("n_tokens"),
-        F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("n_protected"),
+        F.coalesce(F.sum(F.when(F.col("via").isNotNull(), F.col("n"))), F.lit(0)).alias("n_protected"),
         F.coalesce(F.sum(F.when(F.col("via") == "stem", F.col("n"))), F.lit(0)).alias("n_by_stem"),
-        F.array_join(F.array_sort(F.collect_set(F.when(hit, F.col("word")))), " ").alias("protected"),
+        F.array_join(F.array_sort(F.collect_set("word")), " ").alias("protected"),
     )
     return rows.drop("row")
 
