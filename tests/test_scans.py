@@ -184,3 +184,15 @@ def test_column_clusters_over_many_pages(spark):
     df = spark.createDataFrame([(p,) for p in pages], "x array<int>")
     got = [r.t for r in df.select(scans.has_columns(F.col("x")).alias("t")).collect()]
     assert got == [False, False, True, True, False, True]
+
+
+def test_tables_are_made_once(spark, tmp_path):
+    """The rows of a page's table are read from one evaluation; empty cells, single cells and several pages keep their places."""
+    boxes = [(1, 0, "a", 0, 0), (1, 1, "b", 100, 0), (1, 2, "c", 300, 0), (1, 3, "alone", 0, 100), (1, 4, "d", 0, 200), (1, 5, "e", 10, 200), (1, 6, "f", 300, 200), (2, 0, "x", 0, 0), (3, 0, " ", 0, 0)]
+    df = spark.createDataFrame([(*b, 10, 90) for b in boxes], "doc_id int, idx int, word string, left int, top int, height int, conf int")
+    found = layout.markdown_tables(df, ["doc_id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sum("ArrowEvalPython" in line for line in plan.splitlines()) == 1
+    got = {r.doc_id: (r.n_rows, r.n_columns, r.markdown) for r in found.collect()}
+    assert set(got) == {1, 2} and got[2] == (1, 1, None)
+    assert got[1][:2] == (3, 3) and [x for x in got[1][2].split("\n") if x.startswith("|")][2:] == ["| a | b | c |", "| d e |  | f |"]

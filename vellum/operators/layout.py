@@ -120,19 +120,22 @@ def _table(boxes: Column) -> Column:
         np.maximum.at(n_rows, owner, row)
         np.maximum.at(n_columns, owner, column)
         order = folds.ordered(lengths, row.astype(float), column.astype(float), found["left"], found["top"], found["idx"])
-        row, column, text = row[order], column[order], words.take(pa.array(order)).to_pylist()
-        cell = np.flatnonzero(np.concatenate(([True], (np.diff(owner) != 0) | (np.diff(row) != 0) | (np.diff(column) != 0)))[: len(order)])
-        bounds = [*cell.tolist(), len(order)]
-        tables: list[list[list[str]]] = [[] for _ in range(n)]
-        filled: dict[int, str] = {}
-        places = list(zip(owner[cell].tolist(), row[cell].tolist(), column[cell].tolist(), strict=True))
-        for i, (page, number, c) in enumerate(places):
-            filled[c] = " ".join(text[bounds[i] : bounds[i + 1]])
-            if i + 1 == len(places) or places[i + 1][:2] != (page, number):
-                if len(filled) > 1:
-                    tables[page].append([filled.get(k, "") for k in range(1, int(n_columns[page]) + 1)])
-                filled = {}
-        columns = [pa.array(n_rows, pa.int32()), pa.array(n_columns, pa.int32()), pa.array(tables, pa.list_(pa.list_(pa.string())))]
+        row, column = row[order], column[order]
+        fresh = lambda *by: np.flatnonzero(np.concatenate(([True], np.any([np.diff(x) != 0 for x in by], axis=0)))[: len(by[0])])
+        # cells: words of one row and column; lines: cells of one row, of which those of two cells or more stay, with all columns
+        cell = fresh(owner, row, column)
+        cells = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(cell, len(order)), pa.int32()), words.take(pa.array(order))), " ")
+        line = fresh(owner[cell], row[cell])
+        members = np.diff(np.append(line, len(cell)))
+        stays = members > 1
+        page = owner[cell][line[stays]]
+        upto = np.concatenate(([0], np.cumsum(n_columns[page])))
+        kept = np.flatnonzero(np.repeat(stays, members))
+        filled = np.full(upto[-1], len(cells))
+        filled[np.repeat(upto[:-1], members[stays]) + column[cell][kept] - 1] = kept
+        lines = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.concat_arrays([cells, pa.array([""])]).take(pa.array(filled)))
+        tables = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(page, minlength=n)))), pa.int32()), lines)
+        columns = [pa.array(n_rows, pa.int32()), pa.array(n_columns, pa.int32()), tables]
         return pa.StructArray.from_arrays(columns, ["n_rows", "n_columns", "table"])
 
     return run(boxes)
@@ -145,7 +148,8 @@ def markdown_tables(boxes: DataFrame, keys: list[str]) -> DataFrame:
 
 def markdown_pages(pages: DataFrame, keys: list[str], boxes: Column) -> DataFrame:
     """The same from pages, whose boxes are a struct of arrays."""
-    pages = pages.select(*keys, _table(boxes).alias("_t")).select(*keys, "_t.*").where("n_rows > 0")
+    # a condition on the table itself would go below it, and have it made twice
+    pages = pages.select(*keys, F.inline(F.filter(F.array(_table(boxes)), lambda t: t["n_rows"] > 0)))
     first = F.get("table", F.lit(0))
     headers = F.when(is_header(first), first).otherwise(_inferred(F.col("table"), F.col("n_columns")))
     body = F.when(is_header(first), F.slice("table", F.lit(2), F.size("table"))).otherwise(F.col("table"))
