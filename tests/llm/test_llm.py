@@ -597,6 +597,24 @@ def test_near_duplicate_texts_travel_only_for_near_fingerprints(spark, monkeypat
     assert sum(x.count() for x in stored["ends"]) <= 16
 
 
+def test_near_duplicate_plans_are_small(spark, monkeypatch):
+    """Each join of a plan may be a table that the driver builds, each use of an unstored step repeats its joins."""
+    planned, materialize = [], common.materialize
+
+    def kept(df, name, path=None):
+        planned.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("Join ")))
+        return materialize(df, name, path)
+
+    for module in (similar, components):
+        monkeypatch.setattr(module, "materialize", kept)
+    passage = [f"p{i}" for i in range(60)]
+    texts = {k: " ".join(passage + [f"own{k}x{i}" for i in range(60)]) for k in range(12)} | {100: " ".join(passage + [f"own0x{i}" for i in range(60)] + ["tail"])}
+    found = similar.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {"rooted", "open", "sides", "ends", "stars", "links"} <= {n for n, _ in planned}
+    assert max(n for _, n in planned) <= 4, planned
+    assert {r.doc_id: r.root for r in found.collect()}[100] == {r.doc_id: r.root for r in found.collect()}[0]
+
+
 def test_near_duplicate_search_meets_all_within_its_limit(spark):
     """Fingerprints share a key wherever the differing symbols stand, spread over all partitions included, whatever the plan."""
     rng = np.random.default_rng(3)

@@ -49,9 +49,11 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.where("u <> v").select("u", "v")
     rows = edges.count()
     for _ in range(ROUNDS):
-        path = new_path(spark, "links")
-        stars = _small_star(_large_star(edges, rows), rows).where("u <> v").distinct()
-        edges = materialize(stars, "links", path)
+        path, between = new_path(spark, "links"), new_path(spark, "stars")
+        # stored, as the small star reads them three times
+        large = materialize(_large_star(edges, rows), "stars", between)
+        edges = materialize(_small_star(large, rows).where("u <> v").distinct(), "links", path)
+        remove(spark, between)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if old:
             remove(spark, old)
