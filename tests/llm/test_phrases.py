@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,37 @@ def test_counts_leave_a_task_in_bounded_batches(monkeypatch):
     got = {r["key"]: (r["row"], r["n"]) for p in parts for r in p.to_pylist()}
     key = lambda w: int(phrases._bits("de", [phrases.inverted([w])[0]], 64).view("int64")[0])
     assert {w: got[key(w)] for w in (b"a", b"c", b"e", b"i")} == {b"a": (0, 2), b"c": (0, 2), b"e": (1, 1), b"i": (2, 1)} and len(got) == 9
+
+
+def test_ranges_of_keys(monkeypatch):
+    """Keys sorted by ranges, one after another, have the sums and first rows of all sorted at once."""
+    texts = [b"a b c d e f g h i j k l", b"c d x y z", b"a y q r s t"]
+    batch = pa.Table.from_batches([phrases._row(k, "de", [t]) for k, t in enumerate(texts)]).combine_chunks().to_batches()[0]
+    found = lambda: [r for p in phrases._keys([])(iter([batch])) for r in p.to_pylist()]
+    whole = found()
+    sizes, sort = [], phrases.np.argsort
+    monkeypatch.setattr(phrases, "SORTED_KEYS", 3)
+    monkeypatch.setattr(phrases.np, "argsort", lambda keys, **kw: sizes.append(len(keys)) or sort(keys, **kw))
+    parts = found()
+    assert sorted(r["key"] for r in parts) == sorted(r["key"] for r in whole) and {tuple(r.values()) for r in parts} == {tuple(r.values()) for r in whole}
+    assert sum(sizes) == 23 and max(sizes) < 12
+
+
+def test_few_large_rows_at_a_time(docs, monkeypatch):
+    """Neither a row group nor a batch for Python holds much more than its bytes, however few its rows."""
+    monkeypatch.setattr(phrases, "GROUP_BYTES", 1 << 17)
+    monkeypatch.setattr(common, "BATCH_BYTES", 1 << 17)
+    lists = phrases.postings(docs.coalesce(1), row_bytes=20_000)
+    (path,) = lists.inputFiles()
+    meta = pq.ParquetFile(path.removeprefix("file://")).metadata
+    sizes = [meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)]
+    assert 10 < meta.num_rows < 100 and len(sizes) > 2 and max(sizes) < 1 << 18
+
+    def bytes_of(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    seen = lists.mapInArrow(bytes_of, "rows long, bytes long").collect()
+    monkeypatch.undo()
+    common.bound_batches(docs.sparkSession)
+    assert sum(b.rows for b in seen) == meta.num_rows and max(b.bytes for b in seen) < 1 << 18

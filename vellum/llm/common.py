@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 #: Rows up to which a side of longs (doc ids, fingerprints) may be broadcast: 8 MB of keys.
 BROADCAST_ROWS = 1_000_000
-#: Rows of an Arrow batch at most.
-BATCH_ROWS = 1_000
+#: Rows of an Arrow batch at most, and its bytes, beyond which no row is added.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 #: Measured bytes up to which a stored side may be broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -40,10 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python `BATCH_ROWS` at a time at most: Spark's default of 10,000 holds tens of MB in a task."""
+    """Whole texts go to Python `BATCH_ROWS` or some `BATCH_BYTES` at a time at most: Spark's defaults of 10,000 rows and 64 MB
+    are held by a task more than once, in buffers outside the heap and in the worker."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def new_path(spark: SparkSession, name: str) -> str:

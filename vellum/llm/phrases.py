@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import bound_batches, chunks, give_back, materialize, new_path, table
-from vellum.llm.fingerprints import _BYTES, _mixed, _powers
+from vellum.llm.fingerprints import _BYTES, _POWERS, _mixed, _powers
 
 LEAST = 30
 LONGEST = 4
@@ -49,6 +49,8 @@ FILTER_BITS = 26
 SALTS = 64
 #: Keys that a task holds to sum them.
 HELD_KEYS = 2_000_000
+#: Keys that a task sorts at a time, about.
+SORTED_KEYS = 1 << 18
 #: Rows of a batch of counts that a task gives back.
 OUT_ROWS = 1 << 16
 #: Bytes of text in a postings row; a task holds back `HELD` times as much of all languages at most.
@@ -112,6 +114,9 @@ def _invert(row_bytes: int):
                 yield _row(next(numbers), lang, held.pop(lang))
         for lang, texts in held.items():
             yield _row(next(numbers), lang, texts)
+        # some 40 MB that no later stage of the worker reads
+        _POWERS.clear()
+        give_back()
 
     return run
 
@@ -121,7 +126,8 @@ def postings(docs: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
     bound_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     path = new_path(docs.sparkSession, "postings")
-    rows.mapInArrow(_invert(row_bytes), POSTINGS).write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    # else a row group's size is looked at only after 100 rows, which are hundreds of MB
+    rows.mapInArrow(_invert(row_bytes), POSTINGS).write.option("parquet.block.size", GROUP_BYTES).option("parquet.page.size.row.check.min", 1).parquet(path)
     return docs.sparkSession.read.schema(POSTINGS).parquet(path)
 
 
@@ -190,17 +196,24 @@ def _keys(filters: list):
         known, held, size = [f.value for f in filters], [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            keys, n = np.concatenate([k for k, _, _ in held]), np.concatenate([n for _, _, n in held])
-            rows = np.repeat([number for _, number, _ in held], [len(k) for k, _, _ in held])
+            # by ranges of keys: one after another is sorted, so only the held ones are there whole
+            ranges = 1 + size // SORTED_KEYS
+            width = _U(((1 << 64) - 1) // ranges)
+            for i in range(ranges):
+                inside = [np.minimum(keys // width, _U(ranges - 1)) == i for keys, _, _ in held]
+                keys, n = (np.concatenate([h[c][good] for h, good in zip(held, inside, strict=True)]) for c in (0, 2))
+                rows = np.repeat([number for _, number, _ in held], [np.count_nonzero(good) for good in inside])
+                if not len(keys):
+                    continue
+                order = np.argsort(keys, kind="stable")
+                keys = keys[order]
+                first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+                keys, n, rows = keys[first], np.add.reduceat(n[order], first), rows[order[first]]
+                # the JVM holds a batch whole
+                for at in range(0, len(keys), OUT_ROWS):
+                    part = slice(at, at + OUT_ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(rows[part]), pa.array(n[part])], ["key", "row", "n"])
             held.clear()
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            keys, n, rows = keys[first], np.add.reduceat(n[order], first), rows[order[first]]
-            # the JVM holds a batch whole
-            for at in range(0, len(keys), OUT_ROWS):
-                part = slice(at, at + OUT_ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(rows[part]), pa.array(n[part])], ["key", "row", "n"])
             give_back()
 
         for batch in batches:
