@@ -355,6 +355,19 @@ def test_simhash(spark, docs, rows, hot):
     assert got == {ids[i]: least[r] for i, r in enumerate(root)}
 
 
+def test_simhash_broadcasts_no_exploded_rows(spark):
+    """Probes and points are many rows for each fingerprint, which Spark doesn't know: none may become a table of the driver."""
+    fps = common.materialize(spark.range(3000).select(F.xxhash64("id").alias("fp")), "fps")
+    for df in (simhash.links(fps), simhash._meeting(fps.limit(100), 4)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        ran = df.observe("ran", F.count("*").alias("n"))
+        ran.collect()
+        assert "Broadcast" not in ran._jdf.queryExecution().executedPlan().toString()
+    # only the counted values of large groups
+    hot = simhash.links(fps, hot_bucket=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join Inner.*rightHint=\(strategy=broadcast\)", hot) and hot.count("strategy=merge") >= 3
+
+
 def test_simhash_bits():
     import xxhash
 

@@ -181,7 +181,8 @@ def links(distinct: DataFrame, limit: int = LIMIT, sample: int = SAMPLE, hot_buc
         probers = probes.join(side, ["part", "value"], "left_semi").select(F.col("probe").alias("fp"))
         found = _meeting(members.union(probers).distinct(), limit)
         index, probes = index.join(side, ["part", "value"], "left_anti"), probes.join(side, ["part", "value"], "left_anti")
-    pairs = index.join(probes, ["part", "value"]).where((F.col("fp") < F.col("probe")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("probe"))) <= limit))
+    # Spark takes exploded rows to be as large as the table before and would broadcast them from the driver
+    pairs = index.hint("merge").join(probes.hint("merge"), ["part", "value"]).where((F.col("fp") < F.col("probe")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("probe"))) <= limit))
     return found.union(pairs.select(F.col("probe").alias("u"), F.col("fp").alias("v")))
 
 
@@ -190,7 +191,8 @@ def _meeting(fps: DataFrame, limit: int) -> DataFrame:
     ball = F.array(*[F.lit(x) for x in _flips(-1, limit // 2)])
     points = fps.select("fp", F.explode(F.transform(ball, lambda x: F.col("fp").bitwiseXOR(x))).alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
-    return spread_join(points, least, "point", "fp").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
+    # exploded rows are many times what Spark takes them for, so neither side may be broadcast
+    return spread_join(points.hint("merge"), least.hint("merge"), "point", "fp").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, limit: int = LIMIT, shingle: int = SHINGLE, hot_bucket: int = HOT_BUCKET) -> DataFrame:
