@@ -23,6 +23,7 @@ from vellum.functions.privacy import entered, folded
 
 MOST_TERMS = 5_000
 OPEN, CLOSE, DIGITS = "", "", ""
+MARK = "\ue7ff"
 
 # Abbreviations that stay, whatever their case.
 ABBREVIATIONS = [
@@ -59,13 +60,22 @@ PASSES = [
     ("street_address_extended", "i", r"\b[A-ZÄÖÜ][a-zäöüß]+(?:straße|str\.?|weg|allee|platz|ring|gasse|damm|pfad|steig)\s+\d+[-/]?\d*[a-z]?(?:\s+(?:Etage|Stock|OG|EG)\s+\d+)?\b", "[ADRESSE ENTFERNT]", ["str", "weg", "allee", "platz", "ring", "gasse", "damm", "pfad", "steig"]),
     ("gender", "i", r"\b(?:geschlecht)[:\s]*(?:männlich|weiblich|divers|m|w|d)\b", "[GESCHLECHT ENTFERNT]", ["geschlecht"]),
 ]
+#: The pass before which the folded text is made again for all removals so far; later ones, which are few, make it at once.
+FRESH = 9
 #: By kind what the first two characters of all matches are among: the same matches, but most positions are left at once. In a street a
 #: word of letters, a point perhaps, is before white space and a digit.
 _STREET = r"(?<!(?-i:[A-Za-z0-9_]))(?=\p{L}++\.?\s++\d)"
+#: What the folded text of any street holds, also where it was folded before other removals: these end with a bracket.
+NUMBERED = r"(?U)(?=[swaprgd][tealifrd])(?:str(?:aße|\.)?|weg|allee|platz|ring|gasse|damm|pfad|steig)\s+\d"
 ENTRIES = {
     "birthdate": ("g", "e"), "insurance_number": ("vkpfa", "eak"), "patient_name": ("pnv", "aeo"), "tax_id": ("s", "t"), "social_security_number": ("sr", "oev"), "passport_number": ("rp", "ea"), "id_card_number": ("pa", "eu"),
     "patient_id": ("pfak", "akr"), "hospital_id": ("bas", "eut"), "insurance_policy": ("vk", "er"), "mobile_phone": ("mht", "oae"), "fax_number": ("ft", "ae"), "url": ("hw", "tw"), "gender": ("g", "e"),
 }
+#: By kind a second list of literals (lower case) of which all matches hold one as well.
+ALSO = {
+    "tax_id": ["steuer", "nr"], "patient_id": ["patiente", "fall", "akte"], "hospital_id": ["behandlung", "aufnahme", "station", "bett"], "insurance_policy": ["versicherten", "kranke"],
+    "mobile_phone": ["+49", "0049", "015", "016", "017"],
+}
 # Names by title, lines that a title leads, and what before a date speaks of a birth or of treatment.
 TITLED = r"\b(?:Dr\.?|Prof\.?)\s+(?:med\.?\s+|Dr\.?\s+)?[A-ZÄÖÜ][a-zäöüß]+\b"
 LED = r"^\s*(?:Dr\.?|Prof\.?|Herr|Frau)\s+[A-ZÄÖÜ]"
@@ -77,7 +87,7 @@ INDICATORS = [
     "[name entfernt]", "[geburtsdatum entfernt]", "[adresse entfernt]",
 ]
 #: Runs of two or three capitalised words on a line.
-RUN = rf"(?U)\b{T.NAME_WORD}(?:[^\S\n]+{T.NAME_WORD}){{1,2}}\b"
+RUN = rf"(?U)(?=[A-ZÄÖÜ])\b{T.NAME_WORD}(?:[^\S\n]+{T.NAME_WORD}){{1,2}}\b"
 
 
 def _escaped(word: str) -> str:
@@ -117,16 +127,24 @@ def protection(terms: Sequence[str] = (*T.TERMS, *T.DRUGS)) -> str:
         raise ValueError("join larger dictionaries: operators/terms.py")
     valued = rf"(?i:(?:{_any_of(w for w in terms if len(w) > 3)})\s*:?\s*[0-9]+[,.]?[0-9]*\s*[a-zA-Z/%]*)\b"
     alone = rf"(?i:{_any_of([*ABBREVIATIONS, *(d for d in T.DRUGS if len(d) > 3)])})\b"
-    return rf"(?U)[{OPEN}{CLOSE}{DIGITS}]|(?<![A-Za-z0-9_])\b(?:{'|'.join([*CODES, valued, alone])})"
+    # one range first: a class of twelve characters is twelve tests a position
+    return rf"(?U)(?=[{OPEN}-{DIGITS[-1]}])[{OPEN}{CLOSE}{DIGITS}]|(?<![A-Za-z0-9_])\b(?:{'|'.join([*CODES, valued, alone])})"
+
+
+def turns(text: Column, expression: str) -> Column:
+    """What stands between the matches and the matches by turns, from one search; a text that holds the mark itself is searched twice."""
+    marked = F.split(F.regexp_replace(text, expression, f"{MARK}$0{MARK}"), MARK, -1)
+    gaps, found = F.split(text, expression, -1), F.regexp_extract_all(text, F.lit(expression), F.lit(0))
+    searched = F.flatten(F.zip_with(gaps, found, lambda gap, match: F.when(match.isNotNull(), F.array(gap, match)).otherwise(F.array(gap))))
+    return F.when(F.contains(text, F.lit(MARK)), searched).otherwise(marked)
 
 
 def protected(df: DataFrame, column: str, expression: str | None = None) -> DataFrame:
     """df with `masked` (sentinels for what is protected) and `ledger` (that, in order)."""
-    expression = expression or protection()
-    text = F.coalesce(column, F.lit(""))
-    sentinel = lambda i: F.concat(F.lit(OPEN), F.translate(i.cast("string"), "0123456789", DIGITS), F.lit(CLOSE))
-    gaps = F.transform(F.split(text, expression, -1), lambda gap, i: F.when(i > 0, F.concat(sentinel(i), gap)).otherwise(gap))
-    return df.withColumns({"ledger": F.regexp_extract_all(text, F.lit(expression), F.lit(0)), "masked": F.array_join(gaps, "")})
+    out = df.withColumn("_pieces", turns(F.coalesce(column, F.lit("")), expression or protection()))
+    sentinel = lambda i: F.concat(F.lit(OPEN), F.translate(((i + 1) / 2).cast("int").cast("string"), "0123456789", DIGITS), F.lit(CLOSE))
+    masked = F.array_join(F.transform("_pieces", lambda piece, i: F.when(i % 2 == 1, sentinel(i)).otherwise(piece)), "")
+    return out.withColumns({"ledger": F.filter("_pieces", lambda piece, i: i % 2 == 1), "masked": masked}).drop("_pieces")
 
 
 def restored(masked: Column, ledger: Column) -> Column:
@@ -144,6 +162,8 @@ def expression_of(flags: str, pattern: str) -> str:
 
 def quick(kind: str, pattern: str) -> str:
     """A pass's pattern with the same matches that leaves most positions early."""
+    if kind == "postal_code_city":
+        return r"(?=\d{5}\s)" + pattern
     if kind.startswith("street_address"):
         return _STREET + pattern
     return entered(*ENTRIES[kind]) + pattern if kind in ENTRIES else pattern
@@ -151,15 +171,26 @@ def quick(kind: str, pattern: str) -> str:
 
 def removed(df: DataFrame, column: str) -> DataFrame:
     """df with the column run through all passes, `types` (distinct, in order, comma-joined) and `pattern_removals` (passes that found something)."""
-    out = df.withColumns({"types": F.lit(""), "pattern_removals": F.lit(0), "_low": folded(F.col(column))})
-    for kind, flags, pattern, instead, literals in PASSES:
-        some = reduce(lambda x, y: x | y, [F.contains("_low", F.lit(word)) for word in literals] or [F.lit(True)])
+    out = df.withColumns({"types": F.lit(""), "pattern_removals": F.lit(0), "_low": folded(F.col(column)), "_stale": F.lit(False)})
+    left: list[str] = []
+    for at, (kind, flags, pattern, instead, literals) in enumerate(PASSES):
+        if at == FRESH:
+            left = []
+            out = out.withColumns({"_low": F.when(F.col("_stale"), folded(F.col(column))).otherwise(F.col("_low")), "_stale": F.lit(False)})
+        # what the folded text holds too much opens a gate in vain; what passes have put in since it was made is in `left`
+        holds = lambda words: F.lit(True) if any(w in m for w in words for m in left) else reduce(lambda x, y: x | y, [F.contains("_low", F.lit(w)) for w in words] or [F.lit(True)])  # noqa: E731, B023
+        some = holds(literals) & holds(ALSO.get(kind, [])) & (F.col("_low").rlike(NUMBERED) if kind.startswith("street_address") else F.lit(True))
         after = F.when(some, F.regexp_replace(column, expression_of(flags, quick(kind, pattern)), instead)).otherwise(F.col(column))
         out = out.withColumn("_after", after)
         hit = F.col("_after") != F.col(column)
         known = F.contains(F.concat(F.lit(","), "types", F.lit(",")), F.lit(f",{kind},"))
-        out = out.withColumns({"types": F.when(hit & ~known, F.concat_ws(",", F.nullif("types", F.lit("")), F.lit(kind))).otherwise(F.col("types")), "pattern_removals": F.col("pattern_removals") + hit.cast("int"), "_low": F.when(hit, folded(F.col("_after"))).otherwise(F.col("_low")), column: F.col("_after")})
-    return out.drop("_after", "_low")
+        found = {"types": F.when(hit & ~known, F.concat_ws(",", F.nullif("types", F.lit("")), F.lit(kind))).otherwise(F.col("types")), "pattern_removals": F.col("pattern_removals") + hit.cast("int"), column: F.col("_after")}
+        if at < FRESH:
+            left.append(instead.lower())
+            out = out.withColumns(found | {"_stale": F.col("_stale") | hit})
+        else:
+            out = out.withColumns(found | {"_low": F.when(hit, folded(F.col("_after"))).otherwise(F.col("_low"))})
+    return out.drop("_after", "_low", "_stale")
 
 
 def _listed(word: Column, terms: Sequence[str]) -> Column:
@@ -169,8 +200,7 @@ def _listed(word: Column, terms: Sequence[str]) -> Column:
 def without_runs(text: Column, kept: Sequence[str]) -> Column:
     """Runs of two or three capitalised words leave the text unless one of their words is listed."""
     keeps = lambda run: F.exists(F.split(run, r"(?U)\s+"), lambda w: _listed(w, kept))
-    pieces = F.zip_with(F.split(text, RUN, -1), F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda gap, run: F.when(run.isNotNull() & keeps(run), F.concat(gap, run)).otherwise(gap))
-    return F.when(text.rlike(RUN), F.array_join(pieces, "")).otherwise(text)
+    return F.array_join(F.transform(turns(text, RUN), lambda piece, i: F.when((i % 2 == 1) & ~keeps(piece), F.lit("")).otherwise(piece)), "")
 
 
 def without_names(df: DataFrame, column: str, terms: Sequence[str], eponyms: Sequence[str]) -> DataFrame:
@@ -193,7 +223,7 @@ def date_context(before: Column) -> Column:
 def has_content(text: Column) -> Column:
     """False for a text of over 200 characters without any indicator."""
     low = F.lower(text)
-    return (F.length(text) <= 200) | F.exists(F.array(*[F.lit(w) for w in INDICATORS]), lambda w: F.contains(low, w))
+    return (F.length(text) <= 200) | reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in INDICATORS])
 
 
 def quality(pattern: Column, high: Column, medium: Column, low: Column) -> Column:
@@ -209,7 +239,9 @@ def filtered(df: DataFrame, column: str = "text", terms: Sequence[str] = (*T.TER
     out = protected(df, column, protection(terms)).withColumn("n_protected", F.size("ledger"))
     out = removed(out, "masked")
     out = without_names(out, "masked", terms, eponyms).withColumn("masked", restored(F.col("masked"), F.col("ledger")))
-    tidy = F.regexp_replace(F.regexp_replace("masked", "\n{3,}", "\n\n"), "[ \t]+", " ")
+    lines = F.when(F.contains("masked", F.lit("\n\n\n")), F.regexp_replace("masked", "\n{3,}", "\n\n")).otherwise(F.col("masked"))
+    # a blank alone stays as it is
+    tidy = F.when(F.contains(lines, F.lit("  ")) | F.contains(lines, F.lit("\t")), F.regexp_replace(lines, " [ \t]+|\t[ \t]*", " ")).otherwise(lines)
     out = out.withColumn("clean", F.regexp_replace(tidy, r"(?U)^\s+|\s+$", ""))
     n = F.length(F.coalesce(column, F.lit("")))
     none = F.lit(0)
